@@ -13,10 +13,9 @@ from reelgrid.plans.registry import query
 from reelgrid.plans.standins import with_sql
 
 CJK = "translate(lower(text), 'aeiou', '的一是不了')"
-TOK = """list_distinct(list_concat(regexp_extract_all({t}, '[a-z0-9]+'),
-  list_transform(regexp_extract_all({t}, '[\\x{{4e00}}-\\x{{9fff}}]'), lambda x: 'c:' || x),
-  list_transform(range(1, len(regexp_extract_all({t}, '[\\x{{4e00}}-\\x{{9fff}}]'))),
-    lambda i: 'b:' || regexp_extract_all({t}, '[\\x{{4e00}}-\\x{{9fff}}]')[i] || regexp_extract_all({t}, '[\\x{{4e00}}-\\x{{9fff}}]')[i + 1])))"""
+CH = "regexp_extract_all({t}, '[\\x{{4e00}}-\\x{{9fff}}]')"
+TOK = ("list_distinct(list_concat(regexp_extract_all({t}, '[a-z0-9]+'), list_transform(" + CH + ", lambda x: 'c:' || x), "
+       "list_transform(list_zip(list_slice(" + CH + ", 1, -2), list_slice(" + CH + ", 2, -1)), lambda z: 'b:' || z[1] || z[2])))")
 
 
 def tok(t: str) -> str:

@@ -74,7 +74,7 @@ def main() -> None:
 
     load_all()
     sf = os.environ.get("SF_DIR", "/root/testdata/sf0.01")
-    spark = get_session("check", "local[8]", 8, {"spark.ui.enabled": "false", "spark.driver.memory": "12g"})
+    spark = get_session("check", "local[8]", 8, {"spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "12g"})
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(sf)
     names = [n for n in QUERIES if not sys.argv[1:] or any(n.startswith(p) for p in sys.argv[1:])]
