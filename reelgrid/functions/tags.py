@@ -21,7 +21,7 @@ def tags_of(c: str | Column) -> Column:
 
 def csv_to_tags(c: str | Column) -> Column:
     """Split a comma-separated column, trim the parts and drop empty ones."""
-    return F.filter(F.transform(F.split(text_or_empty(c), ","), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(text_or_empty(c), ","), lambda s: F.trim(s)), lambda x: x != "")
 
 
 def tags_to_csv(c: str | Column) -> Column:

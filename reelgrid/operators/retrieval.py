@@ -258,7 +258,7 @@ def chunk_paragraphs(text: str | Column, size: int = 140, overlap: int = 30) ->
     """Paragraphs packed to ``size`` characters; longer ones cut at sentence ends,
     longer sentences into overlapping windows."""
     t = text_or_empty(text)
-    paras = F.filter(F.transform(F.split(t, r"\n+"), F.trim), lambda p: p != "")
+    paras = F.filter(F.transform(F.split(t, r"\n+"), lambda s: F.trim(s)), lambda p: p != "")
     step = max(1, size - overlap)
 
     def windows(p: Column) -> Column:
@@ -266,7 +266,7 @@ def chunk_paragraphs(text: str | Column, size: int = 140, overlap: int = 30) ->
         return F.transform(starts, lambda i: F.substr(p, i + 1, F.lit(size)))
 
     def pieces(p: Column) -> Column:
-        parts = F.filter(F.transform(F.split(p, "(?<=[。！？!?；;])"), F.trim), lambda s: s != "")
+        parts = F.filter(F.transform(F.split(p, "(?<=[。！？!?；;])"), lambda s: F.trim(s)), lambda s: s != "")
         return F.flatten(F.transform(parts, lambda s: F.when(F.length(s) <= size, F.array(s)).otherwise(windows(s))))
 
     def flushed(acc: Column) -> Column:

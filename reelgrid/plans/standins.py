@@ -109,11 +109,29 @@ def second_pass(spark: SparkSession, sf: str) -> DataFrame:
             "idx",
             F.expr("start_ms + shift").alias("start_ms"),
             F.expr("end_ms + shift").alias("end_ms"),
-            F.expr("case when idx % 5 = 0 then upper(text) else text end").alias("text"),
+            F.expr("case when idx % 5 = 0 then translate(text, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') else text end").alias("text"),
         )
     )
 
 
+def ideographs(words: F.Column) -> F.Column:
+    """A caption in which every word is one CJK character (same word, same character)."""
+    code = lambda w: F.lpad(F.hex(F.lit(0x4E00) + F.pmod(F.crc32(w), F.lit(20000))), 4, "0")
+    return F.array_join(F.transform(words, lambda w: F.decode(F.unhex(code(w)), "UTF-16BE")), "")
+
+
+def captions(spark: SparkSession, sf: str) -> DataFrame:
+    """Cues whose whole text is written in ideographs, as captions are compared."""
+    return cues(spark, sf).withColumn("text", ideographs(tx.words("text")))
+
+
+def shown_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """The second pass in ideographs; every fifth line lacks its short words."""
+    w = tx.words("text")
+    kept = F.when(F.col("idx") % 5 == 0, F.filter(w, lambda x: F.length(x) > 3)).otherwise(w)
+    return second_pass(spark, sf).withColumn("text", ideographs(kept))
+
+
 def spans(spark: SparkSession, sf: str) -> DataFrame:
     tracks = cues(spark, sf).select("track_id").distinct()
     return tracks.select(
@@ -254,7 +272,7 @@ SQL = {
   turn * 2000 + 500 + ((length(text) * 40) % 4000) AS end_ms, text FROM conversations)""",
     "pass2": """pass2 AS (SELECT track_id, idx, start_ms + (idx * 37) % 900 - 450 AS start_ms,
   end_ms + (idx * 37) % 900 - 450 AS end_ms,
-  CASE WHEN idx % 5 = 0 THEN upper(text) ELSE text END AS text FROM cues WHERE idx % 7 <> 3)""",
+  CASE WHEN idx % 5 = 0 THEN translate(text, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') ELSE text END AS text FROM cues WHERE idx % 7 <> 3)""",
     "spans": """spans AS (SELECT track_id, seg, s0 AS start_ms, s1 AS end_ms FROM (SELECT DISTINCT track_id FROM cues),
   (VALUES (0, 1000, 7000), (1, 9000, 15000)) v(seg, s0, s1))""",
     "vec": "vec AS (SELECT vec_id AS mid, cast(embedding AS double[]) AS v, label FROM embeddings)",
