@@ -67,13 +67,12 @@ def hash_pairs(hashes: DataFrame, d: int) -> DataFrame:
     radii = _radii(d)
     h = hashes.select("h").where("h is not null").distinct()
     own = F.array(*[F.struct(F.lit(j).alias("band"), _band(F.col("h"), j).alias("v")) for j in range(BANDS) if radii[j] >= 0])
-    probes = F.flatten(F.array(*[
-        F.transform(
-            F.array(*[F.lit(m).cast("bigint") for m in _masks(radii[j])]),
-            lambda m, j=j: F.struct(F.lit(j).alias("band"), _band(F.col("h"), j).bitwiseXOR(m).alias("v")),
-        )
-        for j in range(BANDS) if radii[j] >= 0
-    ]))
+
+    def probe(j: int) -> Column:
+        masks = F.array(*[F.lit(m).cast("bigint") for m in _masks(radii[j])])
+        return F.transform(masks, lambda m: F.struct(F.lit(j).alias("band"), _band(F.col("h"), j).bitwiseXOR(m).alias("v")))
+
+    probes = F.flatten(F.array(*[probe(j) for j in range(BANDS) if radii[j] >= 0]))
     a = h.select(F.col("h").alias("h_a"), F.inline(probes))
     b = h.select(F.col("h").alias("h_b"), F.inline(own))
     x = a.join(b, ["band", "v"]).where((F.col("h_a") < F.col("h_b")) & (hamming("h_a", "h_b") <= d))

@@ -245,6 +245,7 @@ def chunked_fold(
     """
     group = [*keys, chunk]
     chunks = Window.partitionBy(*keys).orderBy(chunk)
+    df = stable(df)
     spans = (
         df.select(*group)
         .distinct()
@@ -287,7 +288,6 @@ def chunked_fold(
     done = apply(first)
     if not spans.where("__seq > 1").limit(1).count():
         return done.where(~F.col("__mark")).select(*keys, "__out.*")
-    rows = stable(rows)
     done = stable(done)
     while True:
         marks = done.where("__mark").select(*group, "__seq", "__in", "__left")
