@@ -5,7 +5,6 @@ from __future__ import annotations
 import json
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,7 +13,7 @@ from pyspark.sql.window import Window
 from reelgrid.functions.similarity import iou, text_sim
 from reelgrid.functions.text import text_or_empty
 from reelgrid.operators.cues import _norm_py, merge_flicker
-from reelgrid.operators.scale import CHUNK_ROWS, chunked_fold, join_keys, neighbours, positions, running, stable, top_k
+from reelgrid.operators.scale import CHUNK_ROWS, Rows, chunked_fold, join_keys, neighbours, positions, running, stable, top_k
 
 # Cell sizes in pixels and shares that define a resident mark,
 # a line break and a track.
@@ -77,10 +76,10 @@ _TRACKED = T.StructType([T.StructField("frame", T.LongType()), T.StructField("bl
 def assign_tracks(blocks: DataFrame, chunk_frames: int = CHUNK_ROWS) -> DataFrame:
     """Track number per block: the nearest track whose centre moved little, else a new one."""
 
-    def step(pdf: pd.DataFrame, state: str | None, last: bool):
+    def step(rows: Rows, state: str | None, last: bool):
         tracks = json.loads(state) if state else []
         out = []
-        for r in pdf[["frame", "block", "y0", "y1"]].to_dict("records"):
+        for r in rows:
             cy, h = (r["y0"] + r["y1"]) / 2, max(1.0, r["y1"] - r["y0"])
             best, best_d = None, None
             for i, (tc, th) in enumerate(tracks):
@@ -93,7 +92,7 @@ def assign_tracks(blocks: DataFrame, chunk_frames: int = CHUNK_ROWS) -> DataFram
             else:
                 tracks[best] = [tracks[best][0] * 0.9 + cy * 0.1, max(tracks[best][1], h)]
             out.append({"frame": r["frame"], "block": r["block"], "track": best})
-        return pd.DataFrame(out, columns=["frame", "block", "track"]), json.dumps(tracks)
+        return out, json.dumps(tracks)
 
     x = blocks.withColumn("__chunk", F.floor(F.col("frame") / chunk_frames))
     t = chunked_fold(x, VIDEO, "__chunk", ["frame", "block"], step, _TRACKED)
@@ -114,10 +113,11 @@ def frames_to_intervals(lines: DataFrame, frame_ms: int, min_ms: int = 150, chun
     texts = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("block", "text"))), lambda r: r["text"]), " ")
     one = lines.groupBy(*keys, "frame").agg(F.trim(texts).alias("text")).where("text <> ''")
 
-    def step(pdf: pd.DataFrame, state: str | None, last: bool):
+    def step(rows: Rows, state: str | None, last: bool):
         run = json.loads(state) if state else None
         out = []
-        for frame, text in zip(pdf["frame"].tolist(), pdf["text"].tolist()):
+        for r in rows:
+            frame, text = int(r["frame"]), r["text"]
             if run is not None and frame == run["last"] + 1 and text_sim(_norm_py(text), _norm_py(run["text"])) >= 0.8:
                 run["last"] = frame
                 continue
@@ -127,8 +127,8 @@ def frames_to_intervals(lines: DataFrame, frame_ms: int, min_ms: int = 150, chun
         if last and run is not None:
             out.append(run)
             run = None
-        rows = [{"start_ms": r["first"] * frame_ms, "end_ms": r["last"] * frame_ms, "text": r["text"]} for r in out]
-        return pd.DataFrame(rows, columns=_RUN.fieldNames()), None if run is None else json.dumps(run, ensure_ascii=False)
+        done = [{"start_ms": r["first"] * frame_ms, "end_ms": r["last"] * frame_ms, "text": r["text"]} for r in out]
+        return done, None if run is None else json.dumps(run, ensure_ascii=False)
 
     x = one.withColumn("__chunk", F.floor(F.col("frame") / chunk_frames))
     runs = chunked_fold(x, keys, "__chunk", ["frame"], step, _RUN)
@@ -171,7 +171,7 @@ def box_overlaps(boxes: DataFrame, thr: float, tile: int = 64) -> DataFrame:
 
 def stable_boxes(boxes: DataFrame, thr: float = 0.35, nms_thr: float = 0.5, k: int = 4) -> DataFrame:
     """Boxes seen again in another frame, overlapping ones reduced to the largest, at most ``k``."""
-    hits = box_overlaps(boxes, thr).where("aframe <> bframe").select("video_id", F.col("abox").alias("box")).distinct()
+    hits = stable(box_overlaps(boxes, thr).where("aframe <> bframe").select("video_id", F.col("abox").alias("box")).distinct())
     good = boxes.join(hits, ["video_id", "box"], "left_semi")
     kept = nms(good, nms_thr)
     area = (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))
@@ -185,6 +185,7 @@ def nms(boxes: DataFrame, thr: float = 0.5) -> DataFrame:
     its neighbours, until none is open.
     """
     area = (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))
+    boxes = stable(boxes)
     open_ = boxes.select("video_id", "box", F.struct((-area).alias("a"), F.col("box")).alias("prio"))
     edges = box_overlaps(boxes, thr).select("video_id", F.col("abox").alias("box"), F.col("bbox").alias("other"))
     edges = stable(edges)

@@ -225,23 +225,29 @@ def neighbours(
     return out
 
 
+Rows = list[dict]
+
+
 def chunked_fold(
     df: DataFrame,
     keys: Sequence[str],
     chunk: str,
     order: Sequence[str],
-    step: Callable[[pd.DataFrame, str | None, bool], tuple[pd.DataFrame, str | None]],
+    step: Callable[[Rows, str | None, bool], tuple[Rows, str | None]],
     schema: T.StructType,
 ) -> DataFrame:
-    """Run a sequential rule over each key, one chunk per task.
+    """Run a sequential rule over each key, one chunk at a time.
 
     ``step(rows, state, last)`` receives a chunk's rows in ``order``, the JSON
     state left by the chunk before (None for the first) and whether it is the
     key's last chunk; it returns output rows in ``schema`` and the state it
-    leaves.  Every chunk is first run with no incoming state; a chunk is rerun
-    while the state left by its predecessor differs from the one it was run
-    with.  The loop ends at the fixed point, which is the sequential result;
-    keys of one chunk take a single pass.
+    leaves.  Chunks are hash-partitioned, sorted, and streamed through the rule
+    in Arrow batches.
+
+    Every chunk is first run with no incoming state; a chunk is rerun while the
+    state left by its predecessor differs from the one it was run with.  The
+    loop ends at the fixed point, which is the sequential result; keys of one
+    chunk take a single pass.
     """
     group = [*keys, chunk]
     chunks = Window.partitionBy(*keys).orderBy(chunk)
@@ -253,7 +259,7 @@ def chunked_fold(
         .withColumn("__seq", F.row_number().over(chunks))
     )
     rows = join_keys(df, spans, group, "inner")
-    # One output column holds either a result row or the state a chunk leaves.
+    # One output row is either a result or, marked, the state a chunk leaves.
     out_schema = T.StructType(
         [*[df.schema[k] for k in group]]
         + [
@@ -261,33 +267,49 @@ def chunked_fold(
             T.StructField("__in", T.StringType()),
             T.StructField("__left", T.StringType()),
             T.StructField("__mark", T.BooleanType()),
-            T.StructField("__out", schema),
+            *schema.fields,
         ]
     )
     names = schema.fieldNames()
-    by = list(order)
+    columns = out_schema.fieldNames()
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(by, kind="stable")
-        head = pdf.iloc[0]
+    def settle(held: Rows) -> list[tuple]:
+        head = held[0]
         state = head["__in"] if isinstance(head["__in"], str) else None
-        result, left = step(pdf, state, bool(head["__last"]))
-        records = [None, *result[names].to_dict("records")]
-        data = {k: [head[k]] * len(records) for k in group}
-        data["__seq"] = [int(head["__seq"])] * len(records)
-        data["__in"] = [state] * len(records)
-        data["__left"] = [left] * len(records)
-        data["__mark"] = [True] + [False] * (len(records) - 1)
-        data["__out"] = records
-        return pd.DataFrame(data)
+        result, left = step(held, state, bool(head["__last"]))
+        key = tuple(head[k] for k in group)
+        tail = (int(head["__seq"]), state, left)
+        out = [(*key, *tail, True, *[None] * len(names))]
+        out += [(*key, *tail, False, *[r[n] for n in names]) for r in result]
+        return out
+
+    def run(batches: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
+        held: Rows = []
+        current = None
+        for batch in batches:
+            out: list[tuple] = []
+            for row in batch.to_dict("records"):
+                key = tuple(row[k] for k in group)
+                if held and key != current:
+                    out += settle(held)
+                    held = []
+                current = key
+                held.append(row)
+            if out:
+                yield pd.DataFrame(out, columns=columns)
+        if held:
+            yield pd.DataFrame(settle(held), columns=columns)
 
     def apply(part: DataFrame) -> DataFrame:
-        return part.groupBy(*group).applyInPandas(run, out_schema)
+        ordered = part.repartition(*group).sortWithinPartitions(*group, *order)
+        return ordered.mapInPandas(run, out_schema)
+
+    def results(part: DataFrame) -> DataFrame:
+        return part.where(~F.col("__mark")).select(*keys, *names)
 
-    first = rows.withColumn("__in", F.lit(None).cast("string"))
-    done = apply(first)
+    done = apply(rows.withColumn("__in", F.lit(None).cast("string")))
     if not spans.where("__seq > 1").limit(1).count():
-        return done.where(~F.col("__mark")).select(*keys, "__out.*")
+        return results(done)
     done = stable(done)
     while True:
         marks = done.where("__mark").select(*group, "__seq", "__in", "__left")
@@ -295,7 +317,7 @@ def chunked_fold(
         stale = wanted.where(~F.col("__in").eqNullSafe(F.col("__want"))).select(*group, "__want")
         stale = stable(stale)
         if not stale.limit(1).count():
-            return done.where(~F.col("__mark")).select(*keys, "__out.*")
+            return results(done)
         redo = join_keys(rows, stale.withColumnRenamed("__want", "__in"), group, "inner")
         kept = done.alias("l").join(stale.alias("r"), _on("l", "r", group), "left_anti")
         done = stable(kept.unionByName(apply(redo)))

@@ -88,12 +88,12 @@ def _(spark, sf):
 
 @query("jn18_interpolate_boxes", """WITH s AS (SELECT user_id AS video_id, event_id AS frame, value AS cx FROM events WHERE event_type IN ('view', 'click')), f AS (SELECT user_id AS video_id, event_id AS frame FROM events),
  b AS (SELECT f.video_id, f.frame, (SELECT max(frame) FROM s WHERE s.video_id = f.video_id AND s.frame <= f.frame) AS p, (SELECT min(frame) FROM s WHERE s.video_id = f.video_id AND s.frame >= f.frame) AS n FROM f)
- SELECT b.video_id, b.frame, round(CASE WHEN p IS NULL THEN sn.cx WHEN n IS NULL OR n = p THEN sp.cx ELSE sp.cx + (sn.cx - sp.cx) * (b.frame - p) / (n - p) END, 4) AS cx
+ SELECT b.video_id, b.frame, round(1e-8 + CASE WHEN p IS NULL THEN sn.cx WHEN n IS NULL OR n = p THEN sp.cx ELSE sp.cx + (sn.cx - sp.cx) * (b.frame - p) / (n - p) END, 6) AS cx
  FROM b LEFT JOIN s sp ON sp.video_id = b.video_id AND sp.frame = p LEFT JOIN s sn ON sn.video_id = b.video_id AND sn.frame = n""")
 def _(spark, sf):
     e = si.table(spark, sf, "events").select(F.col("user_id").alias("video_id"), F.col("event_id").alias("frame"), F.col("value").alias("cx"), "event_type")
     s = e.where("event_type in ('view', 'click')").select("video_id", "frame", "cx", F.lit(1.0).alias("cy"), F.lit(2.0).alias("w"), F.lit(3.0).alias("h"))
-    return fr.interpolate_boxes(e, s).select("video_id", "frame", F.round("cx", 4).alias("cx"))
+    return fr.interpolate_boxes(e, s).select("video_id", "frame", F.round(F.col("cx") + 1e-8, 6).alias("cx"))
 
 
 CUTS = """cu AS (SELECT DISTINCT user_id AS id, event_id * 977 % 600000 AS t FROM events WHERE event_type = 'view'), du AS (SELECT user_id AS id, 650000 AS d FROM events GROUP BY 1),
