@@ -13,10 +13,11 @@ Everything ordered within a track, job or query is built on these four ideas:
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Iterable, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
@@ -26,17 +27,30 @@ from pyspark.sql.window import Window
 CHUNK_ROWS = 65_536
 
 
-def stable(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` through a reliable checkpoint and cut its lineage."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not sc.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-            folder = tempfile.mkdtemp(prefix="spark-")
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for intermediate tables: the one the cluster names, else (local
+    mode only) a temporary folder."""
+    sc = spark.sparkContext
+    folder = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
+        folder = tempfile.mkdtemp(prefix="spark-")
         sc.setCheckpointDir(folder)
-    return df.checkpoint()
+        folder = sc.getCheckpointDir()
+    return folder
+
+
+def stable(df: DataFrame) -> DataFrame:
+    """Write ``df`` to a table in the shared folder and read it back.
+
+    Cuts the lineage, survives lost executors, runs the plan once, and gives
+    the planner the true size of what follows.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/reelgrid-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def small_rows(df: DataFrame, limit: int, what: str) -> list:
@@ -327,7 +341,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of an undirected edge list as (node, root).
 
     Alternating large-star and small-star rounds: a logarithmic number of
-    joins, no neighbour list is ever collected, one checkpoint per round.
+    joins, no neighbour list is ever collected, one written table per round.
     """
     e = (
         edges.where(F.col(a) != F.col(b))
