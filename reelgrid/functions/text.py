@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -29,19 +31,29 @@ def cjk_chars(c: str | Column) -> Column:
     return F.regexp_extract_all(F.lower(text_or_empty(c)), F.lit(CJK_CHAR), F.lit(0))
 
 
+def let(value: Column, fn: Callable[[Column], Column]) -> Column:
+    """Bind a costly value once and use it several times in ``fn``."""
+    return F.get(F.transform(F.array(value), lambda v: fn(v)), F.lit(0))
+
+
+def _cjk_tokens(chars: Column) -> Column:
+    n = F.greatest(F.size(chars) - 1, F.lit(0))
+    pairs = F.zip_with(F.slice(chars, 1, n), F.slice(chars, 2, n), lambda a, b: F.concat(F.lit("b:"), a, b))
+    return F.concat(F.transform(chars, lambda x: F.concat(F.lit("c:"), x)), pairs)
+
+
 def tokens(c: str | Column) -> Column:
     """Distinct search tokens: words, ``c:`` characters and ``b:`` bigrams.
 
     Bigrams run over the CJK characters of the text put side by side.
     """
-    chars = cjk_chars(c)
-    pairs = F.zip_with(
-        F.slice(chars, 1, F.greatest(F.size(chars) - 1, F.lit(0))),
-        F.slice(chars, 2, F.greatest(F.size(chars) - 1, F.lit(0))),
-        lambda a, b: F.concat(F.lit("b:"), a, b),
-    )
-    singles = F.transform(chars, lambda x: F.concat(F.lit("c:"), x))
-    return F.array_distinct(F.concat(words(c), singles, pairs))
+    def split(s: Column) -> Column:
+        latin = F.regexp_extract_all(s, F.lit("[a-z0-9]+"), F.lit(0))
+        chars = F.regexp_extract_all(s, F.lit(CJK_CHAR), F.lit(0))
+        cjk = F.when(s.rlike(CJK_CHAR), let(chars, _cjk_tokens)).otherwise(F.array().cast("array<string>"))
+        return F.array_distinct(F.concat(latin, cjk))
+
+    return let(F.lower(text_or_empty(c)), split)
 
 
 def path_tail(c: str | Column, parts: int = 3) -> Column:

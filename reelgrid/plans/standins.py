@@ -13,7 +13,13 @@ from reelgrid.functions import text as tx
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    """A driver table; a text table read by too few tasks is spread out first."""
+    df = spark.read.parquet(f"{sf}/{name}.parquet")
+    if name in ("documents", "conversations"):
+        cores = spark.sparkContext.defaultParallelism
+        if df.rdd.getNumPartitions() < cores:
+            return df.repartition(cores)
+    return df
 
 
 def _pick(col: str, mod: int, values: list[str]) -> F.Column:
