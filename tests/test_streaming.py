@@ -113,8 +113,8 @@ def test_fingerprint_watch_logs_changes_only(spark, tmp_path):
 def test_joined_passes(spark, tmp_path):
     kind = "video_id long, idx long, ts timestamp, end_ts timestamp, text string"
     for side, shift in (("a", 0), ("b", 1)):
-        spark.range(4).select(F.lit(1).alias("video_id"), F.col("id").alias("idx"), F.timestamp_seconds(F.col("id") * 5 + shift).alias("ts"),
-                              F.timestamp_seconds(F.col("id") * 5 + shift + 2).alias("end_ts"), F.lit("x").alias("text")).write.json(str(tmp_path / side))
+        spark.range(4).select(F.lit(1).alias("video_id"), F.col("id").alias("idx"), F.timestamp_seconds(F.col("id") * 5 + shift + 100).alias("ts"),
+                              F.timestamp_seconds(F.col("id") * 5 + shift + 102).alias("end_ts"), F.lit("x").alias("text")).write.json(str(tmp_path / side))
     a, b = (spark.readStream.schema(kind).json(str(tmp_path / s)) for s in ("a", "b"))
     got = _memory(sj.joined_passes(a, b), "jp")
     assert {(r["a_idx"], r["b_idx"]) for r in got.collect()} == {(i, i) for i in range(4)}
