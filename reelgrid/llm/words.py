@@ -12,6 +12,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 BLANK = 0x20
 CHUNK_BYTES = 1 << 21
@@ -99,7 +100,7 @@ def chunks(batches: Iterable[pa.RecordBatch], text: str = "text", most: int = CH
     for batch in batches:
         if not batch.num_rows:
             continue
-        size = pa.compute.binary_length(batch.column(text)).fill_null(0).to_numpy(zero_copy_only=False)
+        size = pc.binary_length(batch.column(text)).fill_null(0).to_numpy(zero_copy_only=False)
         part = np.cumsum(size, dtype=np.int64) // most
         cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
         for a, b in zip(cuts, cuts[1:]):
