@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .decontaminate import contamination
 from .language import identify
+from .lm_score import cross_entropy_difference
 from .near_dup import near_duplicates
 from .resample import importance_sample
 from .toxicity import toxicity
+from .vector_dup import near_vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -80,3 +82,25 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_importance_resampling")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance_sample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels").where("quality = 1"))
+
+
+@query("op5_lm_cross_entropy_difference")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cross_entropy_difference(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels").where("quality = 1"))
+
+
+@query("op6_vector_near_dedup", """
+WITH RECURSIVE v AS (
+  SELECT row_number() OVER () AS r, vec_id, label, CAST(embedding AS DOUBLE[]) AS e,
+    coalesce(label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0, false) AS good
+  FROM embeddings
+), links AS (
+  SELECT p.r AS a, q.r AS b, q.vec_id AS id FROM v p JOIN v q ON p.label = q.label AND p.r <> q.r AND p.good AND q.good AND len(p.e) = len(q.e)
+  WHERE list_cosine_similarity(p.e, q.e) >= 0.93
+), reach AS (SELECT a, b, id FROM links UNION SELECT x.a, l.b, l.id FROM reach x JOIN links l ON x.b = l.a
+), least_id AS (SELECT a, min(id) AS id FROM reach GROUP BY a
+), degree AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, least(vec_id, coalesce(id, vec_id)) AS component_id, vec_id = least(vec_id, coalesce(id, vec_id)) AS kept
+FROM v LEFT JOIN degree ON degree.a = r LEFT JOIN least_id ON least_id.a = r""")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(_table(spark, sf_dir, "embeddings"), cosine=0.93)
