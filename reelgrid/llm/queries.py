@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .decontaminate import contamination
 from .language import identify
 from .lm_score import cross_entropy_difference
+from .mixing import mix_plan
 from .near_dup import near_duplicates
 from .resample import importance_sample
 from .toxicity import toxicity
@@ -104,3 +105,9 @@ SELECT vec_id, coalesce(n, 0) AS n_links, least(vec_id, coalesce(id, vec_id)) AS
 FROM v LEFT JOIN degree ON degree.a = r LEFT JOIN least_id ON least_id.a = r""")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(_table(spark, sf_dir, "embeddings"), cosine=0.93)
+
+
+@query("op8_mixing")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plan = mix_plan(_table(spark, sf_dir, "documents"))
+    return plan.select("doc_id", "size", "source_size", "target", "taken", "shards")
