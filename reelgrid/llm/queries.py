@@ -11,6 +11,7 @@ from .language import identify
 from .lm_score import cross_entropy_difference
 from .mixing import mix_plan
 from .near_dup import near_duplicates
+from .pii import personal_data
 from .resample import importance_sample
 from .toxicity import toxicity
 from .vector_dup import near_vectors
@@ -124,3 +125,8 @@ SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes,
 FROM g""")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(_table(spark, sf_dir, "pages"), least=0)
+
+
+@query("op7_pii")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data(_table(spark, sf_dir, "documents"))
