@@ -15,8 +15,6 @@ shard, and rows are shuffled inside their shard.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -60,62 +58,43 @@ def targets(sizes: DataFrame, most: float = MOST) -> DataFrame:
     return unit.select("unit", F.inline("all")).select("source", F.col("size").cast("long").alias("source_size"), F.least(F.col("unit") * F.col("w"), most * F.col("size")).alias("target"))
 
 
-def _unit(*parts: Column) -> Column:
-    """A number in (0, 1) from a hash."""
-    return (F.pmod(F.xxhash64(*parts), F.lit(1 << 52)).cast("double") + 0.5) / F.lit(float(1 << 52))
+def _let(name: str, value: str, use: str) -> str:
+    """SQL for ``use``, in which ``name`` stands for ``value``, computed once."""
+    return f"transform(array({value}), {name} -> {use})[0]"
 
 
-def _log_factorial(n: Column) -> Column:
-    """ln n! by Stirling's series at n + 8, less the factors in between."""
-    x = n + 8.0
-    product = (n + 1) * (n + 2) * (n + 3) * (n + 4) * (n + 5) * (n + 6) * (n + 7)
-    return (x - 0.5) * F.log(x) - x + 0.5 * math.log(2 * math.pi) + 1 / (12 * x) - 1 / (360 * x * x * x) + 1 / (1260 * x * x * x * x * x) - F.log(product)
+def _log_factorial(n: str) -> str:
+    """SQL for ln n! less a constant: Stirling's series at n + 8, less the factors between."""
+    return _let("v", n, f"(v + 7.5D) * ln(v + 8) - v + 1 / (12 * (v + 8)) - 1 / (360 * pow(v + 8, 3)) - ln({' * '.join(f'(v + {i})' for i in range(1, 8))})")
 
 
-def hypergeometric(total: Column, good: Column, draws: Column, u: Column) -> Column:
-    """The quantile ``u`` of the number of good ones among ``draws`` without
+def hypergeometric(total: str, good: str, draws: str, u: str) -> str:
+    """SQL for the quantile ``u`` of the number of good ones among ``draws`` without
     replacement from ``total``: exact weights over all values within eight
     standard deviations (and one more on each side), always inside the support."""
-    low, high = F.greatest(draws - (total - good), F.lit(0)), F.least(draws, good)
-    n, k, d = total.cast("double"), good.cast("double"), draws.cast("double")
-    mean = F.when(n > 0, d * k / n).otherwise(F.lit(0.0))
-    spread = F.when(n > 1, F.sqrt(F.greatest(mean * (1 - k / n) * (n - d) / (n - 1), F.lit(0.0)))).otherwise(F.lit(0.0))
-    first, last = F.greatest(low, F.floor(mean - 8 * spread).cast("long") - 1), F.least(high, F.ceil(mean + 8 * spread).cast("long") + 1)
-    choose = lambda a, b: _log_factorial(a) - _log_factorial(b) - _log_factorial(a - b)
-    weight = F.transform(F.sequence(first, last), lambda x: F.exp(choose(k, x.cast("double")) + choose(n - k, d - x.cast("double")) - choose(n, d)))
-    whole = F.aggregate(weight, F.lit(0.0), lambda a, x: a + x)
-    step = F.aggregate(
-        weight, F.struct(F.lit(0.0).alias("sum"), F.lit(0).cast("long").alias("at")),
-        lambda a, x: F.struct((a["sum"] + x).alias("sum"), (a["at"] + F.when(a["sum"] + x < u * whole, F.lit(1)).otherwise(F.lit(0))).cast("long").alias("at")),
-    )
-    return F.least(first + step["at"], last)
+    log_weight = lambda x: "-(" + " + ".join(map(_log_factorial, (x, f"p.k - {x}", f"p.d - {x}", f"p.n - p.k - p.d + {x}"))) + ")"
+    count = "aggregate(w, named_struct('s', 0D, 'at', 0L), (a, x) -> named_struct('s', a.s + x, 'at', a.at + if(a.s + x < goal, 1L, 0L)), a -> a.at)"
+    pick = _let("goal", "p.u * aggregate(w, 0D, (a, x) -> a + x)", f"least(bigint(e.first) + {count}, bigint(e.last))")
+    weights = _let("w", f"transform(sequence(bigint(e.first), bigint(e.last)), x -> exp({_let('y', 'double(x)', log_weight('y'))} - top))", pick)
+    top = _let("top", _let("y", "greatest(e.first, least(e.last, e.mid))", log_weight("y")), weights)
+    ends = "named_struct('first', greatest(p.d - (p.n - p.k), 0D, floor(m.mean - 8 * m.spread) - 1D), 'last', least(p.d, p.k, ceil(m.mean + 8 * m.spread) + 1D), 'mid', round(m.mean))"
+    moments = "named_struct('mean', if(p.n > 0, p.d * p.k / p.n, 0D), 'spread', if(p.n > 1, sqrt(greatest(p.d * p.k / p.n * (1 - p.k / p.n) * (p.n - p.d) / (p.n - 1), 0D)), 0D))"
+    return _let("p", f"named_struct('n', double({total}), 'k', double({good}), 'd', double({draws}), 'u', double({u}))", _let("m", moments, _let("e", ends, top)))
 
 
-def split_quotas(quotas: DataFrame, levels: int = LEVELS, seed: int = 0) -> DataFrame:
+def split_quotas(ws: Workspace, quotas: DataFrame, levels: int = LEVELS, seed: int = 0) -> DataFrame:
     """source, shard, quota, begin: the splitting tree over ``quotas`` (source, n).
 
     A row is one node with the quotas of all its sources; each level halves the
     nodes.  ``begin`` counts the source's blocks in the shards before."""
     node = quotas.agg(F.array_sort(F.collect_list(F.struct(F.col("source").isNull().alias("last"), "source", F.col("n").cast("long").alias("n")))).alias("q")).select(F.lit(0).alias("shard"), "q")
-    start = lambda: F.struct(
-        F.aggregate("q", F.lit(0).cast("long"), lambda a, x: a + x["n"]).alias("total"), F.col("half").alias("draws"), F.array().cast("array<bigint>").alias("out")
-    )
     for level in range(levels):
-        whole = F.aggregate("q", F.lit(0).cast("long"), lambda a, x: a + x["n"])
-        node = node.withColumn("half", F.floor((whole + F.col("shard") % 2) / 2).cast("long"))
-
-        def deal(a: Column, x: Column) -> Column:
-            u = _unit(F.lit(seed), F.lit(level), F.col("shard"), x["source"], F.size(a["out"]))
-            got = hypergeometric(a["total"], x["n"], a["draws"], u)
-            return F.struct((a["total"] - x["n"]).alias("total"), (a["draws"] - got).alias("draws"), F.concat(a["out"], F.array(got)).alias("out"))
-
-        node = node.withColumn("left", F.aggregate("q", start(), deal)["out"])
-
-        def half(side: int) -> Column:
-            n = lambda x, i: F.col("left")[i] if side == 0 else x["n"] - F.col("left")[i]
-            return F.struct((F.col("shard") * 2 + side).alias("shard"), F.transform("q", lambda x, i: F.struct(x["last"].alias("last"), x["source"].alias("source"), n(x, i).alias("n"))).alias("q"))
-
-        node = node.select(F.inline(F.array(half(0), half(1))))
+        u = f"(pmod(xxhash64({seed}, {level}, shard, s.source, size(b.out)), 4503599627370496L) + 0.5D) / 4503599627370496D"
+        deal = _let("got", hypergeometric("b.total", "s.n", "b.draws", u), "named_struct('total', b.total - s.n, 'draws', b.draws - got, 'out', concat(b.out, array(got)))")
+        start = "named_struct('total', total, 'draws', bigint(floor((total + shard % 2) / 2)), 'out', cast(array() as array<bigint>))"
+        node = node.withColumn("total", F.expr("aggregate(q, 0L, (a, x) -> a + x.n)")).withColumn("left", F.expr(f"aggregate(q, {start}, (b, s) -> {deal}, b -> b.out)"))
+        half = lambda side, n: f"named_struct('shard', shard * 2 + {side}, 'q', transform(q, (x, i) -> named_struct('last', x.last, 'source', x.source, 'n', {n})))"
+        node = ws.keep(node.select(F.expr(f"inline(array({half(0, 'left[i]')}, {half(1, 'x.n - left[i]')}))")))
     flat = node.select("shard", F.inline("q"))
     before = Window.partitionBy("source").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     return flat.select("source", "shard", F.col("n").alias("quota"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("begin"))
@@ -182,7 +161,7 @@ def mix_plan(docs: DataFrame, seed: int = 0, levels: int = LEVELS, blocks: int =
     drawn = full.unionByName(part)
     w = Window.partitionBy("source").orderBy("epoch", order(F.col("epoch")), "block")
     drawn = ws.keep(drawn.withColumn("at", F.row_number().over(w) - 1))  # at most ``most * blocks`` draws of a source
-    quota = split_quotas(drawn.groupBy("source").agg(F.count(F.lit(1)).alias("n")), levels, seed).where("quota > 0")
+    quota = split_quotas(ws, drawn.groupBy("source").agg(F.count(F.lit(1)).alias("n")), levels, seed).where("quota > 0")
     q = quota.select(F.col("source").alias("s"), "shard", "begin", (F.col("begin") + F.col("quota")).alias("end"))
     dealt = drawn.join(q, F.col("source").eqNullSafe(F.col("s")) & (F.col("at") >= F.col("begin")) & (F.col("at") < F.col("end")))
     shards = dealt.groupBy("source", "block").agg(
