@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,3 +34,17 @@ def components(ws: Workspace, edges: DataFrame) -> DataFrame:
         left, label, turn = after, moved, turn + 1
     ws.drop(left)
     return label
+
+
+def smallest_reached(i: np.ndarray, j: np.ndarray, rows: int, columns: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each row and each column of a bipartite graph with links (i, j), the
+    smallest row that it is connected to (``rows`` for a column without links)."""
+    a, b = np.arange(rows), np.full(columns, rows)
+    while True:
+        np.minimum.at(b, j, a[i])
+        low = a.copy()
+        np.minimum.at(low, i, b[j])
+        low = low[low]
+        if (low == a).all():
+            return a, b
+        a = low

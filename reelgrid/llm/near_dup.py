@@ -7,9 +7,12 @@
    (the prefix), so only those are posted, rarest first: long posting lists are
    skipped, their coordinates are counted when two sets meet in a short one.
 3. In a posting list, sets that agree in ``matches`` coordinates are joined by a
-   spanning forest; its edges are confirmed on the full shingle sets.
-4. Where a list still holds agreeing sets of different confirmed groups, all
-   such pairs are confirmed too, so no link between groups is lost.
+   spanning forest.  Its components hold every agreeing pair.
+4. In each component the full shingle sets are intersected.  A large one is cut
+   into pieces that share some landmark sets, which joins the copies of all
+   pieces; then what is outside the largest confirmed group is intersected with
+   all sets of the component, piece by piece.  So no link is lost, no pairs are
+   written out, and no task holds more than a piece or two.
 
 Copies of one set are one node throughout, so a group of copies costs one row.
 At 64 coordinates and 36 matches a pair at similarity 0.8 fails to agree with
@@ -26,13 +29,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import words as W
-from .graph import components
+from .graph import components, smallest_reached
 from .store import Workspace
 
 COORDINATES = 64
 MATCHES = 36
 SKETCH_BITS = 18
 BLOCK = 512
+PIECE = 128
 
 _rng = np.random.default_rng(4099)
 _MULT = (_rng.integers(0, 1 << 31, 1024, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
@@ -123,14 +127,14 @@ def _postings(sets: DataFrame, sketch, coordinates: int, matches: int, bits: int
     return sets.select("node", "sig").mapInArrow(run, "token long, node long")
 
 
-def _blocks(lists: DataFrame, sets: DataFrame, block: int, extra: list[str] = []) -> DataFrame:
+def _blocks(lists: DataFrame, sets: DataFrame, block: int) -> DataFrame:
     """Give every posting list's members to tasks of at most about ``2 * block``
     members: long lists are cut by a hash and each pair of pieces is one group."""
     wide = lists.join(sets, "node")
     pieces = F.ceil(F.col("members") / block).cast("int")
     own = F.pmod(F.xxhash64("node", F.lit(11)), pieces).cast("int")
     pairs = F.transform(F.sequence(F.lit(0), pieces - 1), lambda p: F.struct(F.least(p, own).alias("lo"), F.greatest(p, own).alias("hi")))
-    return wide.select("token", "node", "n", "bits", own.alias("own"), *extra, F.inline(pairs)).repartition("token", "lo", "hi").sortWithinPartitions("token", "lo", "hi", "n", "node")
+    return wide.select("token", "node", "n", "bits", F.inline(pairs)).repartition("token", "lo", "hi").sortWithinPartitions("token", "lo", "hi", "n", "node")
 
 
 def _groups(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[pa.RecordBatch]:
@@ -153,12 +157,6 @@ def _groups(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[pa.R
         yield held[0] if len(held) == 1 else pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
-def _edges(batch_rows: pa.RecordBatch, coordinates: int):
-    size = batch_rows.num_rows
-    sig = np.frombuffer(b"".join(batch_rows.column("bits").to_pylist()), np.uint8).reshape(size, coordinates)
-    return batch_rows.column("node").to_numpy(), batch_rows.column("n").to_numpy(), sig, batch_rows.column("own").to_numpy()
-
-
 def _forest(blocks: DataFrame, coordinates: int, matches: int, percent: int) -> DataFrame:
     """Edges a, b of a spanning forest of the agreeing sets in each group."""
 
@@ -166,7 +164,8 @@ def _forest(blocks: DataFrame, coordinates: int, matches: int, percent: int) ->
         for group in _groups(batches, ["token", "lo", "hi"]):
             if group.num_rows < 2:
                 continue
-            node, n, sig, _ = _edges(group, coordinates)
+            node, n = group.column("node").to_numpy(), group.column("n").to_numpy()
+            sig = np.frombuffer(b"".join(group.column("bits").to_pylist()), np.uint8).reshape(len(node), coordinates)
             open_ = np.arange(len(node))
             a, b = [], []
             while len(open_) > 1:
@@ -186,41 +185,58 @@ def _forest(blocks: DataFrame, coordinates: int, matches: int, percent: int) ->
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _across(blocks: DataFrame, coordinates: int, matches: int, percent: int) -> DataFrame:
-    """All agreeing pairs of a group that are in different components so far."""
+def _intersections(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of sorted sets, from an incidence matrix made a
+    few thousand shared shingles at a time."""
+    out = np.zeros((len(left), len(right)), np.float32)
+    found, times = np.unique(np.concatenate([*left, *right]), return_counts=True)
+    common = found[times > 1]
+    places = []
+    for side in (left, right):
+        every = np.concatenate(side)
+        at = np.searchsorted(common, every)
+        at[at == len(common)] = 0
+        own = common[at] == every if len(common) else np.zeros(len(every), bool)
+        who = np.repeat(np.arange(len(side)), [len(x) for x in side])[own]
+        order = np.argsort(at[own], kind="stable")
+        places.append((at[own][order], who[order], len(side)))
+    for low in range(0, len(common), 4096):
+        part = []
+        for at, who, n in places:
+            i, j = np.searchsorted(at, [low, low + 4096])
+            m = np.zeros((n, 4096), np.float32)
+            m[who[i:j], at[i:j] - low] = 1
+            part.append(m)
+        out += part[0] @ part[1].T
+    return out
+
+
+def _linked(groups: DataFrame, k: int, percent: int) -> DataFrame:
+    """Edges a, b that join the sets of each group (group, side, node, text) that
+    are connected by links between its sides 0 and 1 (or within it, if all are 0)."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in _groups(batches, ["token", "lo", "hi"]):
-            root = group.column("root").to_numpy()
-            if group.num_rows < 2 or (root == root[0]).all():
+        for group in _groups(batches, ["group"]):
+            side = group.column("side").to_numpy()
+            node = group.column("node").to_numpy()
+            if len(np.unique(node)) < 2:
                 continue
-            node, n, sig, own = _edges(group, coordinates)
-            lo, hi = group.column("lo")[0].as_py(), group.column("hi")[0].as_py()
-            for i in range(len(node) - 1):
-                j = i + 1 + np.flatnonzero((root[i + 1 :] != root[i]) & (100 * n[i] >= percent * n[i + 1 :]))  # sorted by n
-                if lo != hi:
-                    j = j[own[j] != own[i]]
-                j = j[(sig[j] == sig[i]).sum(axis=1) >= matches] if len(j) else j
-                if len(j):
-                    yield pa.record_batch([pa.array(np.full(len(j), node[i])), pa.array(node[j])], names=["a", "b"])
-
-    found = blocks.mapInArrow(run, "a long, b long")
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-
-def _confirm(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs whose full shingle sets reach the similarity."""
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in W.chunks(batches, "text_a", W.CHUNK_BYTES // 4):
-            ok = []
-            for x, y in zip(_shingle_sets(batch, k, "text_a"), _shingle_sets(batch, k, "text_b")):
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+            sets = [s for part in W.chunks([group]) for s in _shingle_sets(part, k)]
+            one, two = np.flatnonzero(side == 0), np.flatnonzero(side == (1 if (side == 1).any() else 0))
+            if not len(one):
+                continue
+            x, y = [sets[i] for i in one], [sets[i] for i in two]
+            both = _intersections(x, y).astype(np.int64)
+            size = np.array([len(v) for v in x])[:, None] + np.array([len(v) for v in y])[None, :]
+            i, j = np.nonzero((100 * both >= percent * (size - both)) & (node[one][:, None] != node[two][None, :]))
+            if len(i):
+                low_a, low_b = smallest_reached(i, j, len(one), len(two))
+                i, j = np.unique(i), np.unique(j)
+                yield pa.record_batch(
+                    [pa.array(np.concatenate([node[one[i]], node[two[j]]])), pa.array(np.concatenate([node[one[low_a[i]]], node[one[low_b[j]]]]))], names=["a", "b"]
+                )
 
-    side = lambda s: texts.select(F.col("node").alias(s), F.col("text").alias(f"text_{s}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+    return groups.repartition("group").sortWithinPartitions("group", "node").mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(
@@ -230,6 +246,7 @@ def near_duplicates(
     coordinates: int = COORDINATES,
     matches: int = MATCHES,
     block: int = BLOCK,
+    piece: int = PIECE,
 ) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): n_shingles, component_id, kept.
 
@@ -267,9 +284,12 @@ def near_duplicates(
     ws.drop(sets)
     likely = ws.keep(_forest(_blocks(lists, small, block), coordinates, matches, percent))
 
+    ws.drop(lists, small)
+    maybe = components(ws, likely)
+    ws.drop(likely)
+
     # Texts of the documents that may have a partner, fetched once.
-    nodes = ws.keep(likely.select(F.col("a").alias("node")).unionByName(likely.select(F.col("b").alias("node"))).distinct())
-    wanted = copies.join(nodes, "node", "left_semi").select(F.col("first_id").alias("doc_id")).distinct()
+    wanted = copies.join(maybe, "node", "left_semi").select(F.col("first_id").alias("doc_id")).distinct()
 
     def named(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in W.chunks(batches):
@@ -277,14 +297,29 @@ def near_duplicates(
             yield pa.record_batch([pa.array(node, pa.int64()), batch.column("text")], names=["node", "text"])
 
     found = docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi").mapInArrow(named, "node long, text string")
-    texts = ws.keep(found.where("node is not null").dropDuplicates(["node"]))
-
-    sure = ws.keep(_confirm(likely, texts, shingle_words, percent))
-    root = components(ws, sure)
-    open_lists = lists.join(nodes, "node", "left_semi").join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    more = ws.keep(_across(_blocks(open_lists, small, block, ["root"]), coordinates, matches, percent))
-    more_sure = ws.keep(_confirm(more.join(likely, ["a", "b"], "left_anti"), texts, shingle_words, percent))
-    ws.drop(lists, small, texts, likely, more, nodes, root)
+    sizes = maybe.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / piece).cast("int").alias("pieces"))
+    homes = maybe.join(sizes, "root").withColumn("own", F.pmod(F.xxhash64("node", F.lit(21)), F.col("pieces")).cast("int"))
+    texts = ws.keep(found.where("node is not null").dropDuplicates(["node"]).join(homes, "node"))
+
+    # Every component in pieces; about a quarter of a piece is landmarks, in all of them.
+    everywhere = (F.col("pieces") > 1) & (F.pmod(F.xxhash64("node", F.lit(22)), F.col("pieces") * 4) == 0)
+    all_pieces = F.sequence(F.lit(0), F.col("pieces") - 1)
+    at = texts.select("root", "node", "text", F.explode(F.when(everywhere, all_pieces).otherwise(F.array("own"))).alias("p"))
+    sure = ws.keep(_linked(at.select(F.xxhash64("root", "p").alias("group"), F.lit(0).alias("side"), "node", "text"), shingle_words, percent))
+
+    # What is outside the largest confirmed group of a cut component, against all of it.
+    held = texts.where("pieces > 1").join(components(ws, sure).withColumnRenamed("root", "group"), "node", "left").withColumn("group", F.coalesce("group", "node"))
+    held = ws.keep(held)
+    largest = held.groupBy("root", "group").agg(F.count(F.lit(1)).alias("n")).groupBy("root").agg(F.max_by("group", F.struct("n", "group")).alias("largest"))
+    held = held.join(largest, "root").withColumn("outside", F.col("group") != F.col("largest"))
+    rest = held.where("outside").groupBy("root").agg(F.ceil(F.count(F.lit(1)) / piece).cast("int").alias("rest"))
+    held = held.join(rest, "root")
+    q = F.pmod(F.xxhash64("node", F.lit(23)), F.col("rest")).cast("int")
+    one = held.where("outside").select("root", "node", "text", F.lit(0).alias("side"), q.alias("q"), F.explode(all_pieces).alias("p"))
+    two = held.select("root", "node", "text", F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), F.col("rest") - 1)).alias("q"), F.col("own").alias("p"))
+    crossed = one.unionByName(two).select(F.xxhash64("root", "p", "q").alias("group"), "side", "node", "text")
+    more_sure = ws.keep(_linked(crossed, shingle_words, percent))
+    ws.drop(texts)
     root = components(ws, sure.unionByName(more_sure))
     grouped = copies.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = ws.keep(grouped.groupBy("root").agg(F.min("first_id").alias("component_id")).join(grouped, "root").select("node", "component_id"))

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .graph import components
+from .graph import components, smallest_reached
 from .near_dup import _groups
 from .samples import thin
 from .store import Workspace
@@ -187,7 +187,7 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.93, sample: int = SAMPLE,
             if not len(i):
                 continue
             links = np.bincount(i, b.column("copies").to_numpy()[j], len(x)).astype(np.int64)
-            first = _components(i, j, len(x), len(y))
+            first = smallest_reached(i, j, len(x), len(y))
             who, what = np.unique(i), np.unique(j)
             head = node_a[first[0][who]], node_a[first[1][what]]
             yield pa.record_batch(
@@ -204,17 +204,3 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.93, sample: int = SAMPLE,
     out = named.join(each, "node", "left")
     component = F.coalesce("component_id", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.col("vec_id").isNull() & F.col("component_id").isNull()).alias("kept"))
-
-
-def _components(i: np.ndarray, j: np.ndarray, n_a: int, n_b: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each row and each column of a bipartite graph given by its links, the
-    smallest row that it is connected to."""
-    a, b = np.arange(n_a), np.full(n_b, n_a)
-    while True:
-        np.minimum.at(b, j, a[i])
-        low = a.copy()
-        np.minimum.at(low, i, b[j])
-        low = low[low]
-        if (low == a).all():
-            return a, b
-        a = low
