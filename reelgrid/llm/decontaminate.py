@@ -34,8 +34,10 @@ def encode(values: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarra
     step = values.astype(np.int64)
     step[1:] -= np.where(first[1:], 0, values[:-1])
     size = np.ones(len(step), np.int64)
-    for bits in (7, 14, 21, 28):
+    bits = 7
+    while len(step) and int(step.max()) >> bits:
         size += step >= (1 << bits)
+        bits += 7
     end = np.cumsum(size)
     out = np.zeros(int(end[-1]) if len(end) else 0, np.uint8)
     begin = end - size
