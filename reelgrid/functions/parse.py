@@ -149,13 +149,13 @@ def public_slug(video_id: Column, title: Column) -> Column:
 
 
 @F.pandas_udf(T.StringType())
-def _nfkc(s: pd.Series) -> pd.Series:
+def nfkc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
 
 
 def normalize_keyword(c: str | Column, cap: int = 80) -> Column:
     """NFKC, single spaces, capped length."""
-    return F.substring(F.trim(F.regexp_replace(_nfkc(text_or_empty(c)), r"(?U)\s+", " ")), 1, cap)
+    return F.substring(F.trim(F.regexp_replace(nfkc(text_or_empty(c)), r"(?U)\s+", " ")), 1, cap)
 
 
 def to_clock(ms: str | Column, sep: str = ",") -> Column:

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from reelgrid.functions import fixed_values as fv
 from reelgrid.functions import tags as tg
-from reelgrid.functions.text import text_or_empty
-from reelgrid.operators.scale import small_list, stable, top_k
+from reelgrid.functions.text import short_grams, text_or_empty
+from reelgrid.operators.scale import join_keys, stable, top_k
 from reelgrid.operators.tagging import ext_of, stem_of
 
 def newest_first() -> list[Column]:
@@ -160,12 +160,19 @@ def expand_query(queries: DataFrame, synonyms: DataFrame) -> DataFrame:
     """Append synonyms: abbreviations, then strong ones, weak ones only if no strong hit.
 
     ``synonyms``: ord, key, words array<string>, cls in abbrev/strong/weak.
-    The dictionary is a fixed list and rides along as one array.
+    A key is looked up by its first two characters (one, if it has no more)
+    among those of the distinct queries; the entries found meet in one row per
+    query text.
     """
     q = text_or_empty("query")
     low = F.lower(q)
-    book = small_list(synonyms.select("ord", "key", "words", "cls"), 10_000, "synonym dictionary")
-    x = queries.withColumn("book", book)
+    asked = queries.select(F.col("query").alias("__q")).where("query is not null").distinct()
+    grams = asked.select("__q", F.explode(short_grams(F.lower("__q"))).alias("__g"))
+    entries = synonyms.where("key <> ''").select(F.struct("ord", "key", "words", "cls").alias("e"), F.substring(F.lower("key"), 1, 2).alias("__g"))
+    found = grams.join(entries, "__g").where(F.contains(F.lower("__q"), F.lower(F.col("e.key"))))
+    book = found.groupBy("__q").agg(F.array_sort(F.collect_list("e")).alias("book"))
+    x = queries.join(book, F.col("query") == F.col("__q"), "left").drop("__q")
+    x = x.withColumn("book", F.coalesce("book", F.array().cast(book.schema["book"].dataType)))
 
     def hit(e: Column) -> Column:
         latin = e["key"].rlike("^[\\x00-\\x7f]+$")
@@ -660,20 +667,22 @@ def ancestors(m: DataFrame) -> DataFrame:
         F.when(F.col("job").isNull() & F.col("__known"), F.col("parent")).alias("up"),
     )
     state = stable(state)
-    rounds = 0
-    while rounds < 64 and state.where("up is not null").limit(1).count():
+    still, last = state.where("up is not null").count(), -1
+    # A hop halves every open chain; rows on a parent cycle stay open for ever.
+    while still and still != last:
         hop = state.select(F.col("id").alias("up"), F.col("key").alias("__key"), F.col("up").alias("__up"))
         nxt = state.join(hop, "up", "left").select(
             "id", F.coalesce("key", "__key").alias("key"),
             F.when(F.coalesce("key", "__key").isNull(), F.col("__up")).alias("up"),
         )
         state = stable(nxt)
-        rounds += 1
+        still, last = state.where("up is not null").count(), still
     return state.select("id", "key")
 
 
 def collections(m: DataFrame) -> DataFrame:
-    """Collection key per asset of a result, with group counts; small groups stay loose."""
+    """Collections of a result with group counts, newest cover first; an item that is
+    in none, or alone in one that is no album, is a loose row of its own (key null)."""
     own = m.select(
         "id", "kind", "name", "created_at",
         F.when(
@@ -687,7 +696,13 @@ def collections(m: DataFrame) -> DataFrame:
         *[F.count_if(F.col("kind") == k).alias(k) for k in ["videos", "audio", "images", "docs"]],
         F.min_by("id", F.struct(F.when(F.col("kind") == "videos", 0).otherwise(1), age_key())).alias("cover_id"),
     )
-    return groups.where((F.col("members") >= 2) | F.col("key").startswith("album:"))
+    groups = groups.where((F.col("members") >= 2) | F.col("key").startswith("album:"))
+    grouped = join_keys(x, groups.select("key", F.lit(True).alias("__in")), ["key"])
+    loose = grouped.where(F.col("__in").isNull()).select(
+        F.lit(None).cast("string").alias("key"), F.lit(1).cast("long").alias("members"),
+        *[(F.col("kind") == k).cast("long").alias(k) for k in ["videos", "audio", "images", "docs"]], F.col("id").alias("cover_id"),
+    )
+    return groups.unionByName(loose)
 
 
 # --- versions ------------------------------------------------------------------

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from itertools import combinations
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reelgrid.functions.text import as_col
-from reelgrid.operators.scale import components, small_rows, stable, top_k
+from reelgrid.operators.scale import components, stable, top_k
 
 BANDS = 4
 BAND_BITS = 16
@@ -39,13 +37,6 @@ def hamming(a: str | Column, b: str | Column) -> Column:
     return F.bit_count(as_col(a).bitwiseXOR(as_col(b)))
 
 
-def _masks(radius: int) -> list[int]:
-    out = [0]
-    for r in range(1, radius + 1):
-        out += [sum(1 << b for b in bits) for bits in combinations(range(BAND_BITS), r)]
-    return out
-
-
 def _band(h: Column, j: int) -> Column:
     return F.shiftrightunsigned(h, j * BAND_BITS).bitwiseAND(F.lit(0xFFFF).cast("bigint"))
 
@@ -64,18 +55,23 @@ def hash_pairs(hashes: DataFrame, d: int) -> DataFrame:
     radius, the other its own bands, and an equi-join brings them together.
     A pair is kept only at its first agreeing band, so nothing is deduplicated.
     """
-    radii = _radii(d)
     h = hashes.select("h").where("h is not null").distinct()
+    return _meet(h, h, d).where("h_a < h_b")
+
+
+def _meet(left: DataFrame, right: DataFrame, d: int) -> DataFrame:
+    """h_a of ``left`` and h_b of ``right`` (columns h, distinct) within ``d``."""
+    radii = _radii(d)
     own = F.array(*[F.struct(F.lit(j).alias("band"), _band(F.col("h"), j).alias("v")) for j in range(BANDS) if radii[j] >= 0])
 
     def probe(j: int) -> Column:
-        masks = F.array(*[F.lit(m).cast("bigint") for m in _masks(radii[j])])
+        masks = F.filter(F.sequence(F.lit(0).cast("bigint"), F.lit((1 << BAND_BITS) - 1).cast("bigint")), lambda m: F.bit_count(m) <= radii[j])
         return F.transform(masks, lambda m: F.struct(F.lit(j).alias("band"), _band(F.col("h"), j).bitwiseXOR(m).alias("v")))
 
     probes = F.flatten(F.array(*[probe(j) for j in range(BANDS) if radii[j] >= 0]))
-    a = h.select(F.col("h").alias("h_a"), F.inline(probes))
-    b = h.select(F.col("h").alias("h_b"), F.inline(own))
-    x = a.join(b, ["band", "v"]).where((F.col("h_a") < F.col("h_b")) & (hamming("h_a", "h_b") <= d))
+    a = left.select(F.col("h").alias("h_a"), F.inline(probes))
+    b = right.select(F.col("h").alias("h_b"), F.inline(own))
+    x = a.join(b, ["band", "v"]).where(hamming("h_a", "h_b") <= d)
     xor = F.col("h_a").bitwiseXOR(F.col("h_b"))
     first = F.lit(None).cast("int")
     for j in reversed([j for j in range(BANDS) if radii[j] >= 0]):
@@ -126,17 +122,10 @@ def clusters(ph: DataFrame, d: int) -> DataFrame:
 
 
 def similar_to(ph: DataFrame, queries: DataFrame, d: int, k: int | None = None) -> DataFrame:
-    """Stored assets within ``d`` of each query hash (qid, qh), nearest first.
-
-    Few queries travel as literals with the scan; the stored hashes are not shuffled.
-    """
-    rows = small_rows(queries.select("qid", "qh").where("qh is not null"), 4096, "query hashes")
-    probe = F.array(*[F.struct(F.lit(r["qid"]).alias("qid"), F.lit(r["qh"]).cast("bigint").alias("qh")) for r in rows]) if rows else None
-    if probe is None:
-        return ph.select(F.col("id").alias("qid"), "id", F.lit(0).alias("dist")).limit(0)
-    near = F.filter(
-        F.transform(probe, lambda q: F.struct(q["qid"].alias("qid"), F.bit_count(F.col("h").bitwiseXOR(q["qh"])).alias("dist"))),
-        lambda q: q["dist"] <= d,
-    )
-    out = ph.where("h is not null").select("id", F.inline(near)).where(F.col("id") != F.col("qid"))
+    """Stored assets within ``d`` of each query hash (qid, qh), nearest first, by the
+    banded join between the distinct query hashes and the distinct stored ones."""
+    q = queries.select("qid", "qh").where("qh is not null")
+    x = ph.where("h is not null")
+    near = _meet(q.select(F.col("qh").alias("h")).distinct(), x.select("h").distinct(), d)
+    out = q.join(near, F.col("qh") == F.col("h_a")).join(x.select("id", "h"), F.col("h_b") == F.col("h")).select("id", "qid", "dist").where(F.col("id") != F.col("qid"))
     return out if k is None else top_k(out, ["qid"], [F.col("dist"), F.col("id")], k)

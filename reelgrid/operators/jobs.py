@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from reelgrid.functions.parse import nfkc
 from reelgrid.functions.text import text_or_empty
 from reelgrid.operators.scale import join_keys, positions, stable, top_k
 
@@ -129,7 +131,8 @@ def recent_failures(tasks: DataFrame, k: int = 5, terminal: Sequence[str] = ("do
 def unique_slugs(articles: DataFrame) -> DataFrame:
     """Number repeated slugs of a topic in id order: slug, slug-2, slug-3, ...
 
-    Repeats until no made-up slug collides with another row's.
+    A repeat takes the smallest number that no row of the topic has yet; this
+    is repeated until no made-up slug collides with another row's.
     """
     x = articles.select("topic_id", "id", "slug", F.col("slug").alias("final"))
     while True:
@@ -138,13 +141,19 @@ def unique_slugs(articles: DataFrame) -> DataFrame:
         if not dup.limit(1).count():
             return x
         m = join_keys(x, dup, ["topic_id", "final"])
-        # Rows that move are numbered across the whole slug, past every number in use.
         moving = m.where(F.col("__first").isNotNull() & (F.col("id") != F.col("__first")))
-        number = F.regexp_extract(F.col("final"), r"-(\d+)$", 1).cast("long")
-        base = F.concat(F.col("slug"), F.lit("-"))
-        used = x.where(F.startswith("final", base) & number.isNotNull()).groupBy("topic_id", "slug").agg(F.max(number).alias("__used"))
-        pos = join_keys(positions(moving, ["topic_id", "slug"], [F.col("id")], "__k"), used, ["topic_id", "slug"])
-        moved = pos.withColumn("final", F.concat("slug", F.lit("-"), (F.coalesce("__used", F.lit(1)) + F.col("__k")).cast("string")))
+        number = F.expr("try_cast(regexp_extract(final, '-([1-9][0-9]{0,17})$', 1) as bigint)")
+        base = x.withColumn("__u", number).where(F.col("__u") >= 2).select("topic_id", F.expr("left(final, length(final) - length(cast(__u as string)) - 1)").alias("slug"), "__u").distinct()
+        # The i-th number in use has __u - 1 - i free ones below it.  Ordered with the
+        # movers by that count, the row at position p takes the number p + 1.
+        base = base.join(moving.select("topic_id", "slug").distinct(), ["topic_id", "slug"], "left_semi")
+        used = positions(base, ["topic_id", "slug"], [F.col("__u")], "__i")
+        none = F.lit(None).cast(dict(x.dtypes)["id"])
+        line = positions(moving, ["topic_id", "slug"], [F.col("id")], "__v").select("topic_id", "slug", "id", "__v", F.lit(0).alias("__kind"), F.col("__v").alias("__tie")).unionByName(
+            used.select("topic_id", "slug", none.alias("id"), (F.col("__u") - 1 - F.col("__i")).alias("__v"), F.lit(1).alias("__kind"), F.col("__u").alias("__tie"))
+        )
+        placed = positions(line, ["topic_id", "slug"], [F.col("__v"), F.col("__kind"), F.col("__tie")], "__p").where("__kind = 0")
+        moved = placed.withColumn("final", F.concat("slug", F.lit("-"), (F.col("__p") + 1).cast("string")))
         stay = m.where(F.col("__first").isNull() | (F.col("id") == F.col("__first")))
         x = stable(stay.select("topic_id", "id", "slug", "final").unionByName(moved.select("topic_id", "id", "slug", "final")))
 
@@ -170,9 +179,9 @@ def feed_rows(articles: DataFrame, needle: str = "", free_points: int = 3) -> Da
 
     articles: id, title, summary, author, points array<string>.
     """
-    text = F.lower(F.concat_ws(" ", "title", "summary", "author", F.array_join(F.coalesce("points", F.array().cast("array<string>")), " ")))
+    text = F.lower(nfkc(F.concat_ws(" ", "title", "summary", "author", F.array_join(F.coalesce("points", F.array().cast("array<string>")), " "))))
     x = articles.select("id", text.alias("haystack"), F.slice("points", 1, free_points).alias("free_points"), (F.size("points") > free_points).alias("locked"))
-    return x.where(F.contains("haystack", F.lit(needle.lower()))) if needle else x
+    return x.where(F.contains("haystack", F.lit(unicodedata.normalize("NFKC", needle).lower()))) if needle else x
 
 
 def audit_articles(articles: DataFrame, languages: int) -> DataFrame:

@@ -12,7 +12,6 @@ from pyspark.sql import types as T
 from reelgrid.functions.similarity import caption_sim
 from reelgrid.operators.scale import join_keys, stable
 
-SMALL_GROUP = 200_000
 
 
 def _prefix_tokens(texts: DataFrame, keys: Sequence[str], ranks: DataFrame, thr: float) -> DataFrame:
@@ -66,32 +65,12 @@ def similar_texts(a: DataFrame, b: DataFrame, keys: Sequence[str], thr: float) -
 def greedy_matching(edges: DataFrame, group: Sequence[str], left: str, right: str, order: Sequence[str]) -> DataFrame:
     """Take edges in ``order`` (total per group), each end at most once.
 
-    Groups up to ``SMALL_GROUP`` edges are settled in one Arrow task each;
-    larger ones in rounds of joins, where every edge that comes first at both
-    of its ends is taken and its neighbours drop out.  Both give the same
-    matching.
+    Settled in rounds of joins: every edge that comes first at both of its ends
+    is taken and its neighbours drop out.
     """
-    edges = stable(edges)
-    sizes = edges.groupBy(*group).agg(F.count(F.lit(1)).alias("__n"))
-    sized = join_keys(edges, sizes, group, "inner")
-    schema = T.StructType([edges.schema[c] for c in edges.columns])
     names = list(edges.columns)
-
-    def settle(pdf: pd.DataFrame) -> pd.DataFrame:
-        used_l, used_r, keep = set(), set(), []
-        pdf = pdf.sort_values(list(order), kind="stable")
-        for i, (x, y) in enumerate(zip(pdf[left].tolist(), pdf[right].tolist())):
-            if x not in used_l and y not in used_r:
-                used_l.add(x)
-                used_r.add(y)
-                keep.append(i)
-        return pdf.iloc[keep][names]
-
-    small = sized.where(F.col("__n") <= SMALL_GROUP).drop("__n").groupBy(*group).applyInPandas(settle, schema)
-    if not sizes.where(F.col("__n") > SMALL_GROUP).limit(1).count():
-        return small
-    taken = small
-    rest = stable(sized.where(F.col("__n") > SMALL_GROUP).drop("__n"))
+    rest = stable(edges)
+    taken = rest.limit(0)
     key = F.struct(*order)
     while rest.limit(1).count():
         best_l = rest.groupBy(*group, left).agg(F.min(key).alias("__bl"))

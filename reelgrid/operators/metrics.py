@@ -7,20 +7,20 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reelgrid.operators.scale import join_keys, running, top_k
+from reelgrid.operators.scale import join_keys, running, stable, top_k
 
 
 def nearest_rank(df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float]) -> DataFrame:
     """Nearest-rank percentiles (index rounds half to even) from value counts.
 
     Only the distinct values of a key are ordered, with their multiplicity as a
-    running sum, so a key's size does not matter; values are split by magnitude
-    when a key has very many distinct ones.
+    running sum; the values of a key are spread over range partitions.
     """
     x = df.where(F.col(value).isNotNull())
     counts = x.groupBy(*keys, F.col(value).alias("__v")).agg(F.count(F.lit(1)).alias("__n"))
     total = x.groupBy(*keys).agg(F.count(F.lit(1)).alias("__total"))
-    counts = join_keys(counts, total, keys).withColumn("__chunk", F.floor(F.col("__v") / 1000.0))
+    counts = join_keys(counts, total, keys).repartitionByRange(*keys, "__v")
+    counts = stable(counts.withColumn("__chunk", F.spark_partition_id()))
     cum = running(counts, keys, "__chunk", [F.col("__v")], {"__cum": ("sum", F.col("__n"))})
     aggs = []
     for name, p in probs.items():

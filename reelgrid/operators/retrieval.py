@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from reelgrid.functions import fixed_values as fv
 from reelgrid.functions import tags as tg
 from reelgrid.functions.text import (
+    short_grams,
     as_col,
     channel_token_weight,
     field_token_weight,
@@ -406,21 +407,36 @@ def assemble(queries: DataFrame, ranked: DataFrame, m: DataFrame, limit: int, sc
     return top_k(kept, ["goal"], [F.col("o"), F.col("id")], limit, "pos").select("goal", "pos", "id")
 
 
-def drop_vetoed(queries: DataFrame, vetoes: Sequence[str]) -> DataFrame:
-    """Queries that contain, or are contained in, a vetoed phrase are dropped."""
+def vetoes(feedback: DataFrame) -> DataFrame:
+    """Phrases of rejected feedback rows, from both query fields: phrase."""
+    rows = feedback.where(~F.coalesce("accepted", F.lit(True)))
+    both = rows.select(F.explode(F.array(F.trim(text_or_empty("query")), F.trim(text_or_empty("proposed_query")))).alias("phrase"))
+    return both.where("phrase <> ''").distinct()
+
+
+def drop_vetoed(queries: DataFrame, vetoes: DataFrame) -> DataFrame:
+    """Queries that contain, or are contained in, a vetoed phrase are dropped.
+
+    ``vetoes``: phrase.  Two texts of which one contains the other share the
+    first two characters of the shorter one (or its only one), so they meet in
+    an equi-join on these.
+    """
     q = F.trim(text_or_empty("query"))
-    bad = F.lit(False)
-    for v in vetoes:
-        bad = bad | F.contains(q, F.lit(v)) | F.contains(F.lit(v), q)
-    return queries.where((q == "") | ~bad)
+    asked = queries.select(q.alias("q")).where("q <> ''").distinct()
+    phrases = vetoes.select("phrase").where("phrase <> ''").distinct()
+    inside = lambda long, short: long.select("*", F.explode(short_grams(long.columns[0])).alias("g")).join(short.select("*", F.substring(F.col(short.columns[0]), 1, 2).alias("g")), "g")
+    bad = inside(asked, phrases).where(F.contains("q", "phrase")).select("q").unionByName(inside(phrases, asked).where(F.contains("phrase", "q")).select("q")).distinct()
+    return queries.join(bad, q == F.col("q"), "left_anti")
 
 
 def entity_search(index: DataFrame, terms: Sequence[str], op: str = "and") -> DataFrame:
     """Ids that carry all (``and``) or any (``or``) of the terms."""
     want = list(dict.fromkeys(t.strip().lower() for t in terms if t.strip()))
     hit = index.where(F.col("entity").isin(want)).groupBy("id").agg(F.countDistinct("entity").alias("n"))
-    known = [r["entity"] for r in small_rows(index.where(F.col("entity").isin(want)).select("entity").distinct(), 10_000, "query terms")]
-    return hit.where(F.col("n") == len(known)) if op == "and" else hit
+    if op != "and":
+        return hit
+    known = index.where(F.col("entity").isin(want)).agg(F.countDistinct("entity").alias("n"))
+    return hit.join(known, "n", "left_semi")
 
 
 def doc_text(m: DataFrame, channels: DataFrame | None = None) -> DataFrame:

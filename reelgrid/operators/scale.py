@@ -132,12 +132,6 @@ def _merge(kind: str, local: Column, carry: Column) -> Column:
     return F.greatest(local, carry) if kind == "max" else F.least(local, carry)
 
 
-def spans_chunks(df: DataFrame, keys: Sequence[str], chunk: str) -> bool:
-    """Whether any key is longer than one chunk (one map-side reduced pass)."""
-    per = df.groupBy(*keys).agg(F.min(chunk).alias("__lo"), F.max(chunk).alias("__hi"))
-    return per.where(~F.col("__lo").eqNullSafe(F.col("__hi"))).limit(1).count() > 0
-
-
 def running(
     df: DataFrame,
     keys: Sequence[str],
@@ -145,24 +139,16 @@ def running(
     order: Sequence[Column],
     specs: dict[str, tuple[str, Column]],
     exclusive: bool = False,
-    split: bool | None = None,
 ) -> DataFrame:
     """Add running ``sum``/``max``/``min``/``count`` columns per key.
 
-    ``chunk`` must be non-decreasing in ``order`` within a key.  While every
-    key fits one chunk this is a plain window; otherwise (``split``) the input
-    is materialised once and only the per-chunk totals of a key meet in one
-    task.  ``exclusive`` leaves the current row out of its own value.
+    ``chunk`` must be non-decreasing in ``order`` within a key.  The input is
+    written once and only the per-chunk totals of a key meet in one task.
+    ``exclusive`` leaves the current row out of its own value.
     """
     group = [*keys, chunk]
     upto = -1 if exclusive else 0
     local = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, upto)
-    if split is None:
-        split = spans_chunks(df, keys, chunk)
-    if not split:
-        zero = {"sum": F.lit(0), "count": F.lit(0)}
-        cols = {n: _FOLD[kind](expr).over(local) for n, (kind, expr) in specs.items()}
-        return df.withColumns({n: F.coalesce(c, zero[specs[n][0]]) if specs[n][0] in zero else c for n, c in cols.items()})
     df = stable(df)
     before = Window.partitionBy(*keys).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
     named = df
@@ -192,23 +178,15 @@ def neighbours(
     order: Sequence[Column],
     lag: dict[str, str] | None = None,
     lead: dict[str, str] | None = None,
-    split: bool | None = None,
 ) -> DataFrame:
     """Previous/next row values per key, across chunk borders.
 
-    ``lag`` and ``lead`` map a new column name to an existing column; ``split``
-    is as in ``running``.
+    ``lag`` and ``lead`` map a new column name to an existing column.
     """
     group = [*keys, chunk]
     local = Window.partitionBy(*group).orderBy(*order)
     chunks = Window.partitionBy(*keys).orderBy(chunk)
     lag, lead = lag or {}, lead or {}
-    if split is None:
-        split = spans_chunks(df, keys, chunk)
-    if not split:
-        return df.withColumns(
-            {**{n: F.lag(c).over(local) for n, c in lag.items()}, **{n: F.lead(c).over(local) for n, c in lead.items()}}
-        )
     df = stable(df)
     edges, out = [], df
     rank = F.row_number().over(local)
@@ -321,10 +299,7 @@ def chunked_fold(
     def results(part: DataFrame) -> DataFrame:
         return part.where(~F.col("__mark")).select(*keys, *names)
 
-    done = apply(rows.withColumn("__in", F.lit(None).cast("string")))
-    if not spans.where("__seq > 1").limit(1).count():
-        return results(done)
-    done = stable(done)
+    done = stable(apply(rows.withColumn("__in", F.lit(None).cast("string"))))
     while True:
         marks = done.where("__mark").select(*group, "__seq", "__in", "__left")
         wanted = marks.withColumn("__want", F.lag("__left").over(chunks))

@@ -593,7 +593,8 @@ def _(spark, sf):
  k AS (SELECT doc_id, CASE WHEN up = 'job0' THEN 'root' ELSE up END AS key FROM w WHERE up IN ('job0','parent:gone')),
  g AS (SELECT key, count(*) AS members, count(*) FILTER (kind = 'videos') AS videos, count(*) FILTER (kind = 'docs') AS docs,
    arg_min(m.id, struct_pack(a := CASE WHEN kind = 'videos' THEN 0 ELSE 1 END, b := -created_s, c := m.id)) AS cover_id FROM k JOIN m USING (doc_id) GROUP BY key)
- SELECT * FROM g WHERE members >= 2""", recursive=True))
+ SELECT * FROM g WHERE members >= 2
+ UNION ALL SELECT NULL, 1, CASE WHEN kind = 'videos' THEN 1 ELSE 0 END, CASE WHEN kind = 'docs' THEN 1 ELSE 0 END, m.id FROM m LEFT JOIN k USING (doc_id) WHERE key IS NULL OR key NOT IN (SELECT key FROM g WHERE members >= 2)""", recursive=True))
 def _(spark, sf):
     m = si.materials(spark, sf)
     up = F.expr("case when doc_id = 0 then array('job:root') when doc_id % 11 = 0 then cast(array() as array<string>) "

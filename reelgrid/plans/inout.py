@@ -29,8 +29,10 @@ def _(spark, sf):
 
 @query("io4_upsert_materials", with_sql("m", body=""", i AS (SELECT m.*, quality FROM m JOIN labels USING (doc_id)),
  o AS (SELECT sha256, min(id) AS owner FROM m GROUP BY 1)
- SELECT m.id, CASE WHEN quality IS NULL THEN 'none' ELSE 'updated' END AS op, m.location FROM m LEFT JOIN labels l ON l.doc_id = m.doc_id AND m.location = 'external'
- UNION ALL SELECT 'new' || item_id, 'added', 'external' FROM benchmark"""))
+ SELECT m.id, CASE WHEN quality IS NULL THEN 'none' ELSE 'updated' END AS op, m.location, m.created_s, m.form,
+  CASE WHEN quality IS NULL THEN m.rel_path ELSE m.external_path END AS rel_path, array_to_string(m.topics, ',') AS topics
+ FROM m LEFT JOIN labels l ON l.doc_id = m.doc_id AND m.location = 'external'
+ UNION ALL SELECT sha256('b' || item_id)[:12], 'added', 'external', NULL, NULL, '/new/' || item_id, NULL FROM benchmark"""))
 def _(spark, sf):
     m = si.materials(spark, sf)
     have = m.where("location = 'external'").join(si.table(spark, sf, "labels").select("doc_id"), "doc_id", "left_semi")
@@ -38,9 +40,13 @@ def _(spark, sf):
     again = have.withColumn("sha256", F.concat("id", F.lit("-v2"))).select(*cols)
     new = si.table(spark, sf, "benchmark").select(
         F.concat(F.lit("new"), F.col("item_id").cast("string")).alias("id"), F.lit("docs").alias("kind"), F.lit("n.txt").alias("name"), F.lit(".txt").alias("ext"), F.lit(1).cast("long").alias("size"),
-        F.concat(F.lit("b"), F.col("item_id").cast("string")).alias("sha256"), tg.no_tags().alias("tags"), F.col("text").alias("description"), F.lit("").alias("source"),
+        F.sha2(F.concat(F.lit("b"), F.col("item_id").cast("string")), 256).alias("sha256"), tg.no_tags().alias("tags"), F.col("text").alias("description"), F.lit("").alias("source"),
         F.concat(F.lit("/new/"), F.col("item_id").cast("string")).alias("external_path"))
-    return ci.upsert_materials(m, again.unionByName(new)).select("id", "op", "location")
+    # An older version of each path comes along and must not win.
+    older = again.withColumn("sha256", F.concat("sha256", F.lit("-old"))).withColumn("at", F.lit(1))
+    both = again.withColumn("at", F.lit(2)).unionByName(older).unionByName(new.withColumn("at", F.lit(1)))
+    made = F.when(F.col("op") != "added", F.unix_timestamp("created_at"))
+    return ci.upsert_materials(m, both, "at").select("id", "op", "location", made.alias("created_s"), "form", "rel_path", F.array_join("topics", ",").alias("topics"))
 
 
 SRT = "concat_ws('\\n', cast(idx + 1 as string), concat(clock, ' --> ', clock2, ' X1:10 Y1:20'), line)"

@@ -267,10 +267,13 @@ def _(spark, sf):
     return x.select("qid", "id", "line_no", "t_ms", "scene_start_ms")
 
 
-@query("jn23_drop_vetoed", "SELECT doc_id, md5(text) AS digest FROM documents WHERE trim(text, ' ') = '' OR NOT (contains(text, 'tion') OR contains(text, 'oiç'))")
+@query("jn23_drop_vetoed", """WITH v AS (SELECT DISTINCT trim(p, ' ') AS p FROM (SELECT unnest([left(text, 14), CASE WHEN doc_id % 5 = 0 THEN right(text, 9) END]) AS p FROM documents JOIN labels USING (doc_id) WHERE quality = 0) WHERE trim(p, ' ') <> '')
+ SELECT doc_id, md5(text) AS digest FROM documents WHERE trim(text, ' ') = '' OR NOT EXISTS (SELECT 1 FROM v WHERE contains(trim(text, ' '), p) OR contains(p, trim(text, ' ')))""")
 def _(spark, sf):
     d = si.table(spark, sf, "documents").select("doc_id", F.col("text").alias("query"))
-    return rt.drop_vetoed(d, ["tion", "oiç"]).select("doc_id", F.md5("query").alias("digest"))
+    rows = si.table(spark, sf, "labels").join(si.table(spark, sf, "documents"), "doc_id").select(
+        (F.col("quality") == 1).alias("accepted"), F.substring("text", 1, 14).alias("query"), F.when(F.col("doc_id") % 5 == 0, F.expr("right(text, 9)")).alias("proposed_query"))
+    return rt.drop_vetoed(d, rt.vetoes(rows)).select("doc_id", F.md5("query").alias("digest"))
 
 
 @query("jn27_assemble", TOP_SQL + """, u AS (SELECT qid % 4 AS goal, id, min(struct_pack(a := qid, b := rank)) AS o FROM rk WHERE rank <= 8 GROUP BY 1, 2)

@@ -48,27 +48,34 @@ def scan_files(spark: SparkSession, root: str) -> DataFrame:
     return inventory(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root))
 
 
-def upsert_materials(catalog: DataFrame, incoming: DataFrame) -> DataFrame:
+def upsert_materials(catalog: DataFrame, incoming: DataFrame, order: str = "external_path") -> DataFrame:
     """Merge rows by external path, else by hash, else insert; one row per asset.
 
     incoming: id, kind, name, ext, size, sha256, tags, description, source,
-    external_path (one row per path).  Tags are united and settled, a
-    description is kept unless it was empty; ``op`` tells what happened.
+    external_path; of several rows for one path the last by ``order`` counts.  All
+    columns of the catalog are returned; only those of touched rows that the
+    rule names change, and ``op`` tells what happened.  Tags are united and
+    settled, a description is kept unless it was empty, a changed file of a path
+    takes name, size and hash anew and its relative path.  A new row has the first
+    12 digits of its hash as id (its own id without a hash), is created now, and
+    has null in columns that only the catalog has.
     """
-    inc = incoming.dropDuplicates(["external_path"])
     fields = ["kind", "name", "ext", "size", "sha256", "tags", "description", "source"]
-    i = inc.select("external_path", F.col("id").alias("i_id"), *[F.col(f).alias(f"i_{f}") for f in fields])
-    by_path = catalog.where(F.col("location") == "external").select("external_path", F.col("id").alias("hit"))
+    last = F.struct(F.col(order).alias("o"), "sha256", "id")
+    inc = incoming.groupBy("external_path").agg(F.max_by(F.struct("id", *fields), last).alias("r")).select("external_path", "r.*")
+    i = inc.select("external_path", F.coalesce(F.expr("left(sha256, 12)"), "id").alias("i_id"), *[F.col(f).alias(f"i_{f}") for f in fields])
+    by_path = catalog.where(F.col("location") == "external").groupBy("external_path").agg(F.min("id").alias("hit"))
     i = i.join(by_path, "external_path", "left")
     owner = catalog.groupBy(F.col("sha256").alias("i_sha256")).agg(F.min("id").alias("owner"))
     i = i.join(owner, "i_sha256", "left")
     i = i.withColumn("target", F.coalesce("hit", "owner", "i_id")).withColumn("via", F.when(F.col("hit").isNotNull(), "path").when(F.col("owner").isNotNull(), "hash").otherwise("new"))
-    # Several paths may carry the same content: they meet in one row per target.
+    # Several paths may carry the same content: they meet in one row per target,
+    # their distinct tags in one array (tags, not paths, are collected).
     one = i.groupBy("target").agg(
-        F.min_by(F.struct("via", "external_path", *[f"i_{f}" for f in fields if f != "tags"]), F.struct(F.when(F.col("via") == "path", 0).otherwise(1), F.col("external_path"))).alias("r"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set("i_tags")))).alias("i_tags"),
+        F.min_by(F.struct("via", "external_path", *[f"i_{f}" for f in fields if f != "tags"]), F.struct(F.when(F.col("via") == "path", 0).otherwise(1), F.col("external_path"))).alias("r")
     )
-    one = one.select("target", "r.*", "i_tags").withColumnRenamed("external_path", "i_path")
+    each = i.select("target", F.explode("i_tags").alias("t")).distinct().groupBy("target").agg(F.array_sort(F.collect_list("t")).alias("i_tags"))
+    one = one.join(each, "target", "left").select("target", "r.*", F.coalesce("i_tags", tg.no_tags()).alias("i_tags")).withColumnRenamed("external_path", "i_path")
     x = catalog.join(one, F.col("id") == F.col("target"), "full")
     path, new, touched = F.col("via") == "path", F.col("id").isNull(), F.col("target").isNotNull()
     audio = F.exists(F.coalesce("i_tags", tg.no_tags()), lambda t: t.startswith("has_audio:"))
@@ -77,17 +84,24 @@ def upsert_materials(catalog: DataFrame, incoming: DataFrame) -> DataFrame:
     moved = path & (F.col("sha256") != F.col("i_sha256"))
 
     def take(f: str, cond) -> F.Column:
-        return F.when(new | cond, F.col(f"i_{f}")).otherwise(F.col(f)).alias(f)
+        return F.when(new | cond, F.col(f"i_{f}")).otherwise(F.col(f))
 
     empty_desc = (F.trim(text_or_empty("description")) == "") | (path & (text_or_empty("i_description") != ""))
     empty_src = (F.trim(text_or_empty("source")) == "") | (path & (text_or_empty("i_source") != ""))
+    outside = F.when(new | (touched & (F.col("location") == "external")), F.col("i_path")).otherwise(F.col("external_path"))
+    changed = {
+        "id": F.coalesce("id", "target"), "kind": take("kind", touched), **{f: take(f, moved) for f in ["name", "ext", "size", "sha256"]},
+        "tags": F.when(touched, settled).otherwise(F.col("tags")), "description": take("description", touched & empty_desc), "source": take("source", touched & empty_src),
+        "external_path": outside, "location": F.coalesce("location", F.lit("external")),
+    }
+    if "rel_path" in catalog.columns:
+        changed["rel_path"] = F.when(new | moved, F.col("i_path")).otherwise(F.col("rel_path"))
+    if "orig_name" in catalog.columns:
+        changed["orig_name"] = F.when(new, F.col("i_name")).otherwise(F.col("orig_name"))
+    if "created_at" in catalog.columns:
+        changed["created_at"] = F.when(new, F.current_timestamp()).otherwise(F.col("created_at"))
     op = F.when(~touched, "none").when(new, "added").when(moved, "updated").otherwise("duplicate")
-    return x.select(
-        F.coalesce("id", "target").alias("id"), take("kind", touched), take("name", moved), take("ext", moved), take("size", moved), take("sha256", moved),
-        F.when(touched, settled).otherwise(F.col("tags")).alias("tags"), take("description", touched & empty_desc), take("source", touched & empty_src),
-        F.when(new | (touched & (F.col("location") == "external")), F.col("i_path")).otherwise(F.col("external_path")).alias("external_path"),
-        F.coalesce("location", F.lit("external")).alias("location"), op.alias("op"),
-    )
+    return x.select(*[changed.get(c, F.col(c)).alias(c) for c in catalog.columns], op.alias("op"))
 
 
 def export_frame(m: DataFrame, columns: Sequence[str] = tuple(schemas.EXPORT_COLUMNS)) -> DataFrame:

@@ -86,7 +86,7 @@ def alerts(metrics: DataFrame, max_error_rate: float, max_p95: float) -> DataFra
 
 CATALOG = (
     "id string, kind string, name string, ext string, size bigint, sha256 string, tags array<string>, description string, "
-    "source string, external_path string, location string"
+    "source string, external_path string, location string, created_at timestamp"
 )
 
 
@@ -100,7 +100,7 @@ def catalog_sync(files: DataFrame, catalog_path: str, prepare: Callable[[DataFra
     def batch(df: DataFrame, epoch: int) -> None:
         current = _generation(df.sparkSession, catalog_path, epoch, CATALOG)
         merged = upsert_materials(current, prepare(inventory(df)))
-        linked = cat.link_clip_parents(merged.withColumn("created_at", F.current_timestamp())).select("id", F.col("tags").alias("__t"))
+        linked = cat.link_clip_parents(merged).select("id", F.col("tags").alias("__t"))
         out = merged.join(linked, "id", "left").withColumn("tags", F.coalesce("__t", "tags")).drop("__t", "op")
         out.write.mode("overwrite").parquet(f"{catalog_path}/gen={epoch}")
 
@@ -182,21 +182,19 @@ def stale_jobs(progress: DataFrame, silent: str = "15 minutes", late: str = LATE
     return x.where(F.col("last_status").isin("queued", "running")).select("job_id", "last_ts", F.lit("failed").alias("status"))
 
 
-def vetoed_queries(queries: DataFrame, vetoes: Sequence[str]) -> DataFrame:
-    """Stream of queries without the vetoed ones."""
-    return retrieval.drop_vetoed(queries, vetoes)
+def vetoed_queries(queries: DataFrame, feedback: Callable[[], DataFrame], sink: Sink, checkpoint: str):
+    """Queries without the vetoed ones, per batch; feedback is read anew each time."""
+    def batch(df: DataFrame, epoch: int) -> None:
+        sink(retrieval.drop_vetoed(df, retrieval.vetoes(feedback())), epoch)
+
+    return queries.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def near_dup_check(incoming: DataFrame, stored: Callable[[], DataFrame], sink: Sink, checkpoint: str, d: int = 10, k: int = 5):
     """Advisory: the nearest stored hashes of every incoming hash (qid, qh), per batch."""
     def batch(df: DataFrame, epoch: int) -> None:
         ph = stored()
-        both = df.select(F.col("qh").alias("h")).unionByName(ph.select("h"))
-        pairs = dedup.hash_pairs(both, d)
-        sym = pairs.select("h_a", "h_b", "dist").unionByName(pairs.select(F.col("h_b").alias("h_a"), F.col("h_a").alias("h_b"), "dist"))
-        same = df.select(F.col("qh").alias("h_a"), F.col("qh").alias("h_b"), F.lit(0).alias("dist")).distinct()
-        hits = df.join(sym.unionByName(same), F.col("qh") == F.col("h_a")).join(ph.withColumnRenamed("h", "h_b"), "h_b")
-        sink(top_k(hits.where(F.col("id") != F.col("qid")).select("qid", "id", "dist"), ["qid"], [F.col("dist"), F.col("id")], k), epoch)
+        sink(dedup.similar_to(ph, df, d, k).select("qid", "id", "dist", "rank"), epoch)
 
     return incoming.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

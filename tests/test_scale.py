@@ -130,15 +130,30 @@ def test_nearest_middle_brute_force(spark):
         assert got[(t, i)] == str(best[1])
 
 
-def test_greedy_matching_rounds_equal_one_pass(spark, monkeypatch):
+def test_greedy_matching_rounds_equal_one_pass(spark):
     rnd = random.Random(1)
     rows = [(1, rnd.randint(0, 30), rnd.randint(0, 30), rnd.randint(0, 5)) for _ in range(300)]
     rows = sorted(set(rows))
     df = spark.createDataFrame(rows, "g long, l long, r long, w long")
-    one = sorted(matching.greedy_matching(df, ["g"], "l", "r", ["w", "l", "r"]).collect())
-    monkeypatch.setattr(matching, "SMALL_GROUP", 10)
-    many = sorted(matching.greedy_matching(df, ["g"], "l", "r", ["w", "l", "r"]).collect())
-    assert one == many
+    many = sorted(map(tuple, matching.greedy_matching(df, ["g"], "l", "r", ["w", "l", "r"]).collect()))
+    used_l, used_r, one = set(), set(), []
+    for g, l, r, w in sorted(rows, key=lambda x: (x[3], x[1], x[2])):
+        if l not in used_l and r not in used_r:
+            used_l.add(l)
+            used_r.add(r)
+            one.append((g, l, r, w))
+    assert sorted(one) == many
+
+
+def test_percentiles_of_small_values_spread_over_tasks(spark):
+    from reelgrid.operators.metrics import nearest_rank
+
+    rnd = random.Random(2)
+    rows = [(k, rnd.random()) for k in ("a", "b") for _ in range(3_001)]
+    got = {r["k"]: (r["p50"], r["p95"]) for r in nearest_rank(spark.createDataFrame(rows, "k string, v double"), ["k"], "v", {"p50": 0.5, "p95": 0.95}).collect()}
+    for k in ("a", "b"):
+        own = sorted(v for x, v in rows if x == k)
+        assert got[k] == (own[1500], own[2850])
 
 
 def test_similar_texts_loses_no_pair(spark):

@@ -71,11 +71,14 @@ def test_online_intervals(spark, tmp_path):
     assert got == {(1, 0, 10000, 10800, "甲乙丙"), (1, 0, 11000, 11400, "丁戊己")}
 
 
-def test_alerts_and_vetoes(spark):
+def test_alerts_and_vetoes(spark, tmp_path):
     m = spark.createDataFrame([("w", "a", 10, 5, 100.0), ("w", "b", 10, 0, 1.0)], "window_start string, kind string, count long, errors long, ms_p95 double")
     assert [(r["kind"], r["rule"]) for r in sj.alerts(m, 0.2, 50.0).collect()] == [("a", "error_rate"), ("a", "slow")]
-    q = spark.createDataFrame([("chicken wings",), ("beef",)], "query string")
-    assert [r[0] for r in sj.vetoed_queries(q, ["wings"]).collect()] == ["beef"]
+    spark.createDataFrame([("chicken wings",), ("beef",), ("win",), (" ",)], "query string").write.json(str(tmp_path / "q"))
+    feedback = spark.createDataFrame([("wings", "", False), ("x", "wins", False), ("beef", "", True)], "query string, proposed_query string, accepted boolean")
+    out = []
+    sj.vetoed_queries(spark.readStream.schema("query string").json(str(tmp_path / "q")), lambda: feedback, lambda df, e: out.extend(df.collect()), str(tmp_path / "cp")).awaitTermination()
+    assert sorted(r[0] for r in out) == [" ", "beef"]
 
 
 def test_near_dup_check(spark, tmp_path):
