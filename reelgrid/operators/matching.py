@@ -72,14 +72,14 @@ def greedy_matching(edges: DataFrame, group: Sequence[str], left: str, right: st
     rest = stable(edges)
     taken = rest.limit(0)
     key = F.struct(*order)
-    while rest.limit(1).count():
+    while not rest.isEmpty():
         best_l = rest.groupBy(*group, left).agg(F.min(key).alias("__bl"))
         best_r = rest.groupBy(*group, right).agg(F.min(key).alias("__br"))
         won = join_keys(join_keys(rest, best_l, [*group, left], "inner"), best_r, [*group, right], "inner")
         won = stable(won.where((key == F.col("__bl")) & (key == F.col("__br"))).select(*names))
         taken = taken.unionByName(won)
-        rest = rest.join(won.select(*group, left), [*group, left], "left_anti")
-        rest = stable(rest.join(won.select(*group, right), [*group, right], "left_anti").select(*names))
+        free = rest.join(won.select(*group, left), [*group, left], "left_anti").join(won.select(*group, right), [*group, right], "left_anti")
+        rest = stable(free.select(*names))
     return taken
 
 

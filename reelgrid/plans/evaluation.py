@@ -63,7 +63,9 @@ def _(spark, sf):
     return ev.gt_staleness(relevance(spark, sf), m)
 
 
-@query("ag21_fingerprint")
+@query("ag21_fingerprint", with_sql("m", body=""", h AS (SELECT sha256(concat_ws('|', coalesce(id, ''), coalesce(name, ''), coalesce(CAST(size AS VARCHAR), ''), coalesce(sha256, ''))) AS h FROM m),
+ s AS (SELECT CAST('0x' || h[1:3] AS INT) AS bucket, sum(CAST('0x' || h[4:15] AS BIGINT)) AS a, sum(CAST('0x' || h[16:27] AS BIGINT)) AS b, count(*) AS n FROM h GROUP BY 1)
+ SELECT sha256(string_agg(bucket || ':' || a || ':' || b || ':' || n, '|' ORDER BY bucket)) AS fingerprint, CAST(sum(n) AS BIGINT) AS rows FROM s"""))
 def _(spark, sf):
     return ev.fingerprint(si.materials(spark, sf), ["id", "name", "size", "sha256"])
 

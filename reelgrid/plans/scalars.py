@@ -164,7 +164,16 @@ def _(spark, sf):
     return si.table(spark, sf, "documents").select("doc_id", F.inline(ps.note_leaves(doc, ["title", "summary"])))
 
 
-@query("sc22_pixel_box")
+def _axis(lo: str, size: str, total: int, p: str, q: str) -> str:
+    at = f"greatest(1, least({total} - 3, CAST(round_even({lo} * {total}, 0) AS INT)))"
+    n = f"greatest(2, CAST(round_even({size} * {total}, 0) AS INT))"
+    return f"{at} AS {p}, greatest(2, CASE WHEN {at} + {n} >= {total} THEN {total} - {at} - 1 ELSE {n} END) AS {q}"
+
+
+@query("sc22_pixel_box", f"""WITH e AS (SELECT event_id, value / 500 AS v FROM events),
+ b AS (SELECT event_id, greatest(0.0::DOUBLE, least(0.98::DOUBLE, v - 0.01::DOUBLE)) AS nx, greatest(0.0::DOUBLE, least(0.98::DOUBLE, v / 2 - 0.01::DOUBLE * 0.5::DOUBLE)) AS ny FROM e),
+ s AS (SELECT *, greatest(0.02::DOUBLE, least(1.0::DOUBLE - nx, 0.2::DOUBLE + 2 * 0.01::DOUBLE)) AS nw, greatest(0.02::DOUBLE, least(1.0::DOUBLE - ny, 0.1::DOUBLE + 0.01::DOUBLE)) AS nh FROM b)
+ SELECT event_id, {_axis("nx", "nw", 1920, "x", "w")}, {_axis("ny", "nh", 1080, "y", "h")} FROM s""")
 def _(spark, sf):
     e = si.table(spark, sf, "events").select("event_id", (F.col("value") / 500).alias("v"))
     return e.select("event_id", ps.pixel_box(F.lit(1920), F.lit(1080), F.col("v"), F.col("v") / 2, F.lit(0.2), F.lit(0.1)).alias("b")).select("event_id", "b.*")
