@@ -8,21 +8,22 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from reelgrid.functions import fixed_values as fv
 from reelgrid.functions import tags as tg
 from reelgrid.functions.text import (
-    short_grams,
     as_col,
     channel_token_weight,
     field_token_weight,
     path_tail,
+    short_grams,
     text_or_empty,
     tokens,
 )
-from reelgrid.operators.scale import CHUNK_ROWS, join_keys, positions, running, small_rows, top_k
+from reelgrid.operators.blocks import block_products, unit_rows
+from reelgrid.operators.scale import CHUNK_ROWS, join_keys, positions, running, top_k
 
-MAX_QUERIES = 4_096
 
 
 def catalog_fields(m: DataFrame) -> dict[str, Column]:
@@ -128,34 +129,45 @@ def mean_vector(store: DataFrame) -> np.ndarray:
     return np.array([r["x"] for r in rows])
 
 
-def _unit(a: np.ndarray) -> np.ndarray:
-    n = np.sqrt((a * a).sum(axis=1, keepdims=True))
-    n[n == 0] = 1.0
-    return a / n
+def _cosines(store: pd.DataFrame, queries: pd.DataFrame, centre) -> np.ndarray:
+    """Stored vectors by query vectors."""
+    rows = lambda c: unit_rows(np.stack(c.to_numpy()).astype("float64") - centre)
+    return rows(store["vec"]) @ rows(queries["qvec"]).T
 
 
 def score_vectors(queries: DataFrame, store: DataFrame, mean: np.ndarray | None = None, keep: Sequence[str] = ("mid",)) -> DataFrame:
-    """Cosine of every stored vector with every query vector.
-
-    The queries are few (checked) and travel with the tasks as one matrix;
-    stored vectors stream past it in Arrow batches.
-    """
-    rows = sorted(small_rows(queries.select("qid", "qvec"), MAX_QUERIES, "query vectors"), key=lambda r: r["qid"])
-    qids = [r["qid"] for r in rows]
-    matrix = np.array([r["qvec"] for r in rows], dtype="float64").reshape(len(rows), -1)
+    """Cosine of every stored vector with every query vector, block by block."""
     centre = 0.0 if mean is None else mean
-    matrix = _unit(matrix - centre) if len(rows) else matrix
+    names = list(keep)
+    schema = T.StructType([*[store.schema[c] for c in names], queries.schema["qid"], T.StructField("cos", T.DoubleType())])
+
+    def run(s: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
+        if s.empty or q.empty:
+            return pd.DataFrame({f.name: [] for f in schema})
+        cos = _cosines(s, q, centre)
+        out = s[names].iloc[np.repeat(np.arange(len(s)), len(q))].reset_index(drop=True)
+        return out.assign(qid=np.tile(q["qid"].to_numpy(), len(s)), cos=cos.ravel())
+
+    return block_products(store.select(*names, "vec"), queries.select("qid", "qvec"), names[0], "qid", run, schema)
+
+
+def _best_vectors(queries: DataFrame, store: DataFrame, k: int, least: float) -> DataFrame:
+    """qid, mid, cos: what can be among the best ``k`` assets of a query, per block."""
+    schema = T.StructType([queries.schema["qid"], store.schema["mid"], T.StructField("cos", T.DoubleType())])
 
-    @F.pandas_udf("array<double>")
-    def cosines(vec: pd.Series) -> pd.Series:
-        if vec.empty or not len(matrix):
-            return pd.Series([[]] * len(vec))
-        block = _unit(np.stack(vec.to_numpy()).astype("float64") - centre)
-        return pd.Series(list(block @ matrix.T))
+    def run(s: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
+        parts = []
+        if not s.empty and not q.empty:
+            cos = _cosines(s, q, 0.0)
+            for j, qid in enumerate(q["qid"]):
+                own = pd.Series(cos[:, j], index=s["mid"].to_numpy())
+                own = own[own >= least].groupby(level=0).max()
+                if len(own) > k:  # scores are rounded later, so near ties stay
+                    own = own[own >= own.nlargest(k).iloc[-1] - 1e-3]
+                parts.append(pd.DataFrame({"qid": qid, "mid": own.index, "cos": own.to_numpy()}))
+        return pd.concat(parts) if parts else pd.DataFrame({f.name: [] for f in schema})
 
-    names = F.array(*[F.lit(q) for q in qids]) if qids else F.array().cast("array<bigint>")
-    scored = store.select(*keep, F.arrays_zip(names.alias("qid"), cosines("vec").alias("cos")).alias("z"))
-    return scored.select(*keep, F.inline("z"))
+    return block_products(store.select("mid", "vec"), queries.select("qid", "qvec"), "mid", "qid", run, schema)
 
 
 def dense_scores(queries: DataFrame, store: DataFrame) -> DataFrame:
@@ -165,9 +177,9 @@ def dense_scores(queries: DataFrame, store: DataFrame) -> DataFrame:
 
 def vector_topk(queries: DataFrame, store: DataFrame, k: int, min_score: float = 0.15, frames: DataFrame | None = None) -> DataFrame:
     """Top ``k`` assets by cosine; a frame channel counts with its best frame."""
-    hits = score_vectors(queries, store)
+    hits = _best_vectors(queries, store, k, min_score)
     if frames is not None:
-        hits = hits.unionByName(score_vectors(queries, frames))
+        hits = hits.unionByName(_best_vectors(queries, frames, k, min_score))
     best = hits.groupBy("qid", "mid").agg(F.max("cos").alias("cos")).where(F.col("cos") >= min_score)
     best = best.withColumn("score", F.bround("cos", 4))
     return top_k(best, ["qid"], [F.desc("score"), F.col("mid")], k).drop("cos")

@@ -53,21 +53,6 @@ def stable(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small_rows(df: DataFrame, limit: int, what: str) -> list:
-    """Collect a side that must be small; more than ``limit`` rows is an error."""
-    rows = df.limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"{what}: more than {limit} rows, split the input")
-    return rows
-
-
-def small_list(df: DataFrame, limit: int, what: str) -> Column:
-    """A small table as one sorted array value, checked against ``limit`` at run time."""
-    packed = df.limit(limit + 1).agg(F.sort_array(F.collect_list(F.struct(*df.columns))).alias("rows"))
-    over = F.raise_error(F.lit(f"{what}: more than {limit} rows"))
-    return packed.select(F.when(F.size("rows") > limit, over).otherwise(F.col("rows")).alias("rows")).scalar()
-
-
 def _cols(names: Iterable[str | Column]) -> list[Column]:
     return [F.col(n) if isinstance(n, str) else n for n in names]
 

@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from reelgrid.functions import fixed_values as fv
 from reelgrid.functions import tags as tg
 from reelgrid.functions.text import text_or_empty
-from reelgrid.operators.scale import small_list, top_k
+from reelgrid.operators.blocks import block_products, unit_rows
+from reelgrid.operators.scale import stable, top_k
 
 Rules = Sequence[tuple[Sequence[str], str]]
 
@@ -188,34 +192,35 @@ def zero_shot_tags(
 ) -> DataFrame:
     """Vocabulary terms whose softmax share of the image similarity is high.
 
-    images: mid, vec; vocab: term, vec (a controlled list); desc: id, text.
-    The vocabulary travels as one array, so an image meets every term in its
-    own row and the softmax needs no shuffle.
+    images: mid, vec; vocab: term, vec; desc: id, text.  Images meet the terms
+    in blocks; a block gives its best terms of an image, the largest cosine and
+    the sum of the exponentials relative to it, and these sums are merged.
     """
-    words = vocab.select("term", F.col("vec").cast("array<double>").alias("v"))
-    unit = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
-    words = words.withColumn("v", F.transform("v", lambda x: x / F.when(unit == 0, 1.0).otherwise(unit)))
-    terms = small_list(words, 20_000, "tag vocabulary")
-    img = images.select("mid", F.col("vec").cast("array<double>").alias("iv"), terms.alias("terms"))
-    norm = F.sqrt(F.aggregate("iv", F.lit(0.0), lambda a, x: a + x * x))
-    img = img.withColumn("__n", F.when(norm == 0, 1.0).otherwise(norm))
-    sims = F.transform(
-        "terms",
-        lambda t: F.struct(
-            t["term"].alias("term"),
-            (F.aggregate(F.zip_with("iv", t["v"], lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x) / F.col("__n")).alias("cos"),
-        ),
-    )
-    img = img.select("mid", sims.alias("sims")).withColumn("__top", F.array_max(F.transform("sims", lambda s: s["cos"])))
-    img = img.withColumn(
-        "__z", F.aggregate("sims", F.lit(0.0), lambda a, s: a + F.exp(F.lit(scale) * (s["cos"] - F.col("__top"))))
-    )
-    ranked = F.array_sort(
-        F.transform("sims", lambda s: F.struct((-s["cos"]).alias("neg"), s["term"].alias("term"),
-                                               (F.exp(F.lit(scale) * (s["cos"] - F.col("__top"))) / F.col("__z")).alias("p")))
-    )
-    best = F.filter(F.slice(ranked, 1, k), lambda s: s["p"] >= min_prob)
-    hits = img.select("mid", F.inline(best)).drop("neg")
+    schema = T.StructType([images.schema["mid"], vocab.schema["term"], *[T.StructField(c, T.DoubleType()) for c in ("cos", "most", "sum")]])
+
+    def run(img: pd.DataFrame, words: pd.DataFrame) -> pd.DataFrame:
+        if img.empty or words.empty:
+            return pd.DataFrame({f.name: [] for f in schema})
+        words = words.sort_values("term")  # equal cosines in the order of the terms
+        rows = lambda c: unit_rows(np.stack(c.to_numpy()).astype("float64"))
+        cos = rows(img["vec"]) @ rows(words["tvec"]).T
+        most = cos.max(axis=1)
+        total = np.exp(scale * (cos - most[:, None])).sum(axis=1)
+        best = np.argsort(-cos, axis=1, kind="stable")[:, :k]
+        n = best.shape[1]
+        first = np.arange(n) == 0
+        spread = lambda x: np.where(first[None, :], x[:, None], np.nan).ravel()  # noqa: E731  once per image and block
+        return pd.DataFrame({
+            "mid": np.repeat(img["mid"].to_numpy(), n), "term": words["term"].to_numpy()[best].ravel(),
+            "cos": np.take_along_axis(cos, best, 1).ravel(), "most": spread(most), "sum": spread(total),
+        })
+
+    found = block_products(images.select("mid", "vec"), vocab.select("term", F.col("vec").alias("tvec")), "mid", "term", run, schema)
+    found = stable(found.replace(float("nan"), None, ["most", "sum"]))
+    top = found.groupBy("mid").agg(F.max("most").alias("__top"))
+    part = found.where("most is not null").join(top, "mid").groupBy("mid", "__top").agg(F.sum(F.col("sum") * F.exp(F.lit(scale) * (F.col("most") - F.col("__top")))).alias("__z"))
+    best = top_k(found.select("mid", "term", "cos"), ["mid"], [F.desc("cos"), F.col("term")], k, "__r").join(part, "mid")
+    hits = best.withColumn("p", F.exp(F.lit(scale) * (F.col("cos") - F.col("__top"))) / F.col("__z")).where(F.col("p") >= min_prob)
     d = desc.select(F.col("id").alias("mid"), F.lower("text").alias("__d"))
     return hits.join(d, "mid", "left").select(
         "mid", "term", F.col("p").alias("score"),
