@@ -22,7 +22,7 @@ from reelgrid.functions.text import (
     tokens,
 )
 from reelgrid.operators.blocks import block_products, unit_rows
-from reelgrid.operators.scale import CHUNK_ROWS, join_keys, positions, running, top_k
+from reelgrid.operators.scale import CHUNK_ROWS, join_keys, positions, running, stable, top_k
 
 
 
@@ -83,10 +83,12 @@ def lexical_scores(
     """
     fields = catalog_fields(docs) if fields is None else fields
     weights = fv.FIELD_WEIGHTS if weights is None else weights
-    qt = query_tokens(queries)
+    # The queries' tokens and the vocabulary words they loosely match are written
+    # first: their true sizes let Spark keep the postings where they are.
+    qt = stable(query_tokens(queries))
     post = postings(docs, fields)
     strict = qt.select("qid", "qtok", F.col("qtok").alias("token"), "q_bigrams", F.lit(True).alias("strict"))
-    loose = loose_matches(qt, post.select("token").distinct()).select(
+    loose = stable(loose_matches(qt, post.select("token").distinct())).select(
         "qid", "qtok", "token", F.lit(0).alias("q_bigrams"), F.lit(False).alias("strict")
     )
     hits = post.join(strict.unionByName(loose), "token").select("qid", "id", "field", "qtok", "strict", "q_bigrams")

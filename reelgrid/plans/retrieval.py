@@ -84,10 +84,10 @@ def label_queries(spark: SparkSession, sf: str) -> DataFrame:
     v = si.vectors(spark, sf)
     d = si.table(spark, sf, "documents").select(F.col("doc_id").alias("mid"), "text")
     first = d.join(v, "mid").groupBy(F.col("label").alias("qid")).agg(F.min_by("text", "mid").alias("t"))
-    return first.select("qid", F.array_join(F.slice(tx.words("t"), 1, 3), " ").alias("query"))
+    return first.select("qid", F.array_join(tx.words("t"), " ").alias("query"))
 
 
-LQ = """q AS (SELECT label AS qid, array_to_string(list_slice(regexp_extract_all(lower(arg_min(text, doc_id)), '[a-z0-9]+'), 1, 3), ' ') AS query
+LQ = """q AS (SELECT label AS qid, array_to_string(regexp_extract_all(lower(arg_min(text, doc_id)), '[a-z0-9]+'), ' ') AS query
   FROM documents JOIN vec ON mid = doc_id GROUP BY label)"""
 RRF_SQL = "WITH " + si.SQL["m"] + ", " + si.SQL["vec"] + ", " + si.SQL["lv"] + ", " + LQ + ", " + FIELDS_SQL + ", " + DENSE_SQL + """,
  base AS (SELECT id, doc_id, row_number() OVER (ORDER BY created_s DESC, id) AS bp FROM m),
@@ -202,7 +202,7 @@ def _(spark, sf):
     return rt.vector_topk(si.label_vectors(spark, sf), si.vectors(spark, sf), 5, min_score=-1.0).select("qid", "mid", "score", "rank")
 
 
-@query("rt15_search", "WITH " + si.SQL["m"] + """, q0 AS (SELECT item_id AS qid, array_to_string(list_slice(regexp_extract_all(lower(text), '[a-z0-9]+'), 1, 3), ' ') AS query FROM benchmark),
+@query("rt15_search", "WITH " + si.SQL["m"] + """, q0 AS (SELECT item_id AS qid, array_to_string(regexp_extract_all(lower(text), '[a-z0-9]+'), ' ') AS query FROM benchmark),
  q1 AS (SELECT qid, query, CASE WHEN regexp_matches(query, '(^|[^a-z0-9])the([^a-z0-9]|$)') THEN ['article'] ELSE [] END AS ab,
   list_concat(CASE WHEN contains(query, 'tion') THEN ['action','motion'] ELSE [] END, CASE WHEN contains(query, 'ing') THEN ['gerund','action'] ELSE [] END) AS strong,
   CASE WHEN contains(query, 'with') THEN ['using','and'] ELSE [] END AS weak FROM q0),

@@ -70,7 +70,7 @@ def queries(spark: SparkSession, sf: str) -> DataFrame:
     b = table(spark, sf, "benchmark")
     return b.select(
         F.col("item_id").alias("qid"),
-        F.array_join(F.slice(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0)), 1, 3), " ").alias("query"),
+        F.array_join(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0)), " ").alias("query"),
     )
 
 
@@ -265,7 +265,7 @@ SQL = {
   CASE WHEN doc_id % 5 = 0 THEN ['影视'] ELSE ['短视频'] END AS usage, lang
   FROM documents)""",
     "q": """q AS (SELECT item_id AS qid,
-  array_to_string(list_slice(regexp_extract_all(lower(text), '[a-z0-9]+'), 1, 3), ' ') AS query FROM benchmark)""",
+  array_to_string(regexp_extract_all(lower(text), '[a-z0-9]+'), ' ') AS query FROM benchmark)""",
     "sc": """sc AS (SELECT lpad(cast(doc_id AS varchar), 9, '0') AS id, 'ocr' AS channel, text FROM documents
   UNION ALL SELECT lpad(cast(doc_id AS varchar), 9, '0'), 'visual', translate(lower(text), 'aeiou', '的一是不了') FROM documents)""",
     "cues": """cues AS (SELECT conv_id AS track_id, turn AS idx, turn * 2000 AS start_ms,
