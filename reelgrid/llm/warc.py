@@ -217,9 +217,13 @@ def read_chunks(index: DataFrame, folder: str, size: int = CHUNK, data: bool = T
     return index.mapInArrow(run, _CHUNKS + (", data binary" if data else ""))
 
 
-def spread(index: DataFrame, run_bytes: int = 1 << 26) -> DataFrame:
-    """Index rows dealt to tasks by stretches of an archive, in the order of the file."""
-    return index.repartition("path", F.floor(F.col("offset") / run_bytes)).sortWithinPartitions("path", "offset")
+def spread(index: DataFrame, run_bytes: int = 1 << 25) -> DataFrame:
+    """Index rows dealt to tasks by stretches of an archive, in the order of the file.
+
+    The number of tasks follows the bytes stored, not those of the index."""
+    stored = index.agg(F.sum("stored")).first()[0] or 0
+    tasks = max(index.sparkSession.sparkContext.defaultParallelism, -(-stored // run_bytes))
+    return index.repartition(tasks, "path", F.floor(F.col("offset") / run_bytes)).sortWithinPartitions("path", "offset")
 
 
 def round_trip(pages: DataFrame, least: int = 0, size: int = CHUNK) -> DataFrame:
