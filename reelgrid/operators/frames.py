@@ -155,50 +155,66 @@ def _tiles(x0: Column, y0: Column, x1: Column, y1: Column, size: int) -> Column:
     return F.explode(F.flatten(F.transform(tx, lambda i: F.transform(ty, lambda j: F.struct(i.alias("tx"), j.alias("ty"))))))
 
 
-def box_overlaps(boxes: DataFrame, thr: float, tile: int = 64) -> DataFrame:
-    """Pairs of boxes of one video with IoU >= thr, found through shared screen tiles.
+def _rectangles(boxes: DataFrame) -> DataFrame:
+    """Distinct rectangles of a video: rect (the smallest box id), first and last frame.
 
-    Equal boxes are compared once per distinct rectangle and frame.
+    A box that stays for many frames is one row.  Boxes without area overlap
+    nothing, not even each other, and stay apart.
     """
+    alone = F.when((F.col("x1") <= F.col("x0")) | (F.col("y1") <= F.col("y0")), F.col("box"))
+    return boxes.groupBy("video_id", *BOX, alone.alias("alone")).agg(F.min("box").alias("rect"), F.min("frame").alias("lo"), F.max("frame").alias("hi")).drop("alone")
+
+
+def rect_overlaps(rects: DataFrame, thr: float, tile: int = 64) -> DataFrame:
+    """video_id, rect, other: pairs of different rectangles of one video with IoU >= thr,
+    found through shared screen tiles."""
     def side(p: str) -> DataFrame:
-        s = _side(boxes, p)
+        s = rects.select("video_id", F.col("rect").alias(f"{p}rect"), *[F.col(c).alias(f"{p}{c}") for c in BOX])
         return s.withColumn("tile", _tiles(*[F.col(f"{p}{c}") for c in BOX], tile))
 
-    x = side("a").join(side("b"), ["video_id", "tile"]).where((F.col("abox") != F.col("bbox")) & (iou("a", "b") >= thr))
+    x = side("a").join(side("b"), ["video_id", "tile"]).where((F.col("arect") != F.col("brect")) & (iou("a", "b") >= thr))
     first = F.struct(F.floor(F.greatest("ax0", "bx0") / tile).alias("tx"), F.floor(F.greatest("ay0", "by0") / tile).alias("ty"))
-    return x.where(F.col("tile") == first).select("video_id", "aframe", "abox", "bframe", "bbox")
+    return x.where(F.col("tile") == first).select("video_id", F.col("arect").alias("rect"), F.col("brect").alias("other"))
 
 
 def stable_boxes(boxes: DataFrame, thr: float = 0.35, nms_thr: float = 0.5, k: int = 4) -> DataFrame:
-    """Boxes seen again in another frame, overlapping ones reduced to the largest, at most ``k``."""
-    hits = stable(box_overlaps(boxes, thr).where("aframe <> bframe").select("video_id", F.col("abox").alias("box")).distinct())
-    good = boxes.join(hits, ["video_id", "box"], "left_semi")
-    kept = nms(good, nms_thr)
+    """Boxes seen again in another frame, overlapping ones reduced to the largest, at most ``k``.
+
+    A rectangle's box in frame f is seen again when the frames of it and of the
+    rectangles like it are not all f.
+    """
+    rects = stable(_rectangles(boxes))
+    frames = rects.select("video_id", F.col("rect").alias("other"), "lo", "hi")
+    around = rect_overlaps(rects, thr).join(frames, ["video_id", "other"]).select("video_id", "rect", "lo", "hi")
+    seen = around.unionByName(rects.select("video_id", "rect", "lo", "hi")).groupBy("video_id", "rect").agg(F.min("lo").alias("__lo"), F.max("hi").alias("__hi"))
+    seen = rects.join(seen, ["video_id", "rect"]).where(F.col("__lo") < F.col("__hi")).select("video_id", *BOX, "rect", "__lo", "__hi")
     area = (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))
+    own = boxes.join(seen, ["video_id", *BOX]).where((area > 0) | (F.col("box") == F.col("rect"))).where((F.col("__lo") != F.col("frame")) | (F.col("__hi") != F.col("frame")))
+    kept = nms(own.select(*boxes.columns), nms_thr)
     return top_k(kept, VIDEO, [F.desc(area), F.col("box")], k)
 
 
 def nms(boxes: DataFrame, thr: float = 0.5) -> DataFrame:
     """Greedy suppression per video: the largest box wins over boxes with IoU >= thr.
 
-    Rounds of joins: a box with no larger open neighbour is kept and removes
-    its neighbours, until none is open.
+    Of equal boxes the first wins, so only distinct rectangles compete, in
+    rounds of joins: one with no larger open neighbour is kept and removes its
+    neighbours, until none is open.
     """
-    area = (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))
     boxes = stable(boxes)
-    open_ = boxes.select("video_id", "box", F.struct((-area).alias("a"), F.col("box")).alias("prio"))
-    edges = box_overlaps(boxes, thr).select("video_id", F.col("abox").alias("box"), F.col("bbox").alias("other"))
-    edges = stable(edges)
-    kept = None
-    open_ = stable(open_)
-    while open_.limit(1).count():
-        around = edges.join(open_.select("video_id", F.col("box").alias("other"), F.col("prio").alias("oprio")), ["video_id", "other"])
-        best = around.groupBy("video_id", "box").agg(F.min("oprio").alias("oprio"))
-        won = stable(join_keys(open_, best, ["video_id", "box"]).where(F.col("oprio").isNull() | (F.col("prio") < F.col("oprio"))).select("video_id", "box"))
-        kept = won if kept is None else kept.unionByName(won)
-        gone = edges.join(won, ["video_id", "box"], "left_semi").select("video_id", F.col("other").alias("box")).unionByName(won).distinct()
-        open_ = stable(open_.join(gone, ["video_id", "box"], "left_anti"))
-    return boxes if kept is None else boxes.join(kept, ["video_id", "box"], "left_semi")
+    rects = stable(_rectangles(boxes))
+    area = (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))
+    open_ = stable(rects.select("video_id", "rect", F.struct((-area).alias("a"), F.col("rect")).alias("prio")))
+    edges = stable(rect_overlaps(rects, thr))
+    kept = open_.select("video_id", "rect").limit(0)
+    while not open_.isEmpty():
+        around = edges.join(open_.select("video_id", F.col("rect").alias("other"), F.col("prio").alias("oprio")), ["video_id", "other"])
+        best = around.groupBy("video_id", "rect").agg(F.min("oprio").alias("oprio"))
+        won = stable(join_keys(open_, best, ["video_id", "rect"]).where(F.col("oprio").isNull() | (F.col("prio") < F.col("oprio"))).select("video_id", "rect"))
+        kept = kept.unionByName(won)
+        gone = edges.join(won, ["video_id", "rect"], "left_semi").select("video_id", F.col("other").alias("rect")).unionByName(won).distinct()
+        open_ = stable(open_.join(gone, ["video_id", "rect"], "left_anti"))
+    return boxes.join(kept.withColumnRenamed("rect", "box"), ["video_id", "box"], "left_semi")
 
 
 def removal_qc(diffs: DataFrame, miss_thr: float = 12.0, damage_thr: float = 12.0) -> DataFrame:

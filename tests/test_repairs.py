@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import random
+
 from pyspark.sql import functions as F
 
-from reelgrid.operators import catalog, discovery, jobs
+from reelgrid.operators import catalog, discovery, frames, jobs
 from reelgrid.operators.cues import coverage_rows
 from reelgrid.sources.catalog_io import upsert_materials
 
@@ -27,7 +29,7 @@ def test_a_run_over_a_gap_covers_its_cues(spark):
     """Cues 0, 1, 3, 4; the interval holds the first three lines."""
     rows = [(1, 0, 0, 900, "甲乙丙丁"), (1, 1, 1000, 1900, "戊己庚辛"), (1, 3, 3000, 3900, "壬癸子丑"), (1, 4, 4000, 4900, "寅卯辰巳")]
     iv = spark.createDataFrame([(1, 0, 60_000, 64_000, "甲乙丙丁戊己庚辛壬癸子丑")], CUES)
-    got = {(r["kind"], r["idx"]) for r in coverage_rows(spark.createDataFrame(rows, CUES), iv).collect()}
+    got = {(r["kind"], r["idx"]) for r in coverage_rows(spark.createDataFrame(rows, CUES), iv, thr=0.9).collect()}
     assert got == {("extra", 4)}
 
 
@@ -66,3 +68,45 @@ def test_topics_are_no_fixed_number(spark):
     topics = spark.range(20_000).select(F.col("id"), F.lit(0).alias("fresh_hours"))
     c = spark.createDataFrame([(19_999, 1.0), (7, 2.0)], "topic_id long, published_at double")
     assert discovery.filter_fresh(c, topics, 10.0).count() == 2
+
+
+BOXES = "video_id long, frame long, box long, x0 double, y0 double, x1 double, y1 double"
+
+
+def iou(a, b):
+    w, h = min(a[5], b[5]) - max(a[3], b[3]), min(a[6], b[6]) - max(a[4], b[4])
+    both = max(w, 0) * max(h, 0)
+    area = lambda r: (r[5] - r[3]) * (r[6] - r[4])
+    return both / (area(a) + area(b) - both) if area(a) + area(b) - both > 0 else 0
+
+
+def brute_nms(rows, thr):
+    kept = []
+    for r in sorted(rows, key=lambda r: (-(r[5] - r[3]) * (r[6] - r[4]), r[2])):
+        if all(k[0] != r[0] or iou(k, r) < thr for k in kept):
+            kept.append(r)
+    return kept
+
+
+def test_boxes_equal_brute_force(spark):
+    rnd = random.Random(6)
+    rows = []
+    for v in (1, 2):
+        for _ in range(80):
+            x, y = rnd.randrange(0, 200, 20), rnd.randrange(0, 100, 20)
+            rows.append((v, rnd.randrange(4), len(rows), float(x), float(y), float(x + rnd.choice([0, 30, 60])), float(y + rnd.choice([20, 40]))))
+    df = spark.createDataFrame(rows, BOXES)
+    assert {r["box"] for r in frames.nms(df, 0.5).collect()} == {r[2] for r in brute_nms(rows, 0.5)}
+    again = [r for r in rows if any(q[0] == r[0] and q[1] != r[1] and iou(q, r) >= 0.35 for q in rows)]
+    want = set()
+    for v in (1, 2):
+        own = sorted((r for r in brute_nms(again, 0.5) if r[0] == v), key=lambda r: (-(r[5] - r[3]) * (r[6] - r[4]), r[2]))
+        want |= {r[2] for r in own[:4]}
+    assert {r["box"] for r in frames.stable_boxes(df, 0.35, 0.5, 4).collect()} == want
+
+
+def test_a_box_in_many_frames_is_one_rectangle(spark):
+    df = spark.range(10_000).select(F.lit(1).cast("long").alias("video_id"), F.col("id").alias("frame"), F.col("id").alias("box"), *[F.lit(float(x)).alias(c) for c, x in zip(("x0", "y0", "x1", "y1"), (10, 10, 90, 40))])
+    assert frames._rectangles(df).count() == 1
+    assert frames.rect_overlaps(frames._rectangles(df), 0.35).count() == 0
+    assert [r["box"] for r in frames.stable_boxes(df).collect()] == [0]
