@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,13 +72,20 @@ def _(spark, sf):
     return ev.fingerprint(si.materials(spark, sf), ["id", "name", "size", "sha256"])
 
 
-@query("ag21_guard_state", "SELECT 'warn' AS state, false AS blocking")
+@query("ag21_guard_state", "SELECT * FROM (VALUES ('same', 'fresh', false), ('text', 'warn', false), ('corpus', 'stale', true), ('count', 'stale', true), ('gt', 'stale', true), ('unsaved', 'legacy', true), ('no gt', 'missing', true)) t(saved, state, blocking)")
 def _(spark, sf):
     m = si.materials(spark, sf)
     c = ev.fingerprint(m, ["id", "name", "size", "sha256"]).select(F.col("fingerprint").alias("corpus_hash"), F.col("rows").alias("materials"))
     t = ev.fingerprint(m, ["id", "description"]).select(F.col("fingerprint").alias("text_hash"))
-    now = c.join(t, F.lit(True))
-    return ev.guard_state(now, now.withColumn("text_hash", F.lit("old")), True, False)
+    now = c.withColumn("k", F.lit(0)).join(t.withColumn("k", F.lit(0)), "k").drop("k")
+    other = ev.fingerprint(m.where("doc_id > 0"), ["id", "name", "size", "sha256"]).select(F.col("fingerprint").alias("corpus_hash"), F.lit(0).alias("k"))
+    cases = {
+        "same": (now, True, False), "text": (now.withColumn("text_hash", F.lit("old")), True, False), "count": (now.withColumn("materials", F.col("materials") + 1), True, False),
+        "corpus": (now.drop("corpus_hash").withColumn("k", F.lit(0)).join(other, "k").drop("k"), True, False),
+        "gt": (now, True, True), "unsaved": (now.where("materials < 0"), True, False), "no gt": (now, False, False),
+    }
+    parts = [ev.guard_state(now, saved, has, old).select(F.lit(name).alias("saved"), "state", "blocking") for name, (saved, has, old) in cases.items()]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def named(spark: SparkSession, sf: str) -> DataFrame:
