@@ -30,7 +30,7 @@ def _(spark, sf):
     return cu.cue_range(si.cues(spark, sf), si.spans(spark, sf)).withColumn("seg", F.col("seg").cast("int"))
 
 
-REMAP = """o AS (SELECT *, CASE WHEN seg = 0 THEN 0 ELSE 6000 END AS cur FROM spans)
+REMAP = """o AS (SELECT *, seg * 6000 AS cur FROM spans)
  SELECT c.track_id, seg, idx, cur + greatest(c.start_ms, o.start_ms) - o.start_ms AS start_ms, cur + least(c.end_ms, o.end_ms) - o.start_ms AS end_ms, md5(trim(text, ' ')) AS text
  FROM o JOIN cues c ON c.track_id = o.track_id AND c.end_ms > o.start_ms AND c.start_ms < o.end_ms WHERE trim(text, ' ') <> ''"""
 

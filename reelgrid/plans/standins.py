@@ -133,12 +133,10 @@ def shown_lines(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def spans(spark: SparkSession, sf: str) -> DataFrame:
-    tracks = cues(spark, sf).select("track_id").distinct()
-    return tracks.select(
-        "track_id",
-        F.inline(F.expr("array(struct(0L as seg, 1000L as start_ms, 7000L as end_ms), "
-                        "struct(1L as seg, 9000L as start_ms, 15000L as end_ms))")),
-    )
+    """Six of every eight seconds of a track, from its start to its last cue."""
+    ends = cues(spark, sf).groupBy("track_id").agg(F.max("end_ms").alias("last"))
+    seg = ends.select("track_id", F.explode(F.sequence(F.lit(0).cast("long"), F.floor(F.col("last") / 8000))).alias("seg"))
+    return seg.select("track_id", "seg", (F.col("seg") * 8000 + 1000).alias("start_ms"), (F.col("seg") * 8000 + 7000).alias("end_ms"))
 
 
 def vectors(spark: SparkSession, sf: str) -> DataFrame:
@@ -273,8 +271,8 @@ SQL = {
     "pass2": """pass2 AS (SELECT track_id, idx, start_ms + (idx * 37) % 900 - 450 AS start_ms,
   end_ms + (idx * 37) % 900 - 450 AS end_ms,
   CASE WHEN idx % 5 = 0 THEN translate(text, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') ELSE text END AS text FROM cues WHERE idx % 7 <> 3)""",
-    "spans": """spans AS (SELECT track_id, seg, s0 AS start_ms, s1 AS end_ms FROM (SELECT DISTINCT track_id FROM cues),
-  (VALUES (0, 1000, 7000), (1, 9000, 15000)) v(seg, s0, s1))""",
+    "spans": """spans AS (SELECT track_id, CAST(seg AS INT) AS seg, seg * 8000 + 1000 AS start_ms, seg * 8000 + 7000 AS end_ms
+  FROM (SELECT track_id, unnest(range(0, max(end_ms) // 8000 + 1)) AS seg FROM cues GROUP BY track_id))""",
     "vec": "vec AS (SELECT vec_id AS mid, cast(embedding AS double[]) AS v, label FROM embeddings)",
     "lv": """lv AS (SELECT label AS qid, list(x ORDER BY pos) AS qv FROM (
   SELECT label, pos, avg(x) AS x FROM (SELECT label, unnest(v) AS x, generate_subscripts(v, 1) AS pos FROM vec)
