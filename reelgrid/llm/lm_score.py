@@ -1,10 +1,9 @@
 """Document scores by cross-entropy difference of two matched language models.
 
-Target and background model share the vocabulary, the word classes, the order
-and the smoothing; only their counts differ.  Words outside the most frequent
-ones share 64 classes; the models predict the class from the class before and
-the word from its class, so both tables have a fixed size and exact counts.
-Background counts cover all documents.
+Target and background model share the vocabulary, the order and the smoothing;
+only their counts differ.  ``cross_entropy_difference`` counts all word bigrams of
+all texts.  ``fit`` is the class model used before, of a fixed size over a sample;
+no query uses it any more.
 """
 
 from __future__ import annotations
@@ -14,6 +13,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -112,32 +113,190 @@ def fit(ws: Workspace, docs: DataFrame, target: DataFrame, rows: int = TARGET_RO
     return Models(single, words, np.stack(move), np.stack(word), np.stack(other))
 
 
-def cross_entropy_difference(docs: DataFrame, target: DataFrame, rows: int = TARGET_ROWS, vocabulary: int = VOCABULARY) -> DataFrame:
+#: An entry of a word: 48 bits of the word before, the text in its chunk (and whether it is a target text), how often.
+ENTRY = np.dtype([("low", "<u4"), ("high", "<u2"), ("row", "<u2"), ("n", "u1")])
+#: A text of a chunk.
+TEXT = np.dtype([("doc_id", "<i8"), ("known", "u1"), ("n_tokens", "<u4")])
+OWN = 1 << 15
+BEGIN, END = np.uint64(0x5BD1E9955BD1E995), np.uint64(0xC2B2AE3D27D4EB4F)
+HOT_SHARE = 2048
+FLUSH = 1 << 21
+
+
+def _pairs(batch: pa.RecordBatch) -> tuple[W.Words, np.ndarray, np.ndarray, np.ndarray]:
+    """Words of a chunk; word, word before and text of every step, each text's end among them."""
+    found = W.Words(batch.column("text"), W.letters_and_digits())
+    full = np.flatnonzero(found.counts)
+    last = found.ptr[1:][full]
+    word = np.insert(found.hashes(), last, END)
+    before = np.concatenate([[BEGIN], word[:-1]])[: len(word)].astype(np.uint64)
+    before[1:][word[:-1] == END] = BEGIN
+    return found, word, before, np.insert(found.rows(), last, full)
+
+
+def _pieces(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in W.chunks(batches, most=12 << 20):
+        for a in range(0, batch.num_rows, OWN):
+            yield batch.slice(a, OWN)
+
+
+def _starts(*sorted_keys: np.ndarray) -> np.ndarray:
+    new = np.ones(len(sorted_keys[0]), bool)
+    new[1:] = np.any([k[1:] != k[:-1] for k in sorted_keys], axis=0)
+    return np.flatnonzero(new)
+
+
+def cross_entropy_difference(docs: DataFrame, target: DataFrame) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): n_tokens, target_loss, background_loss
-    (nats per token) and score, their difference; the higher, the closer to the
-    documents named by ``target`` (doc_id).
+    (nats per word, the end of the text counting as one) and score, their difference;
+    the higher, the closer to the documents named by ``target`` (doc_id).
+
+    Both models are word bigrams over the vocabulary of all documents, counted over
+    all texts (background) and all texts named by ``target``:
+    p(w | v) = (c(v w) + SMOOTH p(w)) / (c(v) + SMOOTH), p(w) = (c(w) + 0.1) / (N + 0.1 V).
+
+    The bigrams of a chunk of texts travel once, to the task of their second word
+    (of a word with more than a 2048th of all steps, to the task of the pair, with the
+    word's counts broadcast); there they are counted and give their texts' sums.
 
     A null or empty text has no tokens and 0 for all losses; repeated rows score
     alike; without target texts the target model is flat; other columns are ignored.
     """
     ws = Workspace(docs.sparkSession)
-    held = docs.sparkSession.sparkContext.broadcast(fit(ws, docs, target, rows, vocabulary))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    ids = target.select(F.col("doc_id").cast("long")).where("doc_id is not null").distinct().toPandas()["doc_id"].to_numpy(np.int64)
+    named = docs.sparkSession.sparkContext.broadcast(np.sort(ids))  # eight bytes per target document
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = held.value
-        for batch in W.chunks(batches):
-            found = W.Words(batch.column("text"), W.letters_and_digits())
-            h, own, before = _steps(found, m.single)
-            at = np.minimum(np.searchsorted(m.words, h), max(len(m.words) - 1, 0))
-            known = m.words[at] == h if len(m.words) else np.zeros(len(h), bool)
-            row, n = found.rows(), found.counts
-            loss = []
-            for i in (0, 1):
-                each = m.move[i, before, own] + (np.where(known, m.word[i, at], m.other[i, own]) if len(m.words) else m.other[i, own])
-                loss.append(np.bincount(row, each, batch.num_rows) / np.maximum(n, 1))
+    def is_target(batch: pa.RecordBatch) -> np.ndarray:
+        ids, own = named.value, batch.column("doc_id").fill_null(0).to_numpy()
+        at = np.minimum(np.searchsorted(ids, own), max(len(ids) - 1, 0))
+        return (ids[at] == own) & batch.column("doc_id").is_valid().to_numpy(zero_copy_only=False) if len(ids) else np.zeros(len(own), bool)
+
+    def count_words(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _pieces(batches):
+            _, h, _, row = _pairs(batch)
+            word, at = np.unique(h, return_inverse=True)
+            own = is_target(batch)[row]
             yield pa.record_batch(
-                [batch.column("doc_id").cast(pa.int64()), pa.array(n), pa.array(loss[0]), pa.array(loss[1]), pa.array(loss[1] - loss[0])],
-                names=["doc_id", "n_tokens", "target_loss", "background_loss", "score"],
+                [pa.array(word.view(np.int64)), pa.array(np.bincount(at, minlength=len(word))), pa.array(np.bincount(at, own, len(word)).astype(np.int64))],
+                names=["word", "raw", "own"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, target_loss double, background_loss double, score double")
+    counts = ws.keep(texts.mapInArrow(count_words, "word long, raw long, own long").groupBy("word").agg(F.sum("raw").alias("raw"), F.sum("own").alias("own")))
+    all_own, all_raw, size = counts.agg(F.coalesce(F.sum("own"), F.lit(0)), F.coalesce(F.sum("raw"), F.lit(0)), F.count(F.lit(1))).first()
+    end = int(END.view(np.int64))
+    many = counts.where(F.col("word") == end).select("own", "raw").first() or (0, 0)
+    often = counts.where(F.col("raw") * HOT_SHARE > all_raw).toPandas()  # fewer than HOT_SHARE words
+    hot = often["word"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(hot)
+    held = docs.sparkSession.sparkContext.broadcast((hot[order], often[["own", "raw"]].to_numpy(float)[order].T))
+    total, begin = np.array([all_own, all_raw], float), np.log(np.array(many, float) + SMOOTH)
+
+    def is_hot(word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        hot = held.value[0]
+        at = np.minimum(np.searchsorted(hot, word), max(len(hot) - 1, 0))
+        return at, hot[at] == word if len(hot) else np.zeros(len(word), bool)
+
+    def deal(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId() << 24
+        for k, batch in enumerate(_pieces(batches)):
+            found, word, before, row = _pairs(batch)
+            row, hot = row.astype(np.uint16), is_hot(word)[1]
+            key = np.where(hot, W.mix(word + W.mix(before)), word)
+            order = np.lexsort((row, before, key))
+            key, before, row = key[order], before[order], row[order]
+            at = _starts(key, before, row)
+            n = np.diff(np.append(at, len(key)))
+            times = (n + 254) // 255
+            at, n = np.repeat(at, times), np.repeat(n, times)
+            first = np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times)
+            cut = _starts(key[at]) if len(at) else np.empty(0, np.int64)
+            # The pairs of a hot word begin with an entry of that word, which occurs 0 times.
+            hot = hot[order[at[cut]]]
+            lead = cut[hot]
+            entry = np.empty(len(at), ENTRY)
+            entry["low"], entry["high"], entry["n"] = before[at], before[at] >> np.uint64(32), np.minimum(n - 255 * first, 255)
+            entry["row"] = row[at] | np.where(is_target(batch), OWN, 0).astype(np.uint16)[row[at]]
+            name = np.zeros(len(lead), ENTRY)
+            name["low"] = is_hot(word[order[at[lead]]])[0]
+            entry = np.insert(entry, lead, name)
+            offsets = np.append(cut + np.cumsum(hot) - hot, len(entry)) * ENTRY.itemsize
+            data = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(cut), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(entry.tobytes())]).cast(pa.binary())
+            text = np.empty(batch.num_rows, TEXT)
+            text["doc_id"], text["known"], text["n_tokens"] = batch.column("doc_id").fill_null(0).to_numpy(), batch.column("doc_id").is_valid().to_numpy(zero_copy_only=False), found.counts
+            # A row for every word of the chunk, and one for its texts, with a negative number.
+            yield pa.record_batch([
+                pa.array(np.append(key[at[cut]], W.mix(np.array([part + k], np.uint64))).view(np.int64)),
+                pa.array(np.append(np.full(len(cut), part + k), -1 - part - k)),
+                pa.concat_arrays([data, pa.array([text.tobytes()], pa.binary())]),
+            ], names=["key", "chunk", "data"])
+
+    def weigh(batch: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Chunk, text and both sums of every entry of whole words (or pairs of a hot word)."""
+        data = batch.column("data").combine_chunks().cast(pa.large_binary())
+        off = np.frombuffer(data.buffers()[1], np.int64)[data.offset : data.offset + len(data) + 1]
+        entry = np.frombuffer(data.buffers()[2], np.uint8)[off[0] : off[-1]].view(ENTRY)
+        of = np.repeat(np.arange(len(data)), np.diff(off) // ENTRY.itemsize)
+        key, named = batch.column("key").to_numpy().view(np.uint64), entry["n"][(off[:-1] - off[0]) // ENTRY.itemsize] == 0
+        spot, often, real = np.where(named, entry["low"][(off[:-1] - off[0]) // ENTRY.itemsize], 0)[of], named[of], entry["n"] > 0
+        word, chunk, spot, often, entry = key[of][real], batch.column("chunk").to_numpy()[of][real], spot[real], often[real], entry[real]
+        before, n = entry["low"] | entry["high"].astype(np.uint64) << np.uint64(32), entry["n"].astype(float)
+        own = n * (entry["row"] >= OWN)
+        order = np.lexsort((before, word))
+        at = _starts(word[order], before[order])
+        pair = np.empty(len(order), np.int64)
+        pair[order] = np.repeat(np.arange(len(at)), np.diff(np.append(at, len(order))))
+        _, same = np.unique(word, return_inverse=True)
+        ends = (often & (held.value[0][spot] == END) if often.any() else False) | (word == END)
+        out = []
+        for i, x in enumerate((own, n)):
+            c_word = np.bincount(same, x)[same]
+            if often.any():
+                c_word = np.where(often, held.value[1][i][spot], c_word)
+            prior = (c_word + 0.1) / (total[i] + 0.1 * size)
+            # The word after its word before, and the word as the one before the next.
+            out.append(n * (np.where(ends, 0.0, np.log(c_word + SMOOTH)) - np.log(np.bincount(pair, x)[pair] + SMOOTH * prior)))
+        return chunk, (entry["row"] & (OWN - 1)).astype(np.int64), out[0], out[1]
+
+    names = ["place", "doc_id", "n_tokens", "own", "raw"]
+
+    def sums(parts: list[tuple]) -> pa.RecordBatch:
+        chunk, row, own, raw = (np.concatenate(x) for x in zip(*parts))
+        which, at = np.unique(chunk, return_inverse=True)
+        key, at = np.unique((at << 15) | row, return_inverse=True)
+        none = pa.nulls(len(key), pa.int64())
+        return pa.record_batch([pa.array((which[key >> 15] << 15) | (key & (OWN - 1))), none, none, pa.array(np.bincount(at, own)), pa.array(np.bincount(at, raw))], names=names)
+
+    def gather(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept, rest, waiting = [], [], 0
+        for batch in batches:
+            is_text = pc.less(batch.column("chunk"), 0)
+            for row in batch.filter(is_text).to_pylist():
+                text = np.frombuffer(row["data"], TEXT)
+                zero = pa.array(np.zeros(len(text)))
+                place = ((-1 - row["chunk"]) << 15) + np.arange(len(text))
+                yield pa.record_batch([pa.array(place), pa.array(text["doc_id"], mask=text["known"] == 0), pa.array(text["n_tokens"].astype(np.int64)), zero, zero], names=names)
+            batch = batch.filter(pc.invert(is_text))
+            if not batch.num_rows:
+                continue
+            key = batch.column("key").to_numpy()
+            cut = int(_starts(key)[-1])  # the last key may go on in the next batch
+            if rest and rest[-1].column("key")[0].as_py() != key[0] or cut:
+                kept.append(weigh(pa.Table.from_batches([*rest, batch.slice(0, cut)])))
+                waiting += len(kept[-1][0])
+                rest = []
+            rest.append(batch.slice(cut))
+            if waiting >= FLUSH:
+                yield sums(kept)
+                kept, waiting = [], 0
+        if rest:
+            kept.append(weigh(pa.Table.from_batches(rest)))
+        if kept:
+            yield sums(kept)
+
+    dealt = texts.mapInArrow(deal, "key long, chunk long, data binary").repartition("key").sortWithinPartitions("key")
+    added = dealt.mapInArrow(gather, "place long, doc_id long, n_tokens long, own double, raw double").groupBy("place").agg(
+        F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), F.sum("own").alias("own"), F.sum("raw").alias("raw")
+    )
+    loss = lambda c, i: F.when(F.col("n_tokens") > 0, (F.col(c) + float(begin[i])) / (F.col("n_tokens") + 1)).otherwise(F.lit(0.0))
+    return added.select("doc_id", "n_tokens", loss("own", 0).alias("target_loss"), loss("raw", 1).alias("background_loss")).withColumn("score", F.col("background_loss") - F.col("target_loss"))

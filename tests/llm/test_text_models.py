@@ -188,3 +188,33 @@ def test_cross_entropy_difference(spark):
     odd = lm_score.cross_entropy_difference(table(spark, odd_texts()), spark.createDataFrame([], "doc_id long")).collect()
     assert len(odd) == len(odd_texts()) and [r.score for r in odd if r.doc_id in (1, 2, 3)] == [0, 0, 0]
     assert lm_score.cross_entropy_difference(table(spark, []), spark.createDataFrame([(1,)], "doc_id long")).collect() == []
+
+
+def test_bigram_losses_equal_brute_force(spark):
+    """All words and all target texts count: also with more words than any fixed table of classes."""
+    r = random.Random(4)
+    docs = [(i, " ".join(f"w{r.randrange(3000)}" if r.random() < 0.7 else "the" for _ in range(r.randrange(60)))) for i in range(300)]
+    docs += [(7, docs[7][1]), (8, "another text of number eight"), (None, "the w1"), (400, None), (401, "a b " * 700)]
+    wanted = {i for i in range(0, 402, 3)}
+    got = lm_score.cross_entropy_difference(table(spark, docs), spark.createDataFrame([(i,) for i in wanted] + [(None,), (3,)], "doc_id long")).collect()
+    steps = lambda t: list(zip(["<", *(w := lower(t).split())], [*w, ">"])) if lower(t).split() else []
+    want = []
+    models = []
+    for own in (True, False):
+        pair, word, ctx = {}, {}, {}
+        for i, t in docs:
+            for v, w in steps(t) if not own or i in wanted else []:
+                pair[v, w], word[w], ctx[v] = pair.get((v, w), 0) + 1, word.get(w, 0) + 1, ctx.get(v, 0) + 1
+        models.append((pair, word, ctx))
+    size = len(models[1][1])
+    for i, t in docs:
+        loss = []
+        for pair, word, ctx in models:
+            p = lambda v, w: (pair.get((v, w), 0) + 10 * (word.get(w, 0) + 0.1) / (sum(word.values()) + 0.1 * size)) / (ctx.get(v, 0) + 10)
+            s = steps(t)
+            loss.append(-sum(np.log(p(v, w)) for v, w in s) / len(s) if s else 0.0)
+        want.append((i, max(len(steps(t)) - 1, 0), *loss))
+    order = lambda x: (x[0] is None, x[0] or 0, x[1])
+    got, want = sorted((tuple(r)[:4] for r in got), key=order), sorted(want, key=order)
+    assert [g[:2] for g in got] == [w[:2] for w in want]
+    assert np.allclose([g[2:] for g in got], [w[2:] for w in want])
