@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reelgrid.llm.decontaminate import contamination
-from reelgrid.llm.mixing import mix_plan
+from reelgrid.llm.mixing import draw
 from reelgrid.llm.near_dup import near_duplicates
 from reelgrid.llm.pii import fit as fit_pii, redact
 from reelgrid.llm.store import Workspace
@@ -52,8 +52,9 @@ def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix: lang, source and n_chars of each document with its size, its source's
-    size and target, the words taken and the output shard of each copy."""
-    return mix_plan(docs.select(*COLUMNS))
+    size and target, the words taken and the output shard of each copy.  The copies
+    are drawn, shuffled and written with their texts; ``run`` returns them."""
+    return draw(docs.select(*COLUMNS))[0]
 
 
 STAGES = [("toxicity", toxicity), ("near_dedup", near_dedup), ("decontamination", decontamination), ("pii", pii), ("mixing", mixing)]
@@ -63,9 +64,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written to the shared folder and read again."""
+    """All stages over documents, each written to the shared folder and read again;
+    the copies drawn with their texts, shard and order inside the shard."""
     ws = Workspace(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES[:-1]:
         docs = ws.keep(stage(spark, docs, sf_dir))
-    return STAGES[-1][1](spark, docs, sf_dir)
+    return draw(docs.select(*COLUMNS))[1]

@@ -188,8 +188,27 @@ def mix_plan(docs: DataFrame, seed: int = 0, levels: int = LEVELS, blocks: int =
 
 
 def shards_table(docs: DataFrame, plan: DataFrame, seed: int = 0) -> DataFrame:
-    """The mix itself: doc_id, text, shard, copy, ordered at random inside a shard.
-    Write it with ``partitionBy('shard')``."""
-    copies = plan.select("doc_id", F.posexplode("shards").alias("copy", "shard")).distinct()
-    shuffle = F.xxhash64(F.lit(seed), F.lit("order"), "doc_id", "copy")
-    return docs.join(copies, "doc_id").withColumn("order", shuffle).repartition("shard", F.pmod("order", F.lit(64))).sortWithinPartitions("shard", "order")
+    """The mix itself: the columns of ``docs``, shard, copy, order; a row per copy
+    drawn, ordered at random inside a shard.  Write it with ``partitionBy('shard')``.
+
+    All rows of one source and doc_id (each may be null) have the same shards."""
+    shards = plan.select(F.col("source").alias("_source"), F.col("doc_id").alias("_doc_id"), "shards").distinct()
+    found = docs.drop("copy", "shard", "order", "shards").join(shards, F.col("source").eqNullSafe(F.col("_source")) & F.col("doc_id").eqNullSafe(F.col("_doc_id")))
+    copies = found.select("*", F.posexplode("shards").alias("copy", "shard")).drop("_source", "_doc_id", "shards")
+    shuffle = F.xxhash64(F.lit(seed), F.lit("order"), "doc_id", "source", "copy", "text")
+    return copies.withColumn("order", shuffle).repartition("shard", F.pmod("order", F.lit(64))).sortWithinPartitions("shard", "order")
+
+
+def draw(docs: DataFrame, seed: int = 0) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``mix_plan`` and the mix (``shards_table``), written by shard to the
+    shared folder; copies, taken and shards of the plan are those of the drawn rows."""
+    ws = Workspace(docs.sparkSession)
+    plan = ws.keep(mix_plan(docs, seed))
+    mix = shards_table(docs, plan, seed)
+    mix.write.partitionBy("shard").parquet(ws.path("mix"))
+    mix = docs.sparkSession.read.schema(mix.schema).parquet(ws.path("mix")).select(*mix.columns)
+    drawn = mix.select("source", "doc_id", "copy", "shard").distinct().groupBy("source", "doc_id").agg(F.array_sort(F.collect_list(F.struct("copy", "shard"))).alias("drawn"))  # at most ``most`` copies
+    drawn = drawn.withColumnsRenamed({"source": "_source", "doc_id": "_doc_id"})
+    found = plan.drop("shards").join(drawn, F.col("source").eqNullSafe(F.col("_source")) & F.col("doc_id").eqNullSafe(F.col("_doc_id")), "left")
+    found = found.withColumn("shards", F.coalesce(F.col("drawn.shard"), F.array().cast("array<int>"))).withColumn("copies", F.size("shards"))
+    return found.withColumn("taken", (F.col("copies") * F.col("size")).cast("long")).select(*plan.columns), mix

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .decontaminate import contamination
 from .language import identify
 from .lm_score import cross_entropy_difference
-from .mixing import mix_plan
+from .mixing import draw
 from .near_dup import near_duplicates
 from .pii import personal_data
 from .resample import importance_sample
@@ -111,7 +111,7 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op8_mixing")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    plan = mix_plan(_table(spark, sf_dir, "documents"))
+    plan, _ = draw(_table(spark, sf_dir, "documents"))
     return plan.select("doc_id", "size", "source_size", "target", "taken", "shards")
 
 

@@ -246,3 +246,22 @@ def test_pipeline_stands_odd_documents(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, SMALL)
     assert docs.count() > 5
+
+
+def test_draws_hold_texts_of_null_and_repeated_ids(spark):
+    texts = [(None, "no id at all", "a"), (None, "none here either", "b"), (1, "one of a", "a"), (1, "and one of b", "b")] + [(i, f"text {i} is here", "ab"[i % 2]) for i in range(2, 40)]
+    docs = spark.createDataFrame([(i, t, "en", s, len(t)) for i, t, s in texts], "doc_id long, text string, lang string, source string, n_chars long")
+    plan, mix = mixing.draw(docs)
+    planned = {(r.source, r.doc_id): sorted(r.shards) for r in mixing.mix_plan(docs).collect()}
+    drawn: dict = {}
+    for r in mix.collect():
+        assert (r.doc_id, r.text, r.source) in texts
+        drawn.setdefault((r.source, r.doc_id), []).append(r.shard)
+    assert {k: sorted(v) for k, v in drawn.items()} == {k: v for k, v in planned.items() if v}
+    assert any(i is None for _, i in drawn) and len(planned) == len(texts)
+    assert {(r.source, r.doc_id): (r.taken, sorted(r.shards)) for r in plan.collect()} == {(s, i): (len(planned[s, i]) * len(t.split()), planned[s, i]) for i, t, s in texts}
+
+
+def test_pipeline_returns_the_drawn_texts(spark):
+    got = __spark_entry__.queries()["pipeline"](spark, SMALL)
+    assert {"text", "shard", "order"} <= set(got.columns) and got.where("text is not null").count() > 5
