@@ -6,11 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .conversation_trie import prefix_trie
 from .decontaminate import contamination
+from .exact_dup import exact_duplicates
 from .language import identify
 from .lm_score import cross_entropy_difference
 from .mixing import draw
 from .near_dup import near_duplicates
+from .phrases import collocations
 from .pii import personal_data
 from .resample import importance_sample
 from .toxicity import toxicity
@@ -130,3 +133,58 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_pii")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_data(_table(spark, sf_dir, "documents"))
+
+
+@query("op11_phrase_collocations", rf"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_LOWER}, '[.,;:!?\x0A-\x0D]')) AS p FROM documents
+), ws AS (SELECT lang, regexp_extract_all(p, '[^\x20\x09]+') AS w FROM pieces
+), totals AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM ws GROUP BY lang
+), grams AS (SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase FROM ws, (SELECT unnest([1, 2, 3]) AS k) WHERE len(w) >= k
+), f AS (SELECT lang, k, phrase, count(*) AS f FROM grams GROUP BY ALL HAVING count(*) >= 10
+), cuts AS (
+  SELECT c.lang, c.k, c.phrase, c.f AS a, cut, x.f AS l, y.f AS r, CAST(CAST(1000000 AS HUGEINT) * c.f * c.f // (CAST(x.f AS HUGEINT) * y.f) AS BIGINT) AS score
+  FROM (SELECT *, string_split(phrase, ' ') AS w, unnest(range(1, k)) AS cut FROM f WHERE k > 1) c
+  JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(w[1:cut], ' ') JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(w[cut + 1:], ' ')
+), scored AS (SELECT lang, phrase, a, unnest(min(row(score, cut, l, r))) FROM cuts GROUP BY lang, phrase, a
+), inside AS (
+  SELECT lang, unnest([array_to_string(w[1:2], ' '), array_to_string(w[2:3], ' ')]) AS phrase, f FROM (SELECT *, string_split(phrase, ' ') AS w FROM f WHERE k = 3)
+), cover AS (SELECT lang, phrase, max(f) AS f FROM inside GROUP BY ALL
+), kept AS (SELECT s.lang, s.phrase, a, s.element3 AS l, s.element4 AS r, s.element1 AS score FROM scored s LEFT JOIN cover c ON c.lang = s.lang AND c.phrase = s.phrase WHERE c.f IS NULL OR 100 * c.f < 50 * a
+), ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+SELECT ranked.lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals ON totals.lang = ranked.lang WHERE rank <= 2000""")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(_table(spark, sf_dir, "documents"), shortest=2, longest=3, least=10, cover_percent=50, top=2000)
+
+
+@query("op12_exact_dedup", f"""
+WITH t AS (SELECT doc_id, {_LOWER} AS x, row_number() OVER () AS r FROM documents
+), g AS (SELECT doc_id, x, max(doc_id) OVER (PARTITION BY x) AS keep_id, count(*) OVER (PARTITION BY x) AS group_size, row_number() OVER (PARTITION BY x ORDER BY doc_id DESC NULLS LAST, r) AS nth FROM t)
+SELECT doc_id, keep_id, group_size, nth = 1 AS kept, sha256(x) AS text_sha256 FROM g""")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_duplicates(_table(spark, sf_dir, "documents"), keep="largest")
+
+
+@query("op13_conversation_trie", """
+WITH t AS (
+  SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS i
+  FROM conversations WHERE conv_id IS NOT NULL
+), convs AS (
+  SELECT c, list_reduce(list_concat([4294967295], list_transform(string_split(CAST(c AS VARCHAR), ''), lambda s: CAST(ord(s) AS BIGINT))),
+    lambda x, y: list_reduce(list_concat([xor(x, y)], range(8)), lambda p, q: CASE WHEN p % 2 = 1 THEN xor(p // 2, 3988292384) ELSE p // 2 END)) AS crc FROM (SELECT DISTINCT c FROM t)
+), plan AS (SELECT c, c - c % 100 AS base, xor(crc, 4294967295) % 6 AS h FROM convs
+), parts AS (
+  SELECT plan.c, 0 AS own, i, role, text FROM plan JOIN t ON t.c = plan.base WHERE i <= h UNION ALL SELECT plan.c, 1, i, role, text FROM plan JOIN t ON t.c = plan.c WHERE i > h
+), built AS (SELECT c, row_number() OVER (PARTITION BY c ORDER BY own, i) AS d, role, text FROM parts
+), chain AS (SELECT c, d, length(text) AS chars, list(sha256(length(role) || ':' || role || text)) OVER (PARTITION BY c ORDER BY d) AS p FROM built
+), steps AS (SELECT c, d, chars, p FROM chain UNION ALL SELECT c, 0, 0, [] FROM plan
+), nodes AS (SELECT p, min(c) AS conv_id, min(d) AS depth, count(*) AS n_convs, min(chars) AS chars FROM steps GROUP BY p
+), kids AS (SELECT p[:len(p) - 1] AS p, count(*) AS n FROM nodes WHERE len(p) > 0 GROUP BY 1
+), own AS (SELECT nodes.*, coalesce(n, 0) AS n_children FROM nodes LEFT JOIN kids USING (p)
+), up AS (SELECT p[:unnest(range(0, len(p) + 1))] AS p, n_children, (n_convs - 1) * chars AS saved FROM own
+), sums AS (SELECT p, count(*) FILTER (n_children = 0) AS n_leaves, CAST(sum(saved) AS BIGINT) AS saved_tokens FROM up GROUP BY p
+), ends AS (SELECT p, sha256(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c)) AS e FROM (SELECT c, arg_max(p, d) AS p FROM steps GROUP BY c) GROUP BY p)
+SELECT own.conv_id, CAST(own.depth AS BIGINT) AS depth, parent.conv_id AS parent_conv_id, own.n_convs, own.n_children, n_leaves, saved_tokens, coalesce(e, sha256('')) AS ends_sha256
+FROM own LEFT JOIN nodes parent ON len(own.p) > 0 AND parent.p = own.p[:len(own.p) - 1] JOIN sums ON sums.p = own.p LEFT JOIN ends ON ends.p = own.p""")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(_table(spark, sf_dir, "conversations"))
