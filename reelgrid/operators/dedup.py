@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+from math import comb
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reelgrid.functions.text import as_col
 from reelgrid.operators.scale import components, stable, top_k
 
-BANDS = 4
-BAND_BITS = 16
+#: Probes per hash: always worth wider bands, and never more than.
+FEW_PROBES = 256
+MOST_PROBES = 8_192
 
 
 def dhash(data: str | Column) -> Column:
@@ -37,45 +41,68 @@ def hamming(a: str | Column, b: str | Column) -> Column:
     return F.bit_count(as_col(a).bitwiseXOR(as_col(b)))
 
 
-def _band(h: Column, j: int) -> Column:
-    return F.shiftrightunsigned(h, j * BAND_BITS).bitwiseAND(F.lit(0xFFFF).cast("bigint"))
+def _bands(bands: int) -> list[tuple[int, int]]:
+    """First bit and width of each of ``bands`` runs of a 64-bit hash."""
+    cuts = [64 * j // bands for j in range(bands + 1)]
+    return [(a, b - a) for a, b in zip(cuts, cuts[1:])]
+
+
+def _band(h: Column, first: int, width: int) -> Column:
+    return F.shiftrightunsigned(h, first).bitwiseAND(F.lit((1 << width) - 1).cast("bigint"))
+
+
+def _radii(d: int, bands: int) -> list[int]:
+    """Per band the distance that must be probed so that no pair within ``d`` is
+    lost: were all larger, they would add up to more than ``d``."""
+    base, extra = divmod(d + 1, bands)
+    return [base - (j >= extra) for j in range(bands)]
+
+
+def _masks(width: int, radius: int) -> list[int]:
+    """All numbers of ``width`` bits with at most ``radius`` bits set."""
+    return [sum(1 << i for i in chosen) for r in range(radius + 1) for chosen in combinations(range(width), r)]
 
 
-def _radii(d: int) -> list[int]:
-    """Per band the distance that must be probed so that no pair within ``d`` is lost."""
-    base, extra = divmod(d, BANDS)
-    return [base if j <= extra else base - 1 for j in range(BANDS)]
+def _scheme(d: int, hashes: int) -> int:
+    """Number of bands: band values should be about as many as the hashes, so that
+    few meet by chance, while the probes per hash stay below ``MOST_PROBES``."""
+    for bands in (2, 3):
+        probes = sum(comb(w, k) for (_, w), r in zip(_bands(bands), _radii(d, bands)) for k in range(r + 1))
+        if probes <= MOST_PROBES and (probes <= FEW_PROBES or hashes >> (64 // (bands + 1))):
+            return bands
+    return 4
 
 
-def hash_pairs(hashes: DataFrame, d: int) -> DataFrame:
+def hash_pairs(hashes: DataFrame, d: int, bands: int | None = None) -> DataFrame:
     """Pairs of distinct hashes (h_a < h_b) at Hamming distance at most ``d``.
 
-    Pigeonhole over four 16-bit bands: two hashes within ``d`` agree on one
-    band up to a small radius.  One side lists the band values within that
-    radius, the other its own bands, and an equi-join brings them together.
-    A pair is kept only at its first agreeing band, so nothing is deduplicated.
+    Pigeonhole over bands of bits: two hashes within ``d`` agree on one band up to
+    a small radius.  One side lists the band values within that radius (masks
+    written out as constants), the other its own bands, and an equi-join brings
+    them together.  A pair is kept only at its first agreeing band, so nothing is
+    deduplicated.  ``bands`` follows the number of hashes; any gives the same pairs.
     """
-    h = hashes.select("h").where("h is not null").distinct()
-    return _meet(h, h, d).where("h_a < h_b")
+    h = stable(hashes.select("h").where("h is not null").distinct())
+    return _meet(h, h, d, bands or _scheme(d, h.count())).where("h_a < h_b")
 
 
-def _meet(left: DataFrame, right: DataFrame, d: int) -> DataFrame:
+def _meet(left: DataFrame, right: DataFrame, d: int, bands: int) -> DataFrame:
     """h_a of ``left`` and h_b of ``right`` (columns h, distinct) within ``d``."""
-    radii = _radii(d)
-    own = F.array(*[F.struct(F.lit(j).alias("band"), _band(F.col("h"), j).alias("v")) for j in range(BANDS) if radii[j] >= 0])
+    used = [(j, *cut, r) for j, (cut, r) in enumerate(zip(_bands(bands), _radii(d, bands))) if r >= 0]
+    own = F.array(*[F.struct(F.lit(j).alias("band"), _band(F.col("h"), at, width).alias("v")) for j, at, width, _ in used])
 
-    def probe(j: int) -> Column:
-        masks = F.filter(F.sequence(F.lit(0).cast("bigint"), F.lit((1 << BAND_BITS) - 1).cast("bigint")), lambda m: F.bit_count(m) <= radii[j])
-        return F.transform(masks, lambda m: F.struct(F.lit(j).alias("band"), _band(F.col("h"), j).bitwiseXOR(m).alias("v")))
+    def probe(j: int, at: int, width: int, r: int) -> Column:
+        masks = F.lit(_masks(width, r)).cast("array<bigint>")
+        return F.transform(masks, lambda m: F.struct(F.lit(j).alias("band"), _band(F.col("h"), at, width).bitwiseXOR(m).alias("v")))
 
-    probes = F.flatten(F.array(*[probe(j) for j in range(BANDS) if radii[j] >= 0]))
+    probes = F.flatten(F.array(*[probe(*b) for b in used]))
     a = left.select(F.col("h").alias("h_a"), F.inline(probes))
     b = right.select(F.col("h").alias("h_b"), F.inline(own))
     x = a.join(b, ["band", "v"]).where(hamming("h_a", "h_b") <= d)
     xor = F.col("h_a").bitwiseXOR(F.col("h_b"))
     first = F.lit(None).cast("int")
-    for j in reversed([j for j in range(BANDS) if radii[j] >= 0]):
-        first = F.when(F.bit_count(_band(xor, j)) <= radii[j], j).otherwise(first)
+    for j, at, width, r in reversed(used):
+        first = F.when(F.bit_count(_band(xor, at, width)) <= r, j).otherwise(first)
     return x.where(F.col("band") == first).select("h_a", "h_b", hamming("h_a", "h_b").alias("dist"))
 
 
@@ -126,6 +153,7 @@ def similar_to(ph: DataFrame, queries: DataFrame, d: int, k: int | None = None)
     banded join between the distinct query hashes and the distinct stored ones."""
     q = queries.select("qid", "qh").where("qh is not null")
     x = ph.where("h is not null")
-    near = _meet(q.select(F.col("qh").alias("h")).distinct(), x.select("h").distinct(), d)
+    stored = stable(x.select("h").distinct())
+    near = _meet(q.select(F.col("qh").alias("h")).distinct(), stored, d, _scheme(d, stored.count()))
     out = q.join(near, F.col("qh") == F.col("h_a")).join(x.select("id", "h"), F.col("h_b") == F.col("h")).select("id", "qid", "dist").where(F.col("id") != F.col("qid"))
     return out if k is None else top_k(out, ["qid"], [F.col("dist"), F.col("id")], k)

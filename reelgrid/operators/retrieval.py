@@ -14,7 +14,6 @@ from reelgrid.functions import fixed_values as fv
 from reelgrid.functions import tags as tg
 from reelgrid.functions.text import (
     as_col,
-    channel_token_weight,
     field_token_weight,
     path_tail,
     short_grams,
@@ -22,6 +21,7 @@ from reelgrid.functions.text import (
     tokens,
 )
 from reelgrid.operators.blocks import block_products, unit_rows
+from reelgrid.operators.lexical import scan_scores
 from reelgrid.operators.scale import CHUNK_ROWS, join_keys, positions, running, stable, top_k
 
 
@@ -36,38 +36,12 @@ def catalog_fields(m: DataFrame) -> dict[str, Column]:
     }
 
 
-def postings(docs: DataFrame, fields: dict[str, Column]) -> DataFrame:
-    """(id, field, token), each token once per field."""
-    cells = F.array(*[F.struct(F.lit(n).alias("field"), tokens(c).alias("t")) for n, c in fields.items()])
-    return docs.select("id", F.inline(cells)).select("id", "field", F.explode("t").alias("token"))
-
-
-def channel_postings(sidecars: DataFrame) -> DataFrame:
-    return sidecars.select("id", F.concat(F.lit("channel:"), "channel").alias("field"), F.explode(tokens("text")).alias("token"))
-
-
 def query_tokens(queries: DataFrame) -> DataFrame:
     t = queries.select("qid", tokens("query").alias("t"))
     big = F.size(F.filter("t", lambda x: x.startswith("b:")))
     return t.select("qid", big.alias("q_bigrams"), F.explode("t").alias("qtok"))
 
 
-def loose_matches(qt: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """(qid, qtok, token): vocabulary words that strictly contain a long query word.
-
-    A containing word shares every 5-letter gram of the query word, so the
-    first gram is an equi-join key and nothing is compared pairwise.
-    """
-    n = fv.LOOSE_MIN_LEN
-    long_q = qt.where((F.length("qtok") >= n) & ~F.col("qtok").rlike("^[bc]:")).select("qid", "qtok", F.substring("qtok", 1, n).alias("gram"))
-    words = vocabulary.where((F.length("token") > n) & ~F.col("token").rlike("^[bc]:"))
-    starts = F.sequence(F.lit(1), F.length("token") - (n - 1))
-    grams = F.array_distinct(F.transform(starts, lambda i: F.substr(F.col("token"), i, F.lit(n))))
-    words = words.select("token", F.explode(grams).alias("gram"))
-    hit = words.join(long_q, "gram")
-    return hit.where(F.contains("token", "qtok") & (F.col("token") != F.col("qtok"))).select("qid", "qtok", "token")
-
-
 def lexical_scores(
     queries: DataFrame,
     docs: DataFrame,
@@ -83,36 +57,7 @@ def lexical_scores(
     """
     fields = catalog_fields(docs) if fields is None else fields
     weights = fv.FIELD_WEIGHTS if weights is None else weights
-    # The queries' tokens and the vocabulary words they loosely match are written
-    # first: their true sizes let Spark keep the postings where they are.
-    qt = stable(query_tokens(queries))
-    post = postings(docs, fields)
-    strict = qt.select("qid", "qtok", F.col("qtok").alias("token"), "q_bigrams", F.lit(True).alias("strict"))
-    loose = stable(loose_matches(qt, post.select("token").distinct())).select(
-        "qid", "qtok", "token", F.lit(0).alias("q_bigrams"), F.lit(False).alias("strict")
-    )
-    hits = post.join(strict.unionByName(loose), "token").select("qid", "id", "field", "qtok", "strict", "q_bigrams")
-    # A query word found inside several words of a field still counts once.
-    hits = hits.where("strict").unionByName(hits.where("not strict").distinct())
-    if sidecars is not None:
-        side = channel_postings(sidecars).join(strict, "token").select("qid", "id", "field", "qtok", "strict", "q_bigrams")
-        side = side.where(~F.col("qtok").startswith("c:"))
-        hits = hits.unionByName(side)
-    channel = F.col("field").startswith("channel:")
-    w = F.when(channel, channel_token_weight(F.col("qtok"))).otherwise(field_token_weight(F.col("qtok")))
-    per_field = hits.groupBy("qid", "id", "field").agg(
-        F.sum(F.when(F.col("strict"), w)).alias("strict_w"),
-        F.sum(F.when(~F.col("strict"), F.lit(fv.LOOSE_FACTOR))).alias("loose_w"),
-        F.count_if(F.col("strict") & F.col("qtok").startswith("b:")).alias("bigrams"),
-        F.max("q_bigrams").alias("q_bigrams"),
-    )
-    weight = F.lit(fv.CHANNEL_WEIGHT)
-    for name, value in weights.items():
-        weight = F.when(F.col("field") == name, F.lit(value)).otherwise(weight)
-    gated = channel & (F.col("q_bigrams") >= 2) & (F.col("bigrams") < 2)
-    score = F.when(gated, 0.0).otherwise(weight * F.coalesce("strict_w", "loose_w"))
-    out = per_field.groupBy("qid", "id").agg(F.sum(score).alias("score"))
-    return out.where("score > 0")
+    return scan_scores(queries, docs, fields, weights, fv.CHANNEL_WEIGHT, sidecars)
 
 
 def search_rank(scores: DataFrame, m: DataFrame, k: int) -> DataFrame:
