@@ -148,11 +148,37 @@ def _(spark, sf):
     return x.select("track_id", "idx", "start_ms", "end_ms", F.size("texts").cast("long").alias("langs"), F.md5(flat).alias("digest"))
 
 
-@query("jn17_align_notes")
-def _(spark, sf):
-    d = si.cues(spark, sf).where("idx % 2 = 0")
-    notes = d.select("track_id", F.col("idx").alias("note"), F.lower("text").alias("title"), F.lit("").alias("detail"))
-    return cu.align_notes(notes, si.cues(spark, sf), ["tion", "the "])
+# Serial choice and separation, note by note, as recursions over the notes of a track.
+JN17_SQL = """, c AS (SELECT track_id, idx AS cue, greatest(start_ms, 0) AS s, greatest(end_ms, greatest(start_ms, 0) + 500) AS e, lower(text) AS t FROM cues),
+ n AS (SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY cue) AS pos, count(*) OVER (PARTITION BY track_id) AS n FROM c),
+ w1 AS (SELECT n.track_id, n.pos, list(c.cue ORDER BY ord, c.cue) AS w FROM n, (SELECT unnest(['tion', 'the ']) AS a, unnest([1, 2]) AS ord) JOIN c ON c.track_id = n.track_id AND contains(c.t, a) WHERE contains(n.t, a) GROUP BY ALL),
+ r1 AS (SELECT track_id, CAST(0 AS BIGINT) AS p, []::BIGINT[] AS used, []::BIGINT[] AS got FROM (SELECT DISTINCT track_id FROM n) UNION ALL
+   SELECT track_id, p, CASE WHEN x IS NULL THEN used ELSE list_append(used, x) END, list_append(got, x) FROM
+   (SELECT r1.track_id, p + 1 AS p, used, got, list_filter(w, lambda v: NOT list_contains(used, v))[1] AS x FROM r1 JOIN n ON n.track_id = r1.track_id AND n.pos = p + 1 LEFT JOIN w1 ON w1.track_id = n.track_id AND w1.pos = n.pos)),
+ f1 AS (SELECT r1.* FROM r1 JOIN (SELECT track_id, max(p) AS p FROM r1 GROUP BY 1) USING (track_id, p)),
+ tk AS (SELECT track_id, cue, pos, list_distinct(regexp_extract_all(t, '[a-z0-9]{2,}')) AS k FROM n),
+ w2 AS (SELECT track_id, pos, list(cue ORDER BY sc DESC, cue) AS w FROM
+   (SELECT a.track_id, a.pos, b.cue, round(len(list_intersect(a.k, b.k)) / (sqrt(len(a.k)) * sqrt(len(b.k))), 12) AS sc FROM tk a JOIN f1 USING (track_id) JOIN tk b ON b.track_id = a.track_id
+    WHERE f1.got[a.pos] IS NULL AND NOT list_contains(f1.used, b.cue) AND len(a.k) > 0 AND len(b.k) > 0) WHERE sc >= 0.05 GROUP BY ALL),
+ r2 AS (SELECT track_id, CAST(0 AS BIGINT) AS p, []::BIGINT[] AS used, []::BIGINT[] AS got FROM f1 UNION ALL
+   SELECT track_id, p, CASE WHEN x IS NULL THEN used ELSE list_append(used, x) END, list_append(got, x) FROM
+   (SELECT r2.track_id, p + 1 AS p, used, got, list_filter(w, lambda v: NOT list_contains(used, v))[1] AS x FROM r2 JOIN n ON n.track_id = r2.track_id AND n.pos = p + 1 LEFT JOIN w2 ON w2.track_id = n.track_id AND w2.pos = n.pos)),
+ f2 AS (SELECT r2.* FROM r2 JOIN (SELECT track_id, max(p) AS p FROM r2 GROUP BY 1) USING (track_id, p)),
+ k AS (SELECT n.track_id, n.cue AS note, n.pos, n.n, g.s, g.e, (g.s + g.e) / 2.0 AS mid FROM n JOIN f1 USING (track_id) JOIN f2 USING (track_id) LEFT JOIN c g ON g.track_id = n.track_id AND g.cue = coalesce(f1.got[n.pos], f2.got[n.pos])),
+ b AS (SELECT k.*, last_value(mid IGNORE NULLS) OVER (PARTITION BY k.track_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS bf, first_value(mid IGNORE NULLS) OVER (PARTITION BY k.track_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS af, t0, t1
+   FROM k JOIN (SELECT track_id, arg_min(s, cue) AS t0, arg_max(e, cue) AS t1 FROM c GROUP BY 1) USING (track_id)),
+ m AS (SELECT *, CASE WHEN bf IS NOT NULL AND af IS NOT NULL THEN (bf + af) / 2 WHEN bf IS NOT NULL THEN least(t1, bf + 8000) WHEN af IS NOT NULL THEN greatest(0, af - 8000) ELSE t0 + pos / (n + 1) * (t1 - t0) END AS mt FROM b),
+ z AS (SELECT track_id, note, pos, CAST(coalesce(s, greatest(0, mt - 1500)) AS DOUBLE) AS s, CAST(coalesce(e, mt + 1500) AS DOUBLE) AS e FROM m),
+ r3 AS (SELECT track_id, CAST(0 AS BIGINT) AS p, []::DOUBLE[] AS seen, CAST(0 AS BIGINT) AS note, 0.0::DOUBLE AS s, 0.0::DOUBLE AS e FROM f1 UNION ALL
+   SELECT track_id, p, list_append(seen, m2), note, s + m2 - (s + e) / 2, e + m2 - (s + e) / 2 FROM
+   (SELECT r3.track_id, p + 1 AS p, seen, z.note, z.s, z.e, list_reduce(list_concat([(z.s + z.e) / 2], seen), lambda m, x: CASE WHEN abs(m - x) < 1200 THEN x + 1500 ELSE m END) AS m2 FROM r3 JOIN z ON z.track_id = r3.track_id AND z.pos = p + 1))
+ SELECT track_id, note, CAST(round_even(greatest(0, s), 0) AS BIGINT) AS start_ms, CAST(round_even(greatest(500, e), 0) AS BIGINT) AS end_ms FROM r3 WHERE p > 0"""
+
+
+@query("jn17_align_notes", with_sql("cues", recursive=True, body=JN17_SQL))
+def _(spark, sf):
+    d = si.cues(spark, sf)
+    return cu.align_notes(d.select("track_id", F.col("idx").alias("note"), F.lower("text").alias("title"), F.lit("").alias("detail")), d, ["tion", "the "])
 
 
 WN7_SQL = """w0 AS (SELECT track_id, idx, start_ms AS s, CASE WHEN end_ms <= start_ms THEN start_ms + 100 ELSE end_ms END AS e, text FROM {src}),
