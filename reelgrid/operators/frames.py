@@ -5,12 +5,13 @@ from __future__ import annotations
 import json
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from reelgrid.functions.similarity import iou, text_sim
+from reelgrid.functions.similarity import alike, iou
 from reelgrid.functions.text import text_or_empty
 from reelgrid.operators.cues import _norm_py, merge_flicker
 from reelgrid.operators.scale import CHUNK_ROWS, Rows, chunked_fold, join_keys, neighbours, positions, running, stable, top_k
@@ -77,22 +78,20 @@ def assign_tracks(blocks: DataFrame, chunk_frames: int = CHUNK_ROWS) -> DataFram
     """Track number per block: the nearest track whose centre moved little, else a new one."""
 
     def step(rows: Rows, state: str | None, last: bool):
-        tracks = json.loads(state) if state else []
+        centre, height = (np.array(x, float) for x in (json.loads(state) if state else ([], [])))
         out = []
         for r in rows:
-            cy, h = (r["y0"] + r["y1"]) / 2, max(1.0, r["y1"] - r["y0"])
-            best, best_d = None, None
-            for i, (tc, th) in enumerate(tracks):
-                dist = abs(cy - tc)
-                if dist <= max(1.0, min(h, th)) * TRACK_SHIFT and (best_d is None or dist < best_d):
-                    best, best_d = i, dist
-            if best is None:
-                tracks.append([cy, h])
-                best = len(tracks) - 1
+            own, tall = (r["y0"] + r["y1"]) / 2, max(1.0, r["y1"] - r["y0"])
+            away = np.abs(centre - own)
+            away[away > TRACK_SHIFT * np.maximum(1.0, np.minimum(height, tall))] = np.inf
+            if np.isfinite(away).any():
+                near = int(away.argmin())
+                centre[near] += 0.1 * (own - centre[near])
+                height[near] = max(height[near], tall)
             else:
-                tracks[best] = [tracks[best][0] * 0.9 + cy * 0.1, max(tracks[best][1], h)]
-            out.append({"frame": r["frame"], "block": r["block"], "track": best})
-        return out, json.dumps(tracks)
+                near, centre, height = len(centre), np.append(centre, own), np.append(height, tall)
+            out.append({"frame": r["frame"], "block": r["block"], "track": near})
+        return out, json.dumps([centre.tolist(), height.tolist()])
 
     x = blocks.withColumn("__chunk", F.floor(F.col("frame") / chunk_frames))
     t = chunked_fold(x, VIDEO, "__chunk", ["frame", "block"], step, _TRACKED)
@@ -118,7 +117,7 @@ def frames_to_intervals(lines: DataFrame, frame_ms: int, min_ms: int = 150, chun
         out = []
         for r in rows:
             frame, text = int(r["frame"]), r["text"]
-            if run is not None and frame == run["last"] + 1 and text_sim(_norm_py(text), _norm_py(run["text"])) >= 0.8:
+            if run is not None and frame == run["last"] + 1 and alike(_norm_py(text), _norm_py(run["text"]), 0.8):
                 run["last"] = frame
                 continue
             if run is not None:

@@ -224,13 +224,32 @@ def _(spark, sf):
     return _md5(cu.merge_flicker(x))
 
 
-@query("wn10_merge_simultaneous")
-def _(spark, sf):
-    x = si.captions(spark, sf).unionByName(si.shown_lines(spark, sf).withColumn("idx", F.col("idx") + 1000))
-    return _md5(cu.merge_simultaneous(x))
-
-
-@query("wn11_merge_slices")
+# Rows of both passes in time order, folded one by one.
+BOTH_PASSES = """, a AS (SELECT track_id, idx, start_ms, end_ms, text FROM cues UNION ALL SELECT track_id, idx + 1000, start_ms, end_ms, text FROM pass2),
+ o AS (SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY start_ms, end_ms, idx) AS p FROM a)"""
+
+
+@query("wn10_merge_simultaneous", with_sql("cues", "pass2", recursive=True, body=BOTH_PASSES + """,
+ r AS (SELECT track_id, p, p AS lead, start_ms AS s, end_ms AS e, text FROM o WHERE p = 1 UNION ALL
+  SELECT track_id, p, CASE WHEN same THEN lead ELSE p END, CASE WHEN same THEN least(s, s2) ELSE s2 END, CASE WHEN same THEN greatest(e, e2) ELSE e2 END,
+   CASE WHEN NOT same THEN t2 WHEN contains(text, t2) THEN text ELSE trim(text || ' ' || t2) END FROM
+  (SELECT r.track_id, o.p, lead, s, e, r.text, o.start_ms AS s2, o.end_ms AS e2, o.text AS t2, (least(e, o.end_ms) - greatest(s, o.start_ms)) / greatest(10, least(e - s, o.end_ms - o.start_ms)) >= 0.8 AS same
+   FROM r JOIN o ON o.track_id = r.track_id AND o.p = r.p + 1))
+ SELECT track_id, arg_max(s, p) AS start_ms, arg_max(e, p) AS end_ms, md5(arg_max(text, p)) AS text FROM r GROUP BY track_id, lead"""))
+def _(spark, sf):
+    x = si.cues(spark, sf).unionByName(si.second_pass(spark, sf).withColumn("idx", F.col("idx") + 1000))
+    return _md5(cu.merge_simultaneous(x.select("track_id", "idx", "start_ms", "end_ms", "text")))
+
+
+@query("wn11_merge_slices", with_sql("cues", recursive=True, body=""", a AS (SELECT track_id, idx, idx % 2 AS slice, start_ms + idx % 2 * 700 AS s, end_ms + idx % 2 * 700 AS e, text FROM cues WHERE trim(text) <> ''),
+ o AS (SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY s, e, slice, idx) AS p FROM a),
+ r AS (SELECT track_id, p, p AS own, s, e, text, true AS live FROM o WHERE p = 1 UNION ALL
+  SELECT track_id, p, unnest(CASE WHEN s2 >= e THEN [own, p] WHEN s2 > s THEN [own, p] WHEN e2 > e THEN [own, p] ELSE [own] END),
+   unnest(CASE WHEN s2 >= e THEN [s, s2] WHEN s2 > s THEN [s, s2] WHEN e2 > e THEN [s, e] ELSE [s] END), unnest(CASE WHEN s2 >= e THEN [e, e2] WHEN s2 > s THEN (CASE WHEN e2 > s2 THEN [s2, e2] ELSE [s2, NULL] END) WHEN e2 > e THEN [e, e2] ELSE [e] END),
+   unnest(CASE WHEN s2 >= e OR s2 > s OR e2 > e THEN [text, t2] ELSE [text] END), unnest(CASE WHEN s2 >= e OR (s2 > s AND e2 > s2) OR (s2 <= s AND e2 > e) THEN [false, true] WHEN s2 > s THEN [true, false] ELSE [true] END)
+  FROM (SELECT r.*  EXCLUDE (p), o.p, o.s AS s2, o.e AS e2, o.text AS t2 FROM r JOIN o ON o.track_id = r.track_id AND o.p = r.p + 1 WHERE live)),
+ f AS (SELECT track_id, own, arg_max(s, p) AS s, arg_max(e, p) AS e, any_value(text) AS text FROM r WHERE e IS NOT NULL GROUP BY 1, 2)
+ SELECT track_id, s AS start_ms, e AS end_ms, md5(text) AS text FROM f"""))
 def _(spark, sf):
     parts = si.cues(spark, sf).withColumn("slice", F.col("idx") % 2)
     off = parts.select("track_id", "slice").distinct().withColumn("offset_ms", F.col("slice") * 700)

@@ -63,7 +63,7 @@ def _(spark, sf):
 @query("rt17_relevance", with_sql("cand", body="""SELECT video_id, round(CASE WHEN contains(lower(title), 'building 1') THEN 100.0 WHEN contains(lower(title), 'building') AND contains(lower(title), '1') THEN 70.0
   ELSE 12.0 * (cast(contains(lower(title), 'building') AS int) + cast(contains(lower(title), '1') AS int)) END + 2.0 * ln(1 + greatest(0, views)), 6) AS score FROM cand"""))
 def _(spark, sf):
-    return si.candidates(spark, sf).select("video_id", F.round(dc.relevance("Building 1", F.col("title"), F.col("description")), 6).alias("score"))
+    return dc.relevance(si.candidates(spark, sf), "Building 1").select("video_id", F.round("relevance", 6).alias("score"))
 
 
 @query("rt18_score_candidates", with_sql("cand", body=f"SELECT video_id, round({SCORE}, 6) AS score FROM cand"))

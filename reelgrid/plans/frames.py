@@ -34,7 +34,18 @@ def _(spark, sf):
     return fr.cluster_lines(boxes(spark, sf)).select("video_id", "frame", "block", "text", "y0", "y1")
 
 
-@query("wn16_assign_tracks")
+WN16_SQL = """, l AS (SELECT *, lag(y0) OVER w AS py0, lag(y1) OVER w AS py1 FROM fb WINDOW w AS (PARTITION BY video_id, frame ORDER BY y0, x0, y1, x1, text)),
+ b AS (SELECT *, cast(sum(CASE WHEN y0 - py1 > greatest(py1 - py0, 1) * 0.9 THEN 1 ELSE 0 END) OVER (PARTITION BY video_id, frame ORDER BY y0, x0, y1, x1, text) AS bigint) AS block FROM l),
+ k AS (SELECT video_id, frame, block, (min(y0) + max(y1)) / 2 AS cy, greatest(1.0, max(y1) - min(y0)) AS h FROM b GROUP BY 1, 2, 3),
+ o AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY frame, block) AS p FROM k),
+ r AS (SELECT video_id, CAST(0 AS BIGINT) AS p, CAST(0 AS BIGINT) AS frame, CAST(0 AS BIGINT) AS block, CAST(0 AS BIGINT) AS track, []::DOUBLE[] AS c, []::DOUBLE[] AS t FROM (SELECT DISTINCT video_id FROM o) UNION ALL
+  SELECT video_id, p, frame, block, coalesce(nr, len(c) + 1) - 1, CASE WHEN nr IS NULL THEN list_append(c, cy) ELSE list_transform(c, lambda x, i: CASE WHEN i = nr THEN x + 0.1::DOUBLE * (cy - x) ELSE x END) END,
+   CASE WHEN nr IS NULL THEN list_append(t, h) ELSE list_transform(t, lambda x, i: CASE WHEN i = nr THEN greatest(x, h) ELSE x END) END FROM
+  (SELECT *, CASE WHEN list_min(d) IS NOT NULL THEN list_position(d, list_min(d)) END AS nr FROM (SELECT r.video_id, o.p, o.frame, o.block, o.cy, o.h, c, t,
+    list_transform(c, lambda x, i: CASE WHEN abs(x - o.cy) <= 0.35::DOUBLE * greatest(1.0, least(o.h, t[i])) THEN abs(x - o.cy) END) AS d FROM r JOIN o ON o.video_id = r.video_id AND o.p = r.p + 1)))"""
+
+
+@query("wn16_assign_tracks", with_sql("fb", recursive=True, body=WN16_SQL + " SELECT video_id, frame, block, track FROM r WHERE p > 0"))
 def _(spark, sf):
     return fr.assign_tracks(fr.cluster_lines(boxes(spark, sf))).select("video_id", "frame", "block", "track")
 
@@ -42,8 +53,7 @@ def _(spark, sf):
 @query("wn14_frames_to_intervals")
 def _(spark, sf):
     tracked = fr.assign_tracks(fr.cluster_lines(boxes(spark, sf)))
-    words = tracked.withColumn("text", F.lit("同一行字"))
-    return fr.frames_to_intervals(words, 1000)
+    return fr.frames_to_intervals(tracked, 1000)
 
 
 IOU = """greatest(0, least(a.x1, b.x1) - greatest(a.x0, b.x0)) * greatest(0, least(a.y1, b.y1) - greatest(a.y0, b.y0)) AS inter, (a.x1 - a.x0) * (a.y1 - a.y0) + (b.x1 - b.x0) * (b.y1 - b.y0) AS areas"""

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from reelgrid import schemas
-from reelgrid.functions.similarity import text_sim
+from reelgrid.functions.similarity import alike
 from reelgrid.operators import catalog as cat
 from reelgrid.operators import dedup, retrieval
 from reelgrid.operators.cues import _norm_py
@@ -139,7 +139,7 @@ def online_intervals(lines: DataFrame, gap_ms: int = 400, late: str = LATE) -> D
             return
         rows = sorted((int(t), x) for b in batches for t, x in zip(b["ms"], b["text"]))
         for ms, text in rows:
-            if run is not None and ms - run[1] <= gap_ms and text_sim(_norm_py(text), _norm_py(run[2])) >= 0.8:
+            if run is not None and ms - run[1] <= gap_ms and alike(_norm_py(text), _norm_py(run[2]), 0.8):
                 run[1] = max(run[1], ms)
                 continue
             if run is not None:

@@ -35,7 +35,7 @@ def test_a_run_over_a_gap_covers_its_cues(spark):
 
 def test_full_width_text_is_found(spark):
     df = spark.createDataFrame([("ＡＢＣ　ｄｅｆ", "", 0)], "title string, description string, views long")
-    assert df.select(discovery.relevance("abc", F.col("title"), F.col("description"))).first()[0] >= 100
+    assert discovery.relevance(df, "abc").first()["relevance"] >= 100
     art = spark.createDataFrame([(1, "ＡＢＣ", "", "", None)], "id long, title string, summary string, author string, points array<string>")
     assert jobs.feed_rows(art, "ａｂc").count() == 1
 
