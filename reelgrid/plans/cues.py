@@ -366,27 +366,36 @@ def _(spark, sf):
 def _voted(spark: SparkSession, sf: str) -> DataFrame:
     c = si.cues(spark, sf)
     p = si.second_pass(spark, sf).select("track_id", "idx", F.col("text").alias("b"))
-    return c.withColumn("a", F.col("text")).join(p, ["track_id", "idx"], "left").withColumn("c", F.lit(""))
+    q = si.third_pass(spark, sf).select("track_id", "idx", F.col("text").alias("c"))
+    return c.withColumn("a", F.col("text")).join(p, ["track_id", "idx"], "left").join(q, ["track_id", "idx"], "left")
 
 
 KEY = r"regexp_replace(regexp_replace({t}, '\s+', '', 'g'), '[，。！？、,.!?;；:：\"''“”]', '', 'g')"
 
 
-@query("ag30_mark_suspicious", with_sql("cues", "pass2", body=", x AS (SELECT c.track_id, c.idx, c.text, " + KEY.format(t="c.text") + " AS na, coalesce(" + KEY.format(t="p.text") + ", '') AS nb FROM cues c LEFT JOIN pass2 p ON p.track_id = c.track_id AND p.idx = c.idx), "
+@query("ag30_mark_suspicious", with_sql("cues", "pass2", "pass3", body=", x AS (SELECT c.track_id, c.idx, c.text, " + KEY.format(t="c.text") + " AS na, coalesce(" + KEY.format(t="p.text") + ", '') AS nb, coalesce(" + KEY.format(t="q.text") + ", '') AS nc FROM cues c LEFT JOIN pass2 p ON p.track_id = c.track_id AND p.idx = c.idx LEFT JOIN pass3 q ON q.track_id = c.track_id AND q.idx = c.idx), "
    "y AS (SELECT *, count(*) OVER (PARTITION BY track_id, na) AS n FROM x) SELECT track_id, idx, array_to_string(list_filter([CASE WHEN " + POLL.format(t="trim(text, ' ')") + " THEN 'hard_pollution' END, CASE WHEN na <> '' AND n >= 3 THEN 'repeat' END, "
-   "CASE WHEN nb <> '' AND na <> '' AND nb <> na AND length(nb) <= greatest(length(na) * 1.8, length(na) + 6) THEN 'a_b' END, CASE WHEN contains(text, 'xx') THEN 'bad_token' END], lambda v: v IS NOT NULL), ',') AS reasons FROM y"))
+   "CASE WHEN nb <> '' AND na <> '' AND nb <> na AND length(nb) <= greatest(length(na) * 1.8, length(na) + 6) THEN 'a_b' END, CASE WHEN nc <> '' AND na <> '' AND nc <> na AND length(nc) <= greatest(length(na) * 1.8, length(na) + 6) THEN 'a_c' END, CASE WHEN contains(text, 'xx') THEN 'bad_token' END], lambda v: v IS NOT NULL), ',') AS reasons FROM y"))
 def _(spark, sf):
     return cu.mark_suspicious(_voted(spark, sf), ["xx"]).select("track_id", "idx", F.array_join("suspicious", ",").alias("reasons"))
 
 
-@query("ag31_merge_passes", with_sql("cues", "pass2", body=", " + NEAR.format(a="cues", b="pass2") + r""", v AS (SELECT c.track_id, c.idx, trim(c.text, ' ') AS a, trim(coalesce(near_text, ''), ' ') AS b FROM cues c JOIN nr USING (track_id, idx)),
- w AS (SELECT track_id, idx, trim(regexp_replace(CASE WHEN a = '' THEN b WHEN b <> '' AND length(b) <= greatest(length(a) * 1.8, length(a) + 8) AND abs(length(b) - length(a)) <= greatest(4, length(a) // 3)
-   AND ((contains(b, 'TION') AND NOT contains(a, 'TION')) OR (contains(a, 'leur') AND NOT contains(b, 'leur'))) THEN b ELSE a END, '\s+', ' ', 'g'), ' ') AS text FROM v)
- SELECT track_id, idx, md5(text) AS text FROM w WHERE text <> ''"""))
+FITS = """{x} <> '' AND length({x}) <= greatest(length(a) * 1.8, length(a) + 8) AND abs(length({x}) - length(a)) <= greatest(4, length(a) // 3)
+   AND ((contains({x}, 'TION') AND NOT contains(a, 'TION')) OR (contains(a, 'leur') AND NOT contains({x}, 'leur')))"""
+
+
+@query("ag31_merge_passes", with_sql("cues", "pass2", "pass3", body=", pa AS (SELECT * FROM cues WHERE idx % 6 <> 2), " + NEAR.format(a="pa", b="pass2") + ", "
+    + NEAR.format(a="pa", b="pass3").replace("pr AS", "pr3 AS").replace("nr AS", "nr3 AS").replace("FROM pr ", "FROM pr3 ")
+    + r""", v AS (SELECT c.track_id, c.idx, c.start_ms, c.end_ms, trim(c.text, ' ') AS a, trim(coalesce(nr.near_text, ''), ' ') AS b, trim(coalesce(nr3.near_text, ''), ' ') AS c FROM pa c JOIN nr USING (track_id, idx) JOIN nr3 USING (track_id, idx)),
+ w AS (SELECT track_id, idx, start_ms, end_ms, CASE WHEN a = '' THEN (CASE WHEN c <> '' THEN c ELSE b END) WHEN """ + FITS.format(x="c") + " THEN c WHEN " + FITS.format(x="b") + r""" THEN b ELSE a END AS text FROM v),
+ ov AS (SELECT c.track_id, c.idx, max(greatest(least(c.end_ms, a.end_ms) - greatest(c.start_ms, a.start_ms), 0)) AS ov FROM pass3 c LEFT JOIN pa a USING (track_id) GROUP BY ALL),
+ g AS (SELECT c.* FROM pass3 c JOIN ov USING (track_id, idx) WHERE coalesce(ov, 0) / greatest(end_ms - start_ms, 10) < 0.25 AND NOT contains(text, 'leur')),
+ u AS (SELECT track_id, idx, start_ms, end_ms, trim(regexp_replace(text, '\s+', ' ', 'g'), ' ') AS text, origin FROM (SELECT *, 'a' AS origin FROM w UNION ALL SELECT *, 'c' FROM g)),
+ n AS (SELECT *, lead(start_ms) OVER (PARTITION BY track_id ORDER BY start_ms, end_ms, idx) AS nx, count(*) FILTER (origin = 'c') OVER (PARTITION BY track_id) AS gaps FROM u WHERE text <> '')
+ SELECT track_id, idx, origin, start_ms, CASE WHEN gaps > 0 THEN coalesce(least(end_ms, nx), end_ms) ELSE end_ms END AS end_ms, md5(text) AS text FROM n WHERE gaps = 0 OR coalesce(least(end_ms, nx), end_ms) > start_ms"""))
 def _(spark, sf):
-    p = si.second_pass(spark, sf)
-    x = cu.merge_passes(si.cues(spark, sf), p, p.where("false"), ["TION"], ["leur"])
-    return x.where("origin = 'a'").select("track_id", "idx", F.md5("text").alias("text"))
+    x = cu.merge_passes(si.cues(spark, sf).where("idx % 6 <> 2"), si.second_pass(spark, sf), si.third_pass(spark, sf), ["TION"], ["leur"])
+    return x.select("track_id", "idx", "origin", "start_ms", "end_ms", F.md5("text").alias("text"))
 
 
 @query("ag32_restore_prefix")

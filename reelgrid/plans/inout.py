@@ -52,17 +52,16 @@ def _(spark, sf):
 SRT = "concat_ws('\\n', cast(idx + 1 as string), concat(clock, ' --> ', clock2, ' X1:10 Y1:20'), line)"
 
 
-@query("io5_parse_cues", with_sql("cues", body=f"SELECT track_id, idx, start_ms, end_ms, md5({FLAT}) AS text FROM cues WHERE {FLAT} <> ''"))
+@query("io5_parse_cues", with_sql("cues", body=f"SELECT track_id, row_number() OVER (PARTITION BY track_id ORDER BY idx) - 1 AS idx, start_ms, end_ms, md5({FLAT}) AS text FROM cues WHERE {FLAT} <> ''"))
 def _(spark, sf):
     from reelgrid.functions.parse import to_clock
 
     c = si.cues(spark, sf).withColumn("line", F.trim(F.regexp_replace("text", r"\s+", " "))).where("line <> ''")
     c = c.withColumn("clock", to_clock("start_ms")).withColumn("clock2", to_clock("end_ms", "."))
-    # Each turn is its own small caption file here, so no file grows with a track.
-    files = c.select(F.concat_ws(":", "track_id", "idx").alias("track_id"), F.expr(SRT).alias("text"))
-    x = qi.parse_cues(files)
-    part = F.split("track_id", ":")
-    return x.select(F.get(part, F.lit(0)).cast("long").alias("track_id"), F.get(part, F.lit(1)).cast("long").alias("idx"), "start_ms", "end_ms", F.md5("text").alias("text"))
+    # One caption file per track, blocks divided by blank lines.
+    blocks = c.groupBy("track_id").agg(F.array_sort(F.collect_list(F.struct("idx", F.expr(SRT).alias("b")))).alias("b"))
+    files = blocks.select("track_id", F.array_join(F.transform("b", lambda r: r["b"]), "\r\n \n").alias("text"))
+    return qi.parse_cues(files).select("track_id", F.col("idx").cast("long").alias("idx"), "start_ms", "end_ms", F.md5("text").alias("text"))
 
 
 CK = "printf('%02d:%02d:%02d{s}%03d', {c} // 3600000, {c} // 60000 % 60, {c} // 1000 % 60, {c} % 1000)"

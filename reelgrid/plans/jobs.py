@@ -14,7 +14,8 @@ from reelgrid.plans.standins import with_sql
 def pack(spark: SparkSession, sf: str) -> DataFrame:
     return si.pack_jobs(spark, sf).select(
         "pack_id", F.col("job_id").alias("workflow"), "status", "depends_on",
-        F.expr("case when job_id % 5 = 0 then array('srt') else cast(array() as array<string>) end").alias("depends_on_artifacts"),
+        # Every fifth job needs what the job five before it puts out when it is done.
+        F.expr("case when job_id % 5 = 0 then array(concat('out:', job_id - 5)) else cast(array() as array<string>) end").alias("depends_on_artifacts"),
     )
 
 
@@ -25,9 +26,10 @@ def _(spark, sf):
     return jb.queue_order(j).select(F.col("id").alias("job_id"), "queue_pos", "ahead")
 
 
-@query("jn25_ready_jobs", with_sql("pj", body="""SELECT p.job_id AS workflow, (p.dep IS NULL OR d.status = 'done') AND p.job_id % 5 <> 0 AS ready FROM pj p LEFT JOIN pj d ON d.job_id = p.dep WHERE p.status = 'pending'"""))
+@query("jn25_ready_jobs", with_sql("pj", body="""SELECT p.job_id AS workflow, (p.dep IS NULL OR d.status = 'done') AND (p.job_id % 5 <> 0 OR coalesce(o.status = 'done', false)) AS ready
+  FROM pj p LEFT JOIN pj d ON d.job_id = p.dep LEFT JOIN pj o ON o.job_id = p.job_id - 5 WHERE p.status = 'pending'"""))
 def _(spark, sf):
-    arts = spark.createDataFrame([], "pack_id bigint, artifact string")
+    arts = si.pack_jobs(spark, sf).where("status = 'done'").select("pack_id", F.expr("concat('out:', job_id)").alias("artifact"))
     p = pack(spark, sf).withColumn("workflow", F.col("workflow").cast("string")).withColumn("depends_on", F.col("depends_on").cast("array<string>"))
     return jb.ready_jobs(p, arts).select(F.col("workflow").cast("bigint").alias("workflow"), "ready")
 

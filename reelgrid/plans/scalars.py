@@ -98,10 +98,10 @@ def _(spark, sf):
 W = "list_distinct(regexp_extract_all(lower({c}), '[a-z0-9]+'))"
 
 
-@query("sc12_token_overlap", with_sql("cues", "pass2", body=", x AS (SELECT c.track_id, c.idx, " + W.format(c="c.text") + " AS a, " + W.format(c="p.text") + """ AS b FROM cues c JOIN pass2 p ON p.track_id = c.track_id AND p.idx = (c.idx + 1) % 7)
+@query("sc12_token_overlap", with_sql("cues", "pass2", body=", x AS (SELECT c.track_id, c.idx, " + W.format(c="c.text") + " AS a, " + W.format(c="p.text") + """ AS b FROM cues c JOIN pass2 p ON p.track_id = c.track_id AND p.idx = c.idx + 1)
  SELECT track_id, idx, round(CASE WHEN len(a) * len(b) > 0 THEN len(list_intersect(a, b)) / (sqrt(len(a)) * sqrt(len(b))) ELSE 0 END, 6) AS cos FROM x"""))
 def _(spark, sf):
-    c = si.cues(spark, sf).withColumn("k", (F.col("idx") + 1) % 7)
+    c = si.cues(spark, sf).withColumn("k", F.col("idx") + 1)
     p = si.second_pass(spark, sf).select("track_id", F.col("idx").alias("k"), F.col("text").alias("t2"))
     a, b = F.array_distinct(tx.words("text")), F.array_distinct(tx.words("t2"))
     return c.join(p, ["track_id", "k"]).select("track_id", "idx", F.round(sm.token_cosine(a, b), 6).alias("cos"))

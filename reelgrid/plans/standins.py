@@ -114,6 +114,12 @@ def second_pass(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def third_pass(spark: SparkSession, sf: str) -> DataFrame:
+    """A pass with other gaps, later by 0.3 s and spelled otherwise here and there."""
+    text = F.expr("case when idx % 3 = 0 then replace(text, 'tion', 'TION') else text end")
+    return cues(spark, sf).where("idx % 4 <> 1").select("track_id", "idx", (F.col("start_ms") + 300).alias("start_ms"), (F.col("end_ms") + 300).alias("end_ms"), text.alias("text"))
+
+
 def ideographs(words: F.Column) -> F.Column:
     """A caption in which every word is one CJK character (same word, same character)."""
     code = lambda w: F.lpad(F.hex(F.lit(0x4E00) + F.pmod(F.crc32(w), F.lit(20000))), 4, "0")
@@ -271,6 +277,8 @@ SQL = {
     "pass2": """pass2 AS (SELECT track_id, idx, start_ms + (idx * 37) % 900 - 450 AS start_ms,
   end_ms + (idx * 37) % 900 - 450 AS end_ms,
   CASE WHEN idx % 5 = 0 THEN translate(text, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') ELSE text END AS text FROM cues WHERE idx % 7 <> 3)""",
+    "pass3": """pass3 AS (SELECT track_id, idx, start_ms + 300 AS start_ms, end_ms + 300 AS end_ms,
+   CASE WHEN idx % 3 = 0 THEN replace(text, 'tion', 'TION') ELSE text END AS text FROM cues WHERE idx % 4 <> 1)""",
     "spans": """spans AS (SELECT track_id, CAST(seg AS INT) AS seg, seg * 8000 + 1000 AS start_ms, seg * 8000 + 7000 AS end_ms
   FROM (SELECT track_id, unnest(range(0, max(end_ms) // 8000 + 1)) AS seg FROM cues GROUP BY track_id))""",
     "vec": "vec AS (SELECT vec_id AS mid, cast(embedding AS double[]) AS v, label FROM embeddings)",
