@@ -82,10 +82,3 @@ def has_kana(c: str | Column) -> Column:
 
 def has_hangul(c: str | Column) -> Column:
     return text_or_empty(c).rlike(r"[\x{ac00}-\x{d7af}]")
-
-
-def short_grams(c: str | Column) -> Column:
-    """The distinct characters and pairs of neighbouring characters of a text."""
-    chars = F.split(as_col(c), "")
-    pairs = F.zip_with(chars, F.slice(chars, F.lit(2), F.size(chars)), lambda a, b: F.concat(a, b))
-    return F.array_distinct(F.array_compact(F.concat(chars, pairs)))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from reelgrid.functions import language as lg
 from reelgrid.functions.text import text_or_empty
+from reelgrid.operators.containment import containments
 from reelgrid.operators.scale import CHUNK_ROWS, join_keys, running
 
 
@@ -100,14 +101,10 @@ def derive_queries(m: DataFrame, stop: Sequence[str] = (), most: int = 8) -> Dat
     w = m.select("id", F.explode(F.array_distinct(words)).alias("query"))
     w = w.where((F.length("query") >= 2) & ~F.col("query").rlike("^[0-9a-f]{8,}$") & ~F.col("query").isin(list(stop)))
     queries = w.groupBy("query").agg(F.min("id").alias("__first"))
-    # Containment is an equi-join on the query's first two characters' grams of
-    # each text; texts are cut into distinct words, over which a query cannot run.
+    # Texts are cut into distinct words, over which a query cannot run.
     parts = F.concat(F.regexp_extract_all(F.lower("blob"), F.lit("[a-z0-9]+"), F.lit(0)), F.regexp_extract_all(F.lower("blob"), F.lit(r"[\x{4e00}-\x{9fff}]+"), F.lit(0)))
     terms = m.select("id", F.explode(F.array_distinct(parts)).alias("term"))
-    vocab = terms.select("term").distinct()
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("term") - 1, F.lit(1))), lambda i: F.substr(F.col("term"), i, F.lit(2))))
-    pairs = vocab.select("term", F.explode(grams).alias("g")).join(queries.withColumn("g", F.substring("query", 1, 2)), "g")
-    pairs = pairs.where(F.contains("term", "query")).select("query", "term").distinct()
+    pairs = containments(terms.select("term").distinct(), queries, "term", "query")
     hits = terms.join(pairs, "term").select("query", "id").distinct()
     n = hits.groupBy("query").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= most)
     few = hits.join(n.select("query"), "query", "left_semi")

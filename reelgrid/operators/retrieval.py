@@ -16,11 +16,11 @@ from reelgrid.functions.text import (
     as_col,
     field_token_weight,
     path_tail,
-    short_grams,
     text_or_empty,
     tokens,
 )
 from reelgrid.operators.blocks import block_products, unit_rows
+from reelgrid.operators.containment import containments
 from reelgrid.operators.lexical import scan_scores
 from reelgrid.operators.scale import CHUNK_ROWS, join_keys, positions, running, stable, top_k
 
@@ -376,26 +376,32 @@ def vetoes(feedback: DataFrame) -> DataFrame:
 def drop_vetoed(queries: DataFrame, vetoes: DataFrame) -> DataFrame:
     """Queries that contain, or are contained in, a vetoed phrase are dropped.
 
-    ``vetoes``: phrase.  Two texts of which one contains the other share the
-    first two characters of the shorter one (or its only one), so they meet in
-    an equi-join on these.
+    ``vetoes``: phrase.
     """
     q = F.trim(text_or_empty("query"))
     asked = queries.select(q.alias("q")).where("q <> ''").distinct()
     phrases = vetoes.select("phrase").where("phrase <> ''").distinct()
-    inside = lambda long, short: long.select("*", F.explode(short_grams(long.columns[0])).alias("g")).join(short.select("*", F.substring(F.col(short.columns[0]), 1, 2).alias("g")), "g")
-    bad = inside(asked, phrases).where(F.contains("q", "phrase")).select("q").unionByName(inside(phrases, asked).where(F.contains("phrase", "q")).select("q")).distinct()
-    return queries.join(bad, q == F.col("q"), "left_anti")
-
-
-def entity_search(index: DataFrame, terms: Sequence[str], op: str = "and") -> DataFrame:
-    """Ids that carry all (``and``) or any (``or``) of the terms."""
-    want = list(dict.fromkeys(t.strip().lower() for t in terms if t.strip()))
-    hit = index.where(F.col("entity").isin(want)).groupBy("id").agg(F.countDistinct("entity").alias("n"))
-    if op != "and":
-        return hit
-    known = index.where(F.col("entity").isin(want)).agg(F.countDistinct("entity").alias("n"))
-    return hit.join(known, "n", "left_semi")
+    longer = containments(asked, phrases, "q").select("q")
+    shorter = containments(phrases, asked, "phrase", "q").select("q")
+    return queries.join(longer.unionByName(shorter).distinct(), q == F.col("q"), "left_anti")
+
+
+def entity_search(index: DataFrame, terms: str | Sequence[str], op: str = "and", aliases: DataFrame | None = None) -> DataFrame:
+    """Ids that carry all (``and``) or any (``or``) of the entities named, and how many.
+
+    ``terms`` is one text or several; blanks, commas, plus signs and slashes divide
+    them.  A term that is no entity is looked up in ``aliases`` (alias, entity), such as
+    names in another language; one that is neither is left out.
+    """
+    text = terms if isinstance(terms, str) else " ".join(terms)
+    named = index.sparkSession.range(1).select(F.explode(F.array_distinct(F.split(F.lower(F.lit(text)), r"[\s,+/]+"))).alias("term")).where("term <> ''")
+    entities = named.join(index.select(F.col("entity").alias("term")), "term", "left_semi").select(F.col("term").alias("entity"))
+    if aliases is not None:
+        other = named.join(entities, F.col("term") == F.col("entity"), "left_anti")
+        entities = entities.unionByName(other.join(aliases.select(F.lower("alias").alias("term"), "entity"), "term").select("entity")).distinct()
+    entities = stable(entities)  # no more than there are terms
+    hit = index.join(entities, "entity").groupBy("id").agg(F.countDistinct("entity").alias("n"))
+    return hit if op != "and" else hit.join(entities.agg(F.count(F.lit(1)).alias("n")), "n", "left_semi")
 
 
 def doc_text(m: DataFrame, channels: DataFrame | None = None) -> DataFrame:

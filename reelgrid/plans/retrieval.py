@@ -226,7 +226,8 @@ def _(spark, sf):
 
     m = si.materials(spark, sf)
     idx = cat.entity_index(m, m.select("id", F.explode("ai_tags").alias("entity")), [*VOCAB, "lang:en"])
-    return rt.entity_search(idx, ["The", "lang:en"])
+    names = spark.createDataFrame([("english", "lang:en"), ("the", "lang:de")], "alias string, entity string")
+    return rt.entity_search(idx, ["The/English", "no-such-thing"], "and", names)
 
 
 @query("rt19_stale_vectors", with_sql("m", body=r""", t AS (SELECT id, doc_id, concat_ws(' | ', regexp_replace(regexp_replace(name, '\.[^.]*$', ''), '[_\-.]+', ' ', 'g') || ' ' || ext[2:],
