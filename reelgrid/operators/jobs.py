@@ -5,7 +5,7 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -81,6 +81,15 @@ def latest_steps(events: DataFrame) -> DataFrame:
     )
 
 
+def parent_status(counts: dict[str, Column], done: Column) -> Column:
+    """Status of a job from the counts of its steps by status."""
+    clean = (counts["failed"] == 0) & (counts["partial"] == 0)
+    return (
+        F.when(counts["running"] > 0, "processing").when(counts["queued"] > 0, None).when(clean, "done")
+        .when((done == 0) & (counts["failed"] > 0), "failed").otherwise("partial")
+    )
+
+
 def rollup_jobs(steps: DataFrame) -> DataFrame:
     """Step counts and the parent status: processing, queued, done, failed or partial."""
     s = F.col("status")
@@ -88,13 +97,7 @@ def rollup_jobs(steps: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("total"), F.count_if(s.isin("done", "skipped")).alias("done"),
         *[F.count_if(s == v).alias(f"__{v}") for v in ["running", "queued", "failed", "partial"]],
     )
-    status = (
-        F.when(F.col("__running") > 0, "processing")
-        .when(F.col("__queued") > 0, None)
-        .when((F.col("__failed") == 0) & (F.col("__partial") == 0), "done")
-        .when((F.col("done") == 0) & (F.col("__failed") > 0), "failed")
-        .otherwise("partial")
-    )
+    status = parent_status({v: F.col(f"__{v}") for v in ["running", "queued", "failed", "partial"]}, F.col("done"))
     return x.select("job_id", "total", "done", F.concat_ws("/", "done", "total").alias("label"), status.alias("status"))
 
 

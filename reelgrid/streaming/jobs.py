@@ -18,9 +18,6 @@ from reelgrid.operators import catalog as cat
 from reelgrid.operators import dedup, retrieval
 from reelgrid.operators.cues import _norm_py
 from reelgrid.operators.evaluation import fingerprint
-from reelgrid.operators.jobs import rollup_jobs
-from reelgrid.operators.metrics import nearest_rank
-from reelgrid.operators.scale import top_k
 from reelgrid.sources.catalog_io import inventory, upsert_materials
 
 LATE = "10 minutes"
@@ -57,26 +54,6 @@ def _generation(spark: SparkSession, path: str, epoch: int, schema: str) -> Data
     return spark.createDataFrame([], schema)
 
 
-def recent_latency(events: DataFrame, state: str, sink: Sink, checkpoint: str, n: int = 300):
-    """Percentiles over the last ``n`` durations of each kind.
-
-    The last rows are kept as a table, one generation per batch; every batch is
-    cut to ``n`` rows per kind on the map side before it is merged.
-    """
-    schema = "kind string, ts timestamp, duration_ms double"
-
-    def batch(df: DataFrame, epoch: int) -> None:
-        old = _generation(df.sparkSession, state, epoch, schema)
-        x = df.where("duration_ms is not null").select(F.coalesce("kind", F.lit("unknown")).alias("kind"), "ts", "duration_ms")
-        last = top_k(x.unionByName(old), ["kind"], [F.desc("ts"), F.desc("duration_ms")], n).drop("rank")
-        last.write.mode("overwrite").parquet(f"{state}/gen={epoch}")
-        last = df.sparkSession.read.schema(schema).parquet(f"{state}/gen={epoch}")
-        size = last.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.max("duration_ms").alias("ms_max"))
-        sink(nearest_rank(last, ["kind"], "duration_ms", {"ms_p50": 0.5, "ms_p95": 0.95}).join(size, "kind"), epoch)
-
-    return events.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
 def alerts(metrics: DataFrame, max_error_rate: float, max_p95: float) -> DataFrame:
     """Windows over a threshold, one row per window, kind and rule."""
     rate = F.col("errors") / F.col("count")
@@ -84,6 +61,26 @@ def alerts(metrics: DataFrame, max_error_rate: float, max_p95: float) -> DataFra
     return metrics.select("window_start", "kind", F.explode(F.filter(rules, lambda r: r.isNotNull())).alias("rule"))
 
 
+def alert_stream(events: DataFrame, max_error_rate: float, max_p95: float, width: str = "1 minute", late: str = LATE) -> DataFrame:
+    """``alerts`` of a request stream, in append mode: a window is judged when the
+    watermark has passed it, and each window, kind and rule is told once."""
+    w = F.window("ts", width)
+    x = events.withWatermark("ts", late).groupBy(w.alias("w"), F.coalesce("kind", F.lit("unknown")).alias("kind")).agg(
+        F.count(F.lit(1)).alias("count"), F.count_if(~F.coalesce("ok", F.lit(True))).alias("errors"), F.percentile_approx("duration_ms", 0.95, 10_000).alias("ms_p95"),
+    )
+    told = alerts(x.withColumnRenamed("w", "window_start"), max_error_rate, max_p95).withColumnRenamed("window_start", "w")
+    return told.dropDuplicatesWithinWatermark(["w", "kind", "rule"]).select(F.col("w.start").alias("window_start"), "kind", "rule")
+
+
+def append_once(df: DataFrame, path: str, checkpoint: str):
+    """Append a stream's rows to a table, a folder per batch: a batch that is run
+    again after a failure replaces its own rows."""
+    def batch(rows: DataFrame, epoch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{path}/batch={epoch}")
+
+    return df.writeStream.foreachBatch(batch).outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 CATALOG = (
     "id string, kind string, name string, ext string, size bigint, sha256 string, tags array<string>, description string, "
     "source string, external_path string, location string, created_at timestamp"
@@ -108,14 +105,17 @@ def catalog_sync(files: DataFrame, catalog_path: str, prepare: Callable[[DataFra
 
 
 def fingerprint_watch(changes: DataFrame, read_catalog: Callable[[], DataFrame], cols: Sequence[str], log_path: str, checkpoint: str):
-    """After each batch compare the catalog fingerprint with the last one; log changes."""
+    """After each batch compare the catalog fingerprint with the last one logged; a
+    change is one more folder of the log, which is never rewritten."""
     def batch(df: DataFrame, epoch: int) -> None:
+        spark = df.sparkSession
         schema = "fingerprint string, rows bigint, epoch bigint"
-        old = _generation(df.sparkSession, log_path, epoch, schema)
+        spark.createDataFrame([], schema).write.mode("ignore").parquet(f"{log_path}/batch=-1")
+        log = spark.read.schema(schema).parquet(log_path).where(F.col("epoch") < epoch)
         now = fingerprint(read_catalog(), cols).withColumn("epoch", F.lit(epoch).cast("long")).select("fingerprint", "rows", "epoch")
-        last = old.groupBy().agg(F.max_by("fingerprint", "epoch").alias("fingerprint"))
-        log = old.unionByName(now.join(last, "fingerprint", "left_anti"))
-        log.write.mode("overwrite").parquet(f"{log_path}/gen={epoch}")
+        fresh = now.join(log.groupBy().agg(F.max_by("fingerprint", "epoch").alias("fingerprint")), "fingerprint", "left_anti")
+        if not fresh.isEmpty():
+            fresh.write.mode("overwrite").parquet(f"{log_path}/batch={epoch}")
 
     return changes.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -154,24 +154,6 @@ def online_intervals(lines: DataFrame, gap_ms: int = 400, late: str = LATE) -> D
     return x.groupBy("video_id", "track").applyInPandasWithState(update, schema, state_schema, "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def job_status(steps: DataFrame, state: str, sink: Sink, checkpoint: str):
-    """Parent status of every job touched by a batch of step events.
-
-    The latest event of each step is kept as a table, one generation per batch;
-    a batch is reduced to one row per step on the map side.
-    """
-    def batch(df: DataFrame, epoch: int) -> None:
-        spark = df.sparkSession
-        old = _generation(spark, state, epoch, schemas.STEP_EVENT)
-        rows = df.where("status is not null").select("job_id", "step_key", "event_id", "ts", "status").unionByName(old)
-        last = rows.groupBy("job_id", "step_key").agg(F.max(F.struct("ts", "event_id", "status")).alias("r"))
-        last.select("job_id", "step_key", "r.event_id", "r.ts", "r.status").write.mode("overwrite").parquet(f"{state}/gen={epoch}")
-        now = spark.read.schema(schemas.STEP_EVENT).parquet(f"{state}/gen={epoch}")
-        sink(rollup_jobs(now.join(df.select("job_id").distinct(), "job_id", "left_semi")), epoch)
-
-    return steps.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
 def stale_jobs(progress: DataFrame, silent: str = "15 minutes", late: str = LATE) -> DataFrame:
     """Jobs without a progress event for ``silent``: one row per closed session
     whose last status was still open."""

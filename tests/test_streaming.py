@@ -8,6 +8,7 @@ from reelgrid import schemas
 from reelgrid.operators import jobs as jb
 from reelgrid.operators import metrics as mt
 from reelgrid.streaming import jobs as sj
+from reelgrid.streaming import keyed as kd
 
 
 def _log(spark, tmp_path):
@@ -31,26 +32,64 @@ def test_windowed_metrics(spark, tmp_path):
     assert tuple(got) == (400, 80, 134)
 
 
+def _updates(df, path, key):
+    """The last row of each key that a stream in update mode gives, and its batches."""
+    rows, batches = {}, []
+
+    def batch(part, epoch):
+        found = part.collect()
+        batches.append(len(found))
+        rows.update({r[key]: r.asDict() for r in found})
+
+    df.writeStream.foreachBatch(batch).outputMode("update").option("checkpointLocation", str(path)).trigger(availableNow=True).start().awaitTermination()
+    return rows, batches
+
+
 def test_recent_latency(spark, tmp_path):
+    kd.keyed_state(spark)
     rows, path = _log(spark, tmp_path)
-    out = []
-    stream = sj.read_events(spark, path)
-    q = sj.recent_latency(stream, str(tmp_path / "state"), lambda df, e: out.append(df.collect()), str(tmp_path / "cp"), 50)
-    q.awaitTermination()
+    stream = spark.readStream.schema(schemas.EVENT_LOG).option("maxFilesPerTrigger", 1).json(path)
+    got, batches = _updates(kd.recent_latency(stream, 50), tmp_path / "cp", "kind")
     want = mt.recent_metrics(rows.withColumn("event_id", F.lit(0)), 50, [F.desc("ts"), F.desc("duration_ms")])
-    assert {(r["kind"], r["ms_p50"], r["ms_p95"]) for r in out[-1]} == {(r["kind"], r["ms_p50"], r["ms_p95"]) for r in want.collect()}
+    assert {(r["kind"], r["ms_p50"], r["ms_p95"], r["n"]) for r in got.values()} == {(r["kind"], r["ms_p50"], r["ms_p95"], 50) for r in want.collect()}
+    assert len(batches) > 1
+    # Started again, the stream has nothing to tell and its state is still there.
+    assert _updates(kd.recent_latency(stream, 50), tmp_path / "cp", "kind")[0] == {}
 
 
 def test_job_status(spark, tmp_path):
+    kd.keyed_state(spark)
     ev = spark.range(300).select((F.col("id") % 7).alias("job_id"), (F.col("id") % 3).alias("step_key"), F.col("id").alias("event_id"), F.timestamp_seconds(F.col("id")).alias("ts"),
-                                 F.element_at(F.array(*[F.lit(s) for s in ["done", "failed", "skipped", "running"]]), (F.col("id") % 4 + 1).cast("int")).alias("status"))
+                                 F.element_at(F.array(*[F.lit(s) for s in ["done", "failed", "skipped", "running", None]]), (F.col("id") % 5 + 1).cast("int")).alias("status"))
     ev.repartition(3).write.json(str(tmp_path / "steps"))
-    out = []
     stream = spark.readStream.schema(schemas.STEP_EVENT).option("maxFilesPerTrigger", 1).json(str(tmp_path / "steps"))
-    sj.job_status(stream, str(tmp_path / "state"), lambda df, e: out.append(df.collect()), str(tmp_path / "cp")).awaitTermination()
-    final = {r["job_id"]: r["status"] for batch in out for r in batch}
-    want = {r["job_id"]: r["status"] for r in jb.rollup_jobs(jb.latest_steps(ev)).collect()}
-    assert final == want and len(out) > 1
+    got, batches = _updates(kd.job_status(stream), tmp_path / "cp", "job_id")
+    want = {r["job_id"]: r.asDict() for r in jb.rollup_jobs(jb.latest_steps(ev.where("status is not null"))).collect()}
+    assert got == want and len(batches) > 1
+
+
+def test_silent_jobs_and_what_falls_with_them(spark, tmp_path):
+    kd.keyed_state(spark)
+    rows = [(1, 0, 1, 0, "running"), (1, 0, 2, 60, "running"), (2, 0, 3, 0, "running"), (2, 0, 4, 30, "done"), (5, 0, 6, 10, "queued"), (3, 0, 5, 90_000, "running")]
+    df = spark.createDataFrame(rows, "job_id long, step_key long, event_id long, s long, status string").withColumn("ts", F.timestamp_seconds("s")).drop("s")
+    df.coalesce(1).write.json(str(tmp_path / "p"))
+    jobs = spark.createDataFrame([(9, 1, "processing", []), (9, 10, "pending", [1]), (9, 11, "pending", [10]), (9, 12, "pending", [2]), (9, 2, "done", []), (9, 5, "done", []), (9, 13, "pending", [5]), (9, 20, "failed", []), (9, 21, "pending", [20])],
+                                 "pack_id long, workflow long, status string, depends_on array<long>")
+    out = []
+    stream = spark.readStream.schema(schemas.STEP_EVENT).json(str(tmp_path / "p"))
+    kd.fail_silent_jobs(kd.silent_jobs(stream, 900), lambda: jobs, lambda x, e: out.extend(x.collect()), str(tmp_path / "cp")).awaitTermination()
+    assert sorted((r["workflow"], r["cause"]) for r in out) == [(1, "silent"), (10, "dependency"), (11, "dependency")]
+
+
+def test_alerts_are_told_once(spark, tmp_path):
+    rows = [(0, "a", 10.0, False), (5, "a", 10.0, True), (10, "b", 900.0, True), (70, "b", 1.0, True), (100_000, "z", 1.0, True)]
+    for n, part in enumerate((rows[:3], rows[3:])):
+        spark.createDataFrame(part, "s long, kind string, duration_ms double, ok boolean").select(F.timestamp_seconds("s").alias("ts"), "kind", "duration_ms", "ok").coalesce(1).write.json(str(tmp_path / "log" / f"{n}"))
+    stream = spark.readStream.schema(schemas.EVENT_LOG).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").json(str(tmp_path / "log"))
+    for _ in range(2):  # run again, the table stays as it is
+        sj.append_once(sj.alert_stream(stream, 0.2, 500.0), str(tmp_path / "alerts"), str(tmp_path / "cp")).awaitTermination()
+        got = [(r["kind"], r["rule"]) for r in spark.read.parquet(str(tmp_path / "alerts")).collect()]
+        assert sorted(got) == [("a", "error_rate"), ("b", "slow")]
 
 
 def test_stale_jobs(spark, tmp_path):
@@ -109,8 +148,7 @@ def test_fingerprint_watch_logs_changes_only(spark, tmp_path):
     spark.range(3).repartition(3).write.json(str(tmp_path / "ch"))
     stream = spark.readStream.schema("id long").option("maxFilesPerTrigger", 1).json(str(tmp_path / "ch"))
     sj.fingerprint_watch(stream, lambda: catalog, ["id", "size"], str(tmp_path / "fp"), str(tmp_path / "cp")).awaitTermination()
-    last = sorted((tmp_path / "fp").iterdir())[-1]
-    assert spark.read.parquet(str(last)).count() == 1
+    assert spark.read.parquet(str(tmp_path / "fp")).count() == 1
 
 
 def test_joined_passes(spark, tmp_path):
