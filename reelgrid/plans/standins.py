@@ -171,8 +171,8 @@ def phashes(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def requests(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "events").select(
+def requests(spark: SparkSession, sf: str, events: DataFrame | None = None) -> DataFrame:
+    return (table(spark, sf, "events") if events is None else events).select(
         "event_id",
         F.col("ts").cast("timestamp").alias("ts"),
         F.col("event_type").alias("kind"),
@@ -183,8 +183,8 @@ def requests(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def step_events(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "events").select(
+def step_events(spark: SparkSession, sf: str, events: DataFrame | None = None) -> DataFrame:
+    return (table(spark, sf, "events") if events is None else events).select(
         F.col("user_id").alias("job_id"),
         F.expr("event_id % 6").alias("step_key"),
         "event_id",
