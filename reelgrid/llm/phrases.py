@@ -1,6 +1,6 @@
 """Collocations: frequent phrases, mined with Rabin-Karp fingerprints.
 
-1. The texts of a language are packed in blocks of a few megabytes: words
+1. The texts of a language are packed in blocks of about a megabyte: words
    separated by a blank, pieces by a line feed.
 2. Prefix polynomials over a block's bytes give the fingerprint of each n-gram
    as a difference of two of them.  A block passes on its distinct fingerprints
@@ -33,8 +33,8 @@ from .store import Workspace
 from .words import hash_slices, mix
 
 #: Bytes of packed text after which a block is closed, and of all open blocks of a task.
-BLOCK_BYTES = 4 << 20
-OPEN_BYTES = 32 << 20
+BLOCK_BYTES = 1 << 20
+OPEN_BYTES = 8 << 20
 #: N-gram occurrences per bucket of fingerprints.
 BUCKET_NGRAMS = 1 << 19
 LEAST_BUCKET_BITS = 8
@@ -91,7 +91,7 @@ def _pack_blocks(block_bytes: int, open_bytes: int):
 
         for batch in batches:
             texts = batch.column(0).cast(pa.large_binary())
-            codes = batch.column(1).dictionary_encode()
+            codes, mine = batch.column(1).dictionary_encode(), None
             which = codes.indices.to_numpy(zero_copy_only=False)
             for code, lang in enumerate(codes.dictionary.to_pylist()):
                 mine, raw, many = texts.filter(pa.array(which == code)), [], 0
@@ -112,6 +112,8 @@ def _pack_blocks(block_bytes: int, open_bytes: int):
                         yield close(lang)
             while sum(size.values()) > open_bytes:
                 yield close(max(size, key=size.get))
+            del texts, codes, mine
+            pa.default_memory_pool().release_unused()
         for lang in list(held):
             yield close(lang)
 
@@ -153,12 +155,18 @@ class Grams:
         start, end = self.slices(k)
         start, end = start[which], end[which]
         size = np.concatenate([[0], np.cumsum(end - start)])
-        at = np.arange(size[-1]) + np.repeat(start - size[:-1], end - start)
+        kind = np.int32 if max(size[-1], len(self.data)) < 1 << 31 else np.int64
+        at = np.repeat((start - size[:-1]).astype(kind), end - start)
+        at += np.arange(size[-1], dtype=kind)
         return pa.LargeStringArray.from_buffers(len(start), pa.py_buffer(size.astype(np.int64)), pa.py_buffer(self.data[at].tobytes()))
 
 
-def _entries(grams: Grams, most: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    return np.unique(np.concatenate([grams.fingerprints(k, bits) for k in range(1, most + 1)]), return_counts=True)
+def _entries(prints: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct fingerprints in ascending order and their counts."""
+    every = np.concatenate(prints)
+    every.sort()
+    first = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1]]))
+    return every[first], np.diff(first, append=len(every))
 
 
 def _planes(x: np.ndarray) -> bytes:
@@ -177,7 +185,8 @@ def _send(most: int, bucket_bits: int, least: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, lang, body in zip(*(batch.column(i) for i in range(3))):
-                found, count = _entries(Grams(body.as_py(), lang.as_py(), most), most, bucket_bits + 32)
+                grams = Grams(body.as_py(), lang.as_py(), most)
+                found, count = _entries([grams.fingerprints(k, bucket_bits + 32) for k in range(1, most + 1)])
                 bucket = (found >> np.uint64(32)).astype(np.int64)
                 low = (found & np.uint64(0xFFFFFFFF)).astype(np.int64)
                 cut = np.flatnonzero(np.diff(bucket, prepend=-1))
@@ -222,7 +231,7 @@ def _look_up(most: int, bucket_bits: int):
                 grams = Grams(body.as_py(), lang.as_py(), most)
                 prints = [grams.fingerprints(k, bucket_bits + 32) for k in range(1, most + 1)]
                 told = sorted(answers.as_py(), key=lambda a: a["bucket"])
-                good = np.unique(np.concatenate(prints))[np.concatenate([np.unpackbits(np.frombuffer(a["bits"], np.uint8), count=a["n"]) for a in told]).astype(bool)]
+                good = _entries(prints)[0][np.concatenate([np.unpackbits(np.frombuffer(a["bits"], np.uint8), count=a["n"]) for a in told]).astype(bool)]
                 if not len(good):
                     continue
                 for k, x in enumerate(prints, 1):
