@@ -129,9 +129,12 @@ def mix_plan(docs: DataFrame, seed: int = 0, levels: int = LEVELS, blocks: int =
     ws = Workspace(docs.sparkSession)
     own = {"size", "source_size", "target", "copies", "taken", "shards"}
     kept = [c for c in docs.columns if c != text and c not in own]
+    # Other columns travel as one, so that their names can't meet those used below.
+    rest = [c for c in kept if c not in ("doc_id", "source")]
+    carried = F.struct(*[F.col(c) for c in rest]) if rest else F.lit(None).cast("int")
     block = F.pmod(F.xxhash64(F.lit(seed), F.lit("block"), "doc_id"), F.lit(blocks)).cast("int")
     inner = F.pmod(F.xxhash64(F.lit(seed), F.lit("inner"), "doc_id"), F.lit(blocks)).cast("int")
-    sized = ws.keep(docs.select(*kept, word_count(text).alias("size"), block.alias("block"), inner.alias("inner")))
+    sized = ws.keep(docs.select("doc_id", "source", carried.alias("__rest"), word_count(text).alias("size"), block.alias("block"), inner.alias("inner")))
     by_block = ws.keep(sized.groupBy("source", "block").agg(F.sum("size").alias("words")))
     goal = ws.keep(targets(by_block.groupBy("source").agg(F.sum("words").alias("source_size")), most))
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("int")
@@ -184,19 +187,22 @@ def mix_plan(docs: DataFrame, seed: int = 0, levels: int = LEVELS, blocks: int =
     out = sized.join(per_block, F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b"))).join(chosen, F.col("source").eqNullSafe(F.col("s2")) & F.col("doc_id").eqNullSafe(F.col("d2")), "left")
     goes = F.col("part").isNotNull() & (~F.coalesce("opened", F.lit(False)) | F.coalesce("chosen", F.lit(False)))
     out = out.withColumn("shards", F.concat("full", F.when(goes, F.array("part")).otherwise(F.array().cast("array<int>")))).withColumn("copies", F.size("shards"))
-    return out.select(*kept, "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).cast("long").alias("taken"), "shards")
+    columns = [F.col(f"__rest.`{c}`").alias(c) if c in rest else F.col(c) for c in kept]
+    return out.select(*columns, "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).cast("long").alias("taken"), "shards")
 
 
 def shards_table(docs: DataFrame, plan: DataFrame, seed: int = 0) -> DataFrame:
     """The mix itself: the columns of ``docs``, shard, copy, order; a row per copy
-    drawn, ordered at random inside a shard.  Write it with ``partitionBy('shard')``.
+    drawn.  Write it with ``partitionBy('shard')``: a shard's files hold its rows by a
+    hash of source and doc_id, each in random order.  The join with the plan is the only
+    exchange of the texts, so as many tasks write as Spark gives the join.
 
     All rows of one source and doc_id (each may be null) have the same shards."""
-    shards = plan.select(F.col("source").alias("_source"), F.col("doc_id").alias("_doc_id"), "shards").distinct()
-    found = docs.drop("copy", "shard", "order", "shards").join(shards, F.col("source").eqNullSafe(F.col("_source")) & F.col("doc_id").eqNullSafe(F.col("_doc_id")))
-    copies = found.select("*", F.posexplode("shards").alias("copy", "shard")).drop("_source", "_doc_id", "shards")
+    shards = plan.select(F.col("source").alias("__source"), F.col("doc_id").alias("__doc_id"), "shards").distinct()
+    found = docs.drop("copy", "shard", "order", "shards").join(shards, F.col("source").eqNullSafe(F.col("__source")) & F.col("doc_id").eqNullSafe(F.col("__doc_id")))
+    copies = found.select("*", F.posexplode("shards").alias("copy", "shard")).drop("__source", "__doc_id", "shards")
     shuffle = F.xxhash64(F.lit(seed), F.lit("order"), "doc_id", "source", "copy", "text")
-    return copies.withColumn("order", shuffle).repartition("shard", F.pmod("order", F.lit(64))).sortWithinPartitions("shard", "order")
+    return copies.withColumn("order", shuffle).sortWithinPartitions("shard", "order")
 
 
 def draw(docs: DataFrame, seed: int = 0) -> tuple[DataFrame, DataFrame]:
@@ -208,7 +214,7 @@ def draw(docs: DataFrame, seed: int = 0) -> tuple[DataFrame, DataFrame]:
     mix.write.partitionBy("shard").parquet(ws.path("mix"))
     mix = docs.sparkSession.read.schema(mix.schema).parquet(ws.path("mix")).select(*mix.columns)
     drawn = mix.select("source", "doc_id", "copy", "shard").distinct().groupBy("source", "doc_id").agg(F.array_sort(F.collect_list(F.struct("copy", "shard"))).alias("drawn"))  # at most ``most`` copies
-    drawn = drawn.withColumnsRenamed({"source": "_source", "doc_id": "_doc_id"})
-    found = plan.drop("shards").join(drawn, F.col("source").eqNullSafe(F.col("_source")) & F.col("doc_id").eqNullSafe(F.col("_doc_id")), "left")
-    found = found.withColumn("shards", F.coalesce(F.col("drawn.shard"), F.array().cast("array<int>"))).withColumn("copies", F.size("shards"))
+    drawn = drawn.withColumnsRenamed({"source": "__source", "doc_id": "__doc_id", "drawn": "__drawn"})
+    found = plan.drop("shards").join(drawn, F.col("source").eqNullSafe(F.col("__source")) & F.col("doc_id").eqNullSafe(F.col("__doc_id")), "left")
+    found = found.withColumn("shards", F.coalesce(F.col("__drawn.shard"), F.array().cast("array<int>"))).withColumn("copies", F.size("shards"))
     return found.withColumn("taken", (F.col("copies") * F.col("size")).cast("long")).select(*plan.columns), mix

@@ -138,6 +138,20 @@ def test_quotas_add_up(spark):
     assert max(each) - min(each) <= 1
 
 
+def test_mix_with_clashing_columns(spark):
+    """Columns named like those that the plan and the mix use inside pass through."""
+    names = ["block", "inner", "s", "b", "s0", "s1", "s2", "b1", "d2", "chosen", "full", "part", "opened", "_source", "_doc_id", "drawn", "open", "took", "at", "n", "quota", "words", "rank", "epoch"]
+    docs = spark.createDataFrame([(i, f"a b c {i}" if i % 5 else None, "xyz"[i % 3], *[f"{c}{i}" for c in names]) for i in range(60)], "doc_id long, text string, source string, " + ", ".join(f"`{c}` string" for c in names))
+    plan, mix = mixing.draw(docs)
+    assert sorted(plan.columns) == sorted(["doc_id", "source", *names, "size", "source_size", "target", "copies", "taken", "shards"])
+    rows = plan.collect()
+    assert len(rows) == 60 and all(r[c] == f"{c}{r.doc_id}" for r in rows for c in names)
+    copies = mix.collect()
+    assert all(r[c] == f"{c}{r.doc_id}" for r in copies for c in names)
+    plain = {r.doc_id: r.taken for r in mixing.mix_plan(docs.select("doc_id", "text", "source")).collect()}
+    assert {r.doc_id: r.taken for r in rows} == plain and sum(r.copies for r in rows) == len(copies) > 0
+
+
 def test_mix(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     docs = docs.unionByName(table(spark, [(100_000 + i, t) for i, (_, t) in enumerate(odd_texts())], source=None).select(docs.columns))
