@@ -1,15 +1,12 @@
 """Document scores by cross-entropy difference of two matched language models.
 
 Target and background model share the vocabulary, the order and the smoothing;
-only their counts differ.  ``cross_entropy_difference`` counts all word bigrams of
-all texts.  ``fit`` is the class model used before, of a fixed size over a sample;
-no query uses it any more.
+only their counts differ: all word bigrams of all target texts, and of all texts.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -19,100 +16,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
-from .samples import thin
 from .store import Workspace
 
-VOCABULARY = 65_536
-TARGET_ROWS = 20_000
-SINGLE, SHARED = 447, 64
-CLASSES = SINGLE + SHARED + 1
-START = CLASSES - 1
 SMOOTH = 10.0
 
-
-@dataclass
-class Models:
-    """Losses of both models (first index: target, background)."""
-
-    single: np.ndarray  # sorted hashes of the words with a class of their own
-    words: np.ndarray  # sorted hashes of the vocabulary
-    move: np.ndarray  # [model, class before, class]
-    word: np.ndarray  # [model, vocabulary entry]; 0 for single words
-    other: np.ndarray  # [model, class]: a word outside the vocabulary
-
-
-def _classes(h: np.ndarray, single: np.ndarray) -> np.ndarray:
-    at = np.minimum(np.searchsorted(single, h), max(len(single) - 1, 0))
-    known = single[at] == h if len(single) else np.zeros(len(h), bool)
-    return np.where(known, at, SINGLE + (h % np.uint64(SHARED)).astype(np.int64))
-
-
-def _steps(found: W.Words, single: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, class and class before of every word."""
-    h = found.hashes()
-    own = _classes(h, single)
-    before = np.concatenate([[START], own[:-1]])[: len(own)]
-    first = found.ptr[:-1][found.counts > 0]
-    before[first] = START
-    return h, own, before
-
-
-def fit(ws: Workspace, docs: DataFrame, target: DataFrame, rows: int = TARGET_ROWS, vocabulary: int = VOCABULARY) -> Models:
-    """Count both models.  The target model uses about ``rows`` of the target ids."""
-    ids = F.broadcast(thin(target.select("doc_id").where("doc_id is not null").distinct(), "doc_id", rows, seed=5).withColumn("wanted", F.lit(1)))
-    marked = docs.select("doc_id", "text").join(ids, "doc_id", "left").select("text", "wanted")
-
-    def count_words(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in W.chunks(batches, most=8 << 20):
-            found = W.Words(batch.column("text"), W.letters_and_digits())
-            own = batch.column("wanted").fill_null(0).to_numpy()[found.rows()]
-            word, at = np.unique(found.hashes(), return_inverse=True)
-            yield pa.record_batch(
-                [pa.array(word.astype(np.int64)), pa.array(np.bincount(at, minlength=len(word))), pa.array(np.bincount(at, own, len(word)).astype(np.int64))],
-                names=["word", "raw", "own"],
-            )
-
-    counts = ws.keep(marked.mapInArrow(count_words, "word long, raw long, own long").groupBy("word").agg(F.sum("raw").alias("raw"), F.sum("own").alias("own")))
-    sizes = counts.groupBy("raw").count().orderBy(F.desc("raw")).toPandas()
-    fits = sizes["raw"][sizes["count"].cumsum() <= vocabulary]
-    kept = counts.where(F.col("raw") >= (int(fits.min()) if len(fits) else 1 << 62)).toPandas()
-    ws.drop(counts)
-    kept["word"] = kept["word"].to_numpy().astype(np.uint64)
-    single = np.sort(kept.sort_values(["raw", "word"], ascending=[False, True])["word"].to_numpy()[:SINGLE])
-    shared = ws.spark.sparkContext.broadcast(single)
-
-    def count_moves(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw, own = np.zeros(CLASSES**2, np.int64), np.zeros(CLASSES**2, np.int64)
-        for batch in W.chunks(batches):
-            found = W.Words(batch.column("text"), W.letters_and_digits())
-            _, c, before = _steps(found, shared.value)
-            move = before * CLASSES + c
-            raw += np.bincount(move, minlength=CLASSES**2)
-            own += np.bincount(move[batch.column("wanted").fill_null(0).to_numpy()[found.rows()] == 1], minlength=CLASSES**2)
-        at = np.flatnonzero(raw)
-        yield pa.record_batch([pa.array(at), pa.array(raw[at]), pa.array(own[at])], names=["move", "raw", "own"])
-
-    moves = marked.mapInArrow(count_moves, "move long, raw long, own long").groupBy("move").agg(F.sum("raw").alias("raw"), F.sum("own").alias("own")).toPandas()
-    kept = kept.sort_values("word")
-    words = kept["word"].to_numpy()
-    word_class = _classes(words, single)
-    move, word, other = [], [], []
-    for column in ("own", "raw"):
-        n = np.zeros(CLASSES**2)
-        n[moves["move"].to_numpy()] = moves[column].to_numpy()
-        n = n.reshape(CLASSES, CLASSES)
-        total = n.sum(axis=0)
-        plain = (total + 0.1) / (total + 0.1).sum()
-        move.append(-np.log((n + SMOOTH * plain) / (n.sum(axis=1, keepdims=True) + SMOOTH)))
-        here = kept[column].to_numpy(float)
-        entries = np.bincount(word_class, minlength=CLASSES) + 1.0
-        known = np.bincount(word_class, here, CLASSES)
-        alone = word_class < SINGLE
-        word.append(np.where(alone, 0.0, -np.log((here + 0.1) / (total + 0.1 * entries)[word_class])))
-        other.append(-np.log((np.maximum(total - known, 0) + 0.1) / (total + 0.1 * entries)))
-    return Models(single, words, np.stack(move), np.stack(word), np.stack(other))
-
-
 #: An entry of a word: 48 bits of the word before, the text in its chunk (and whether it is a target text), how often.
 ENTRY = np.dtype([("low", "<u4"), ("high", "<u2"), ("row", "<u2"), ("n", "u1")])
 #: A text of a chunk.
@@ -135,7 +42,7 @@ def _pairs(batch: pa.RecordBatch) -> tuple[W.Words, np.ndarray, np.ndarray, np.n
 
 
 def _pieces(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in W.chunks(batches, most=12 << 20):
+    for batch in W.chunks(batches, most=4 << 20):
         for a in range(0, batch.num_rows, OWN):
             yield batch.slice(a, OWN)
 

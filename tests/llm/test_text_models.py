@@ -169,16 +169,6 @@ def test_log_weights_equal_brute_force(spark):
         assert abs(got[i].log_weight - sum(map(ratio, grams(t)))) < 1e-9
 
 
-def test_language_models_are_distributions(spark):
-    m = lm_score.fit(Workspace(spark), read(spark, "documents"), read(spark, "labels").where("quality = 1"), vocabulary=3000)
-    assert np.allclose(np.exp(-m.move).sum(axis=2), 1)
-    own = lm_score._classes(m.words, m.single)
-    shared = own >= lm_score.SINGLE
-    for i in (0, 1):
-        total = np.exp(-m.other[i]) + np.bincount(own[shared], np.exp(-m.word[i][shared]), lm_score.CLASSES)
-        assert np.allclose(total[lm_score.SINGLE : lm_score.START], 1)
-
-
 def test_cross_entropy_difference(spark):
     docs, labels = read(spark, "documents", "/root/testdata/sf0.1"), read(spark, "labels", "/root/testdata/sf0.1")
     got = lm_score.cross_entropy_difference(docs, labels.where("quality = 1 and doc_id % 2 = 0")).join(labels.where("doc_id % 2 = 1"), "doc_id").toPandas()
