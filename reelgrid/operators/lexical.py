@@ -139,17 +139,25 @@ def _scores(send, columns: list[float], channel: bool):
     return run
 
 
+def _spread_out(df: DataFrame) -> DataFrame:
+    """``df`` over all cores if it comes from fewer files than there are cores; tables of
+    many files are read where they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(2 * cores) if len(df.inputFiles()) < cores else df
+
+
 def scan_scores(queries: DataFrame, docs: DataFrame, fields: dict[str, Column], weights: dict[str, float], default: float, sidecars: DataFrame | None, entries: int = BLOCK_ENTRIES) -> DataFrame:
     """(qid, id, score) with score > 0; ids are unique in ``docs``, (id, channel) in ``sidecars``."""
     spark = docs.sparkSession
     schema = T.StructType([queries.schema["qid"], docs.schema["id"], T.StructField("score", T.DoubleType())])
-    rows = docs.select("id", *[tokens(c).alias(f"t{i}") for i, c in enumerate(fields.values())])
+    docs = _spread_out(docs.select("id", *[c.alias(f"f{i}") for i, c in enumerate(fields.values())]))
+    rows = docs.select("id", *[tokens(f"f{i}").alias(f"t{i}") for i in range(len(fields))])
     out: list[DataFrame] = []
     for block in query_blocks(queries, entries):
         send = spark.sparkContext.broadcast(block)
         out.append(rows.mapInArrow(_scores(send, [weights.get(f, default) for f in fields], False), schema))
         if sidecars is not None:
-            out.append(sidecars.select("id", tokens("text").alias("t0")).mapInArrow(_scores(send, [default], True), schema))
+            out.append(_spread_out(sidecars.select("id", "text")).select("id", tokens("text").alias("t0")).mapInArrow(_scores(send, [default], True), schema))
     if not out:
         return spark.createDataFrame([], schema)
     every = out[0]
