@@ -398,7 +398,10 @@ def _(spark, sf):
     return x.select("track_id", "idx", "origin", "start_ms", "end_ms", F.md5("text").alias("text"))
 
 
-@query("ag32_restore_prefix")
+@query("ag32_restore_prefix", with_sql("cues", body=", ct AS (SELECT * REPLACE (CASE WHEN idx % 2 = 0 THEN substring(text, 1, length(text) // 2) ELSE text END AS text) FROM cues), " + NEAR.format(a="ct", b="cues")
+    + r""", f AS (SELECT ct.track_id, ct.idx, trim(regexp_replace(ct.text, '\s+', ' ', 'g'), ' ') AS cur, trim(regexp_replace(near_text, '\s+', ' ', 'g'), ' ') AS base FROM ct JOIN nr USING (track_id, idx)),
+ g AS (SELECT *, replace(cur, ' ', '') AS nc, replace(base, ' ', '') AS na FROM f)
+ SELECT track_id, idx, md5(CASE WHEN nc <> '' AND na <> nc AND starts_with(na, nc) AND length(na) >= length(nc) + 2 THEN base ELSE cur END) AS text FROM g"""))
 def _(spark, sf):
     c = si.cues(spark, sf)
     cut = c.withColumn("text", F.expr("case when idx % 2 = 0 then substring(text, 1, cast(length(text) / 2 as int)) else text end"))

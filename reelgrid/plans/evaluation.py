@@ -168,13 +168,17 @@ def _proof(spark: SparkSession, sf: str) -> DataFrame:
     return ev.proofread(x, "en", 2)
 
 
-@query("ag27_proofread", with_sql("cues", "pass2", body=""", x AS (SELECT c.track_id, c.idx, p.text IS NOT NULL AND p.text <> '' AND c.idx % 2 = 0 AS sp FROM cues c LEFT JOIN pass2 p ON p.track_id = c.track_id AND p.idx = c.idx),
- y AS (SELECT *, sum(CASE WHEN sp THEN 1 ELSE 0 END) OVER (PARTITION BY track_id ORDER BY idx) AS used FROM x)
- SELECT track_id, idx, CASE WHEN NOT sp THEN 'consensus' WHEN used > 2 THEN 'judge_budget_exceeded' WHEN idx % 3 <> 0 THEN 'accept' WHEN idx / 10.0 > 0.25 THEN 'judge_preferred_alt' ELSE 'reject' END AS reason FROM y"""))
+PROOF = """, x AS (SELECT c.track_id, c.idx, p.text IS NOT NULL AND p.text <> '' AND c.idx % 2 = 0 AS sp FROM cues c LEFT JOIN pass2 p ON p.track_id = c.track_id AND p.idx = c.idx),
+ y AS (SELECT *, sum(CASE WHEN sp THEN 1 ELSE 0 END) OVER (PARTITION BY track_id ORDER BY idx) AS used FROM x),
+ z AS (SELECT track_id, idx, CASE WHEN NOT sp THEN 'consensus' WHEN used > 2 THEN 'judge_budget_exceeded' WHEN idx % 3 <> 0 THEN 'accept' WHEN idx / 10.0 > 0.25 THEN 'judge_preferred_alt' ELSE 'reject' END AS reason FROM y)"""
+
+
+@query("ag27_proofread", with_sql("cues", "pass2", body=PROOF + " SELECT track_id, idx, reason FROM z"))
 def _(spark, sf):
     return _proof(spark, sf).select("track_id", "idx", "reason")
 
 
-@query("ag27_proofread_report")
+@query("ag27_proofread_report", with_sql("cues", "pass2", body=PROOF + """ SELECT track_id, count(*) FILTER (reason = 'consensus') AS consensus, count(*) FILTER (reason = 'judge_preferred_alt') AS repaired,
+  count(*) FILTER (reason IN ('judge_budget_exceeded', 'reject')) AS human_review, count(*) FILTER (reason <> 'consensus') AS divergent FROM z GROUP BY 1"""))
 def _(spark, sf):
     return ev.proofread_report(_proof(spark, sf))
