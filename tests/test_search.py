@@ -5,12 +5,14 @@ from __future__ import annotations
 import random
 import re
 from collections import defaultdict
+from difflib import SequenceMatcher
 
 import pytest
 from pyspark.sql import functions as F
 
 from reelgrid.operators import cues as cu
 from reelgrid.operators import dedup, lexical, retrieval
+from reelgrid.functions.similarity import caption_sim
 from reelgrid.operators.containment import containments
 from reelgrid.operators.frames import frames_to_intervals
 
@@ -136,3 +138,34 @@ def test_runs_of_similar_text(spark):
     lines = [(1, 0, f, 0, "甲乙丙丁戊") for f in range(5)] + [(1, 0, 5, 0, "甲乙丙丁")] + [(1, 0, 6, 0, "壬癸")] + [(1, 0, 9, 0, "壬癸"), (1, 0, 10, 0, "壬癸")] + [(2, 1, 3, 0, "子")]
     got = frames_to_intervals(spark.createDataFrame(lines, "video_id long, track long, frame long, block long, text string"), 1000)
     assert sorted(map(tuple, got.select("video_id", "track", "start_ms", "end_ms", "text").collect())) == [(1, 0, 0, 5000, "甲乙丙丁戊"), (1, 0, 9000, 10000, "壬癸")]
+
+
+def test_similarity_of_captions(spark):
+    r = random.Random(8)
+    pairs = [("".join(r.choice("甲乙丙丁戊") for _ in range(r.randint(0, 8))), "".join(r.choice("甲乙丙丁戊") for _ in range(r.randint(0, 8)))) for _ in range(200)]
+    got = spark.createDataFrame(pairs, "a string, b string").select("a", "b", caption_sim("a", "b").alias("s")).collect()
+    for a, b, s in got:
+        want = 0.0 if not a or not b else float(a == b) or max(len({*a} & {*b}) / len({*a} | {*b}), 0.9 * SequenceMatcher(None, a, b).ratio())
+        assert abs(s - want) < 1e-9
+
+
+def test_lines_of_the_band_leak(spark):
+    """Of four lines outside the band one is a watermark, one Latin, one known in the band
+    at that time."""
+    kind = "track_id long, idx long, start_ms long, end_ms long, text string"
+    full = [(1, i, i * 1000, i * 1000 + 900, "水印") for i in range(4)] + [(1, 10, 9_000, 9_900, "新的一行"), (1, 11, 12_000, 12_900, "latin"), (1, 12, 15_000, 15_900, "大家好"), (1, 13, 18_000, 18_900, "看水印吧")]
+    band = [(1, 0, 15_000, 15_900, "大家好")]
+    got = cu.leak_suspects(spark.createDataFrame(full, kind), spark.createDataFrame(band, kind)).collect()
+    assert [x.idx for x in got] == [10]
+
+
+def test_best_chunk_counts(spark):
+    docs = spark.createDataFrame([("a", "red coat\n" + "filler words here " * 20 + "\nblue coat red coat"), ("b", "coat"), ("c", None)], "id string, description string")
+    queries = spark.createDataFrame([(1, "red blue coat")], "qid long, query string")
+    assert [(x.id, x.rank) for x in retrieval.chunk_search(queries, docs, 5).orderBy("rank").collect()] == [("a", 1), ("b", 2)]
+
+
+def test_vectors_come_from_the_function(spark):
+    texts = spark.createDataFrame([("a", "one two two", "s1"), ("b", None, "s2")], "id string, text string, sig string")
+    got = {x.mid: x for x in retrieval.embed(texts, retrieval.hashed_vectors, "m").collect()}
+    assert [sum(got[k].vec) for k in "ab"] == [3.0, 0.0] and {(x.model, x.sig, x.dim) for x in got.values()} == {("m", "s1", 64), ("m", "s2", 64)}
