@@ -24,6 +24,8 @@ SMOOTH = 10.0
 ENTRY = np.dtype([("low", "<u4"), ("high", "<u2"), ("row", "<u2"), ("n", "u1")])
 #: A text of a chunk.
 TEXT = np.dtype([("doc_id", "<i8"), ("known", "u1"), ("n_tokens", "<u4")])
+#: A part of the sums of a text of a chunk.
+SUM = np.dtype([("row", "<u2"), ("own", "<f8"), ("raw", "<f8")])
 OWN = 1 << 15
 BEGIN, END = np.uint64(0x5BD1E9955BD1E995), np.uint64(0xC2B2AE3D27D4EB4F)
 HOT_SHARE = 2048
@@ -53,6 +55,16 @@ def _starts(*sorted_keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
+def _add_up(rows: pa.Table) -> pa.Table:
+    """The texts of one chunk and all parts of their sums in, a row per text out."""
+    texts = np.frombuffer(b"".join(x.as_py() for x in rows.column("texts").drop_null()), TEXT)
+    parts = np.frombuffer(b"".join(x.as_py() for x in rows.column("sums").drop_null()), SUM)
+    add = lambda c: pa.array(np.bincount(parts["row"], parts[c], len(texts)).astype(float))
+    return pa.table({
+        "doc_id": pa.array(texts["doc_id"], mask=texts["known"] == 0), "n_tokens": pa.array(texts["n_tokens"].astype(np.int64)), "own": add("own"), "raw": add("raw"),
+    })
+
+
 def cross_entropy_difference(docs: DataFrame, target: DataFrame) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): n_tokens, target_loss, background_loss
     (nats per word, the end of the text counting as one) and score, their difference;
@@ -64,7 +76,7 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame) -> DataFrame:
 
     The bigrams of a chunk of texts travel once, to the task of their second word
     (of a word with more than a 2048th of all steps, to the task of the pair, with the
-    word's counts broadcast); there they are counted and give their texts' sums.
+    word's counts broadcast); there they are counted, and go back to their chunk as parts of its texts' sums.
 
     A null or empty text has no tokens and 0 for all losses; repeated rows score
     alike; without target texts the target model is flat; other columns are ignored.
@@ -165,24 +177,27 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame) -> DataFrame:
             out.append(n * (np.where(ends, 0.0, np.log(c_word + SMOOTH)) - np.log(np.bincount(pair, x)[pair] + SMOOTH * prior)))
         return chunk, (entry["row"] & (OWN - 1)).astype(np.int64), out[0], out[1]
 
-    names = ["place", "doc_id", "n_tokens", "own", "raw"]
+    names = ["chunk", "sums", "texts"]
 
     def sums(parts: list[tuple]) -> pa.RecordBatch:
+        """A row per chunk with the sums of its texts so far."""
         chunk, row, own, raw = (np.concatenate(x) for x in zip(*parts))
         which, at = np.unique(chunk, return_inverse=True)
         key, at = np.unique((at << 15) | row, return_inverse=True)
-        none = pa.nulls(len(key), pa.int64())
-        return pa.record_batch([pa.array((which[key >> 15] << 15) | (key & (OWN - 1))), none, none, pa.array(np.bincount(at, own)), pa.array(np.bincount(at, raw))], names=names)
+        found = np.empty(len(key), SUM)
+        found["row"], found["own"], found["raw"] = key & (OWN - 1), np.bincount(at, own), np.bincount(at, raw)
+        cut = np.searchsorted(key >> 15, np.arange(len(which) + 1))
+        data = [found[a:b].tobytes() for a, b in zip(cut, cut[1:])]
+        return pa.record_batch([pa.array(which, pa.int64()), pa.array(data, pa.binary()), pa.nulls(len(which), pa.binary())], names=names)
 
     def gather(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept, rest, waiting = [], [], 0
         for batch in batches:
             is_text = pc.less(batch.column("chunk"), 0)
-            for row in batch.filter(is_text).to_pylist():
-                text = np.frombuffer(row["data"], TEXT)
-                zero = pa.array(np.zeros(len(text)))
-                place = ((-1 - row["chunk"]) << 15) + np.arange(len(text))
-                yield pa.record_batch([pa.array(place), pa.array(text["doc_id"], mask=text["known"] == 0), pa.array(text["n_tokens"].astype(np.int64)), zero, zero], names=names)
+            told = batch.filter(is_text)
+            if told.num_rows:
+                chunk = -1 - told.column("chunk").to_numpy()
+                yield pa.record_batch([pa.array(chunk), pa.nulls(len(chunk), pa.binary()), told.column("data").cast(pa.binary())], names=names)
             batch = batch.filter(pc.invert(is_text))
             if not batch.num_rows:
                 continue
@@ -202,8 +217,7 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame) -> DataFrame:
             yield sums(kept)
 
     dealt = texts.mapInArrow(deal, "key long, chunk long, data binary").repartition("key").sortWithinPartitions("key")
-    added = dealt.mapInArrow(gather, "place long, doc_id long, n_tokens long, own double, raw double").groupBy("place").agg(
-        F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), F.sum("own").alias("own"), F.sum("raw").alias("raw")
-    )
+    found = dealt.mapInArrow(gather, "chunk long, sums binary, texts binary")
+    added = found.groupBy("chunk").applyInArrow(_add_up, "doc_id long, n_tokens long, own double, raw double")
     loss = lambda c, i: F.when(F.col("n_tokens") > 0, (F.col(c) + float(begin[i])) / (F.col("n_tokens") + 1)).otherwise(F.lit(0.0))
     return added.select("doc_id", "n_tokens", loss("own", 0).alias("target_loss"), loss("raw", 1).alias("background_loss")).withColumn("score", F.col("background_loss") - F.col("target_loss"))
