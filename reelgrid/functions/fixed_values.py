@@ -60,31 +60,35 @@ ROLE_TAG_LABELS = {
 }
 
 # Model tags that carry no information.
-MODEL_TAG_STOP = (
-    "video videos media multimedia footage clip clips scene scenes content raw person people character characters "
-    "render renders material materials asset assets sample samples file files image images photo photos picture "
-    "pictures audio movie movies test testing demo example unknown none null untitled new old 素材 视频 媒体 片段 场景 "
-    "内容 人物 画面 渲染 测试 笔记 说明 预览 其他 无 空 默认 通用 杂 资料 文件 图片 照片 type fix fixed fast verify verified "
-    "review check result output processed final clean cleaned enhanced upscaled restored model ai tool auto batch good "
-    "bad best high low quality"
-).split()
+MODEL_TAG_STOP = [
+    "video", "videos", "media", "multimedia", "footage", "clip", "clips", "scene", "scenes", "content", "raw", "person", "people",
+    "character", "characters", "render", "renders", "material", "materials", "asset", "assets", "sample", "samples", "file", "files",
+    "image", "images", "photo", "photos", "picture", "pictures", "audio", "movie", "movies", "test", "testing", "demo", "example",
+    "unknown", "none", "null", "untitled", "new", "old", "素材", "视频", "媒体", "片段", "场景", "内容", "人物", "画面", "渲染", "测试", "笔记", "说明", "预览",
+    "其他", "无", "空", "默认", "通用", "杂", "资料", "文件", "图片", "照片", "type", "fix", "fixed", "fast", "verify", "verified", "review", "check",
+    "result", "output", "processed", "final", "clean", "cleaned", "enhanced", "upscaled", "restored", "model", "ai", "tool", "auto",
+    "batch", "good", "bad", "best", "high", "low", "quality",
+]
 MODEL_TAG_MAX = 6
 MODEL_TAG_MAX_LEN = 20
 
 # Words that never form an open entity.
-ENTITY_STOP = (
-    "a an the of in on at to with and or is are was were be been being this that these those it its as by for from "
-    "into out over under up down above below near there here then than show shows showing shown depict depicts "
-    "depicting feature features featuring appear appears scene view shot frame camera photo photos image images "
-    "picture pictures video footage person people man woman close closeup close-up outdoors indoors background "
-    "foreground left right top bottom front back side while during before after around between thing things object "
-    "objects stuff item items something anything nothing content subject matter type kind sort example sample color colors"
-).split()
+ENTITY_STOP = [
+    "a", "an", "the", "of", "in", "on", "at", "to", "with", "and", "or", "is", "are", "was", "were", "be", "been", "being", "this",
+    "that", "these", "those", "it", "its", "as", "by", "for", "from", "into", "out", "over", "under", "up", "down", "above", "below",
+    "near", "there", "here", "then", "than", "show", "shows", "showing", "shown", "depict", "depicts", "depicting", "feature",
+    "features", "featuring", "appear", "appears", "scene", "view", "shot", "frame", "camera", "photo", "photos", "image", "images",
+    "picture", "pictures", "video", "footage", "person", "people", "man", "woman", "close", "closeup", "close-up", "outdoors",
+    "indoors", "background", "foreground", "left", "right", "top", "bottom", "front", "back", "side", "while", "during", "before",
+    "after", "around", "between", "thing", "things", "object", "objects", "stuff", "item", "items", "something", "anything", "nothing",
+    "content", "subject", "matter", "type", "kind", "sort", "example", "sample", "color", "colors",
+]
 
 # Tags once written by rule tagging; a rollback keeps "bilibili".
-RULE_WRITTEN_TAGS = (
-    "dehardsub deblur segment subs cmp facefix benchmark combine watermark out test media render probe notes"
-).split()
+RULE_WRITTEN_TAGS = [
+    "dehardsub", "deblur", "segment", "subs", "cmp", "facefix", "benchmark", "combine", "watermark", "out", "test", "media", "render",
+    "probe", "notes",
+]
 
 # Retrieval weights.
 FIELD_WEIGHTS = {"name": 3.0, "tags": 2.5, "description": 1.5, "rel_path": 1.0}

@@ -19,7 +19,7 @@ HANGUL = r"[\x{ac00}-\x{d7af}]"
 LINE_PUNCT = r"[\s\x{3000}，。！？、,.!?;；:：\"'“”‘’()（）\-]"
 CJK_LANGS = ["zh", "zh-Hant", "ja", "ko"]
 # Fixed value: variant forms that count as the same character.
-VARIANTS = ("絶裡峯羣䌽甦堃喆", "絕裏峰群彩蘇坤哲")
+VARIANTS = {"絶": "絕", "裡": "裏", "峯": "峰", "羣": "群", "䌽": "彩", "甦": "蘇", "堃": "坤", "喆": "哲"}
 
 
 def is_polluted(c: str | Column, video_id: str = VIDEO_ID) -> Column:
@@ -37,8 +37,8 @@ def to_traditional(c: Column, pairs: tuple[str, str]) -> Column:
 def shared_idiom(c: str | Column, src: str | Column, pairs: tuple[str, str] = ("", "")) -> Column:
     """Up to four Han characters that are written differently from the source."""
     t = F.trim(text_or_empty(c))
-    a = F.translate(to_traditional(t, pairs), *VARIANTS)
-    b = F.translate(to_traditional(text_or_empty(src), pairs), *VARIANTS)
+    a = F.translate(to_traditional(t, pairs), "".join(VARIANTS), "".join(VARIANTS.values()))
+    b = F.translate(to_traditional(text_or_empty(src), pairs), "".join(VARIANTS), "".join(VARIANTS.values()))
     return t.rlike("^" + CJK + "{1,4}$") & (a != b)
 
 
