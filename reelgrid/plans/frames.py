@@ -86,7 +86,7 @@ PX = "px AS (SELECT vec_id, label, list_transform(embedding, lambda e: cast(cast
 @query("ag38_band_scores", "WITH " + PX + """, s AS (SELECT vec_id, list_avg(p) AS mean, sqrt(list_sum(list_transform(p, lambda v: (v - list_avg(p)) * (v - list_avg(p)))) / len(p)) AS std, len(list_filter(p, lambda v: v >= 200)) / len(p) AS bright FROM px)
  SELECT vec_id, round(mean, 6) AS mean, round(std, 6) AS std, round(bright, 6) AS bright FROM s""")
 def _(spark, sf):
-    e = si.table(spark, sf, "embeddings").select("vec_id", F.transform("embedding", lambda x: F.pmod(F.floor((x.cast("double") + 1) * 160).cast("int"), F.lit(256)).cast("double")).alias("pixels"))
+    e = si.table(spark, sf, "embeddings").select("vec_id", F.transform("embedding", lambda x: F.pmod(F.floor((x + F.lit(1).cast("float")) * F.lit(160).cast("float")).cast("int"), F.lit(256)).cast("double")).alias("pixels"))
     x = fr.band_scores(e)
     return x.select("vec_id", *[F.round(c, 6).alias(c) for c in ["mean", "std", "bright"]])
 
