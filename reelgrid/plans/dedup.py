@@ -16,7 +16,7 @@ PAIRS = "pr AS (SELECT a.id AS a, b.id AS b, bit_count(xor(a.h, b.h)) AS dist FR
  SELECT vec_id, cast(list_sum(list_transform(range(0, 62), lambda k: CASE WHEN px[(k // 8) * 9 + k % 8 + 1] > px[(k // 8) * 9 + k % 8 + 2] THEN cast(1 AS bigint) << cast(k AS bigint) ELSE 0 END)) AS bigint) AS low_bits FROM p""")
 def _(spark, sf):
     px = F.transform(F.sequence(F.lit(0), F.lit(71)), lambda i: F.lpad(F.hex(F.pmod(
-        F.floor((F.get("embedding", i % 64).cast("double") + 1) * 100).cast("int") + i * 7, F.lit(256))), 2, "0"))
+        F.floor((F.get("embedding", i % 64) + F.lit(1).cast("float")) * F.lit(100).cast("float")).cast("int") + i * 7, F.lit(256))), 2, "0"))
     e = si.table(spark, sf, "embeddings").withColumn("thumb", F.unhex(F.array_join(px, "")))
     return e.select("vec_id", dd.dhash("thumb").bitwiseAND(F.lit((1 << 62) - 1)).alias("low_bits"))
 
