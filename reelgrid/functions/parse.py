@@ -180,10 +180,11 @@ def from_clock(c: str | Column) -> Column:
     return F.when(s.rlike(r"^\d+(\.\d+)?$"), plain).when(s.rlike(p), clock)
 
 
-def snap_to_frames(sec: Column, fps: float = 30.0) -> Column:
-    """Seconds moved to a whole number of frames, at least one."""
+def snap_to_frames(sec: Column, fps: float = 30.0, empty: int = 0) -> Column:
+    """Seconds moved to a whole number of frames, at least one; ``empty`` frames
+    where there is no length (null, zero or less)."""
     rate = fps if fps > 0 else 30.0
-    return F.when(sec > 0, F.greatest(F.bround(sec * rate), F.lit(1.0)) / rate).otherwise(0.0)
+    return F.when(sec > 0, F.greatest(F.bround(sec * rate), F.lit(1.0)) / rate).otherwise(empty / rate)
 
 
 def pixel_box(width: Column, height: Column, x: Column, y: Column, w: Column, h: Column, pad: float = 0.01) -> Column:

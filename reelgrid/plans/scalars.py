@@ -181,4 +181,4 @@ def _(spark, sf):
 
 @query("sc23_snap_to_frames", "SELECT event_id, round(greatest(round_even(value * 30, 0), 1) / 30.0, 6) AS sec FROM events")
 def _(spark, sf):
-    return si.table(spark, sf, "events").select("event_id", F.round(ps.snap_to_frames(F.col("value"), 30.0), 6).alias("sec"))
+    return si.table(spark, sf, "events").select("event_id", F.round(ps.snap_to_frames(F.col("value"), 30.0, empty=1), 6).alias("sec"))
