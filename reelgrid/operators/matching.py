@@ -13,16 +13,15 @@ from reelgrid.functions.similarity import caption_sim
 from reelgrid.operators.scale import join_keys, stable
 
 
-
-def _prefix_tokens(texts: DataFrame, keys: Sequence[str], ranks: DataFrame, thr: float) -> DataFrame:
-    """The rare characters of a text of which a similar text must share one."""
+def _prefix_tokens(texts: DataFrame, keys: Sequence[str], ranks: DataFrame, thr: float, name: str) -> DataFrame:
+    """The rare characters of a text (named by its ``__id``) of which a similar text must share one."""
     ratio = thr / 0.9
     chars = F.filter(F.split("text", ""), lambda x: x != "")
-    counted = texts.select(*keys, "text", F.posexplode(chars).alias("p", "c"))
-    per = counted.groupBy(*keys, "text", "c").agg(F.count(F.lit(1)).alias("n"))
-    per = per.join(ranks, [*keys, "c"])
+    counted = texts.select(*keys, "__id", F.posexplode(chars).alias("p", "c"))
+    per = counted.groupBy(*keys, "__id", "c").agg(F.count(F.lit(1)).alias("n"))
+    per = per.join(ranks.hint("merge"), [*keys, "c"])
     seq = F.transform(F.sequence(F.lit(1), F.col("n")), lambda k: F.struct(F.col("freq"), F.col("c"), k.alias("k")))
-    lists = per.groupBy(*keys, "text").agg(
+    lists = per.groupBy(*keys, "__id").agg(
         F.array_sort(F.flatten(F.collect_list(seq))).alias("multi"),
         F.array_sort(F.collect_list(F.struct("freq", "c"))).alias("single"),
     )
@@ -38,7 +37,7 @@ def _prefix_tokens(texts: DataFrame, keys: Sequence[str], ranks: DataFrame, thr:
     single = F.transform(
         F.slice("single", 1, F.greatest(s - need_s + 1, F.lit(0)).cast("int")), lambda t: F.concat(F.lit("s"), t["c"])
     )
-    return lists.select(*keys, "text", m.alias("len"), F.explode(F.concat(multi, single)).alias("token"))
+    return lists.select(*keys, F.col("__id").alias(f"__{name}"), m.alias(f"len_{name}"), F.explode(F.concat(multi, single)).alias("token"))
 
 
 def similar_texts(a: DataFrame, b: DataFrame, keys: Sequence[str], thr: float) -> DataFrame:
@@ -48,17 +47,20 @@ def similar_texts(a: DataFrame, b: DataFrame, keys: Sequence[str], thr: float) -
     filter), so the join is an equi-join and no pair of a group is formed
     unless it can reach the threshold; the filter loses no pair.
     """
-    # Read three times each below.
-    da = stable(a.select(*keys, "text").where("text <> ''").distinct())
-    db = stable(b.select(*keys, "text").where("text <> ''").distinct())
-    every = da.union(db).distinct().select(*keys, F.explode(F.array_distinct(F.split("text", ""))).alias("c"))
+    # Read three times each below.  Characters carry a number in place of their
+    # text; as an explosion is far larger than the planner thinks, it is never broadcast.
+    da, db = [stable(x.select(*keys, "text").where("text <> ''").distinct().withColumn("__id", F.monotonically_increasing_id())) for x in (a, b)]
+    every = da.select(*keys, "text").union(db.select(*keys, "text")).distinct().select(*keys, F.explode(F.array_distinct(F.split("text", ""))).alias("c"))
     ranks = every.where("c <> ''").groupBy(*keys, "c").agg(F.count(F.lit(1)).alias("freq"))
-    pa = _prefix_tokens(da, keys, ranks, thr).withColumnsRenamed({"text": "text_a", "len": "len_a"})
-    pb = _prefix_tokens(db, keys, ranks, thr).withColumnsRenamed({"text": "text_b", "len": "len_b"})
-    cand = pa.join(pb, [*keys, "token"])
+    pa = _prefix_tokens(da, keys, ranks, thr, "a")
+    pb = _prefix_tokens(db, keys, ranks, thr, "b")
+    cand = pa.join(pb.hint("merge"), [*keys, "token"])
     single = F.col("token").startswith("s")
     dice = 2 * F.least("len_a", "len_b") * 0.9 >= thr * (F.col("len_a") + F.col("len_b")) - 1e-9
-    pairs = cand.where(single | dice).select(*keys, "text_a", "text_b").distinct()
+    pairs = cand.where(single | dice).select(*keys, "__a", "__b").distinct()
+    for x, side in ((da, "a"), (db, "b")):
+        pairs = pairs.join(x.select(*keys, F.col("__id").alias(f"__{side}"), F.col("text").alias(f"text_{side}")).hint("merge"), [*keys, f"__{side}"])
+    pairs = pairs.select(*keys, "text_a", "text_b")
     return pairs.withColumn("sim", caption_sim("text_a", "text_b", thr)).where(F.col("sim") >= thr)
 
 
