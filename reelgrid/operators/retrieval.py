@@ -20,7 +20,7 @@ from reelgrid.functions.text import (
     tokens,
 )
 from reelgrid.operators.blocks import block_products, unit_rows
-from reelgrid.operators.containment import containments
+from reelgrid.operators.containment import containments, without
 from reelgrid.operators.lexical import scan_scores
 from reelgrid.operators.scale import CHUNK_ROWS, join_keys, positions, running, stable, top_k
 
@@ -379,11 +379,13 @@ def drop_vetoed(queries: DataFrame, vetoes: DataFrame) -> DataFrame:
     ``vetoes``: phrase.
     """
     q = F.trim(text_or_empty("query"))
-    asked = queries.select(q.alias("q")).where("q <> ''").distinct()
-    phrases = vetoes.select("phrase").where("phrase <> ''").distinct()
-    longer = containments(asked, phrases, "q").select("q")
-    shorter = containments(phrases, asked, "phrase", "q").select("q")
-    return queries.join(longer.unionByName(shorter).distinct(), q == F.col("q"), "left_anti")
+    phrases = stable(vetoes.select("phrase").where("phrase <> ''").distinct())
+    kept = without(queries.withColumn("__q", q), phrases, "__q").drop("__q")
+    # Only a query no longer than the longest phrase can be part of one.
+    longest = phrases.agg(F.max(F.length("phrase"))).first()[0] or 0
+    asked = queries.select(q.alias("q")).where((F.col("q") != "") & (F.length("q") <= longest)).distinct()
+    shorter = containments(phrases, asked, "phrase", "q").select("q").distinct()
+    return kept.join(shorter, q == F.col("q"), "left_anti")
 
 
 def entity_search(index: DataFrame, terms: str | Sequence[str], op: str = "and", aliases: DataFrame | None = None) -> DataFrame:
