@@ -20,9 +20,12 @@ from pyspark.sql import types as T
 from reelgrid.functions import fixed_values as fv
 from reelgrid.functions.text import tokens
 
-#: (query, token) entries of a block, and cells of a document by query table.
+#: (query, token) entries of a block, cells of a document by query table, tokens of
+#: the documents taken at once, and (document, query) entries added at once.
 BLOCK_ENTRIES = 1 << 20
 CELLS = 1 << 22
+TOKENS = 1 << 20
+ADDED = 1 << 21
 
 
 @dataclass
@@ -71,6 +74,16 @@ def _spread(ptr: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return np.arange(size.sum()) - np.repeat(first - ptr[which], size), owner
 
 
+def _pieces(sizes: np.ndarray, first: int, most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of positions, counted from ``first``, of at most ``most`` in size or one position."""
+    ends = np.cumsum(sizes)
+    at = 0
+    while at < len(ends):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+        yield first + at, first + to
+        at = to
+
+
 class _Cells:
     """The tokens of one column of a batch: (row, query token) pairs of equal words
     and, once per row and query word, of words that hold a long query word."""
@@ -102,9 +115,19 @@ class _Cells:
         n = len(block.qids)
         if a == b:
             return np.zeros((high - low) * n)
-        at, owner = _spread(block.ptr, token[a:b])
-        cell = (row[a:b][owner] - low) * n + block.of[at]
-        return np.bincount(cell, None if weight is None else weight[token[a:b]][owner], (high - low) * n).astype(float)
+        total = np.zeros((high - low) * n)
+        for a, b in _pieces(np.diff(block.ptr)[token[a:b]], a, ADDED):
+            at, owner = _spread(block.ptr, token[a:b])
+            # Added one by one, in the order of the tokens: the sum does not depend on the pieces.
+            np.add.at(total, (row[a:b][owner] - low) * n + block.of[at], 1.0 if weight is None else weight[token[a:b]][owner])
+        return total
+
+
+def _by_tokens(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch in parts of about ``TOKENS`` tokens; a long text is a part of its own."""
+    sizes = sum(pc.list_value_length(c).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns[1:])
+    for a, b in _pieces(sizes, 0, TOKENS):
+        yield batch.slice(a, b - a)
 
 
 def _scores(send, columns: list[float], channel: bool):
@@ -117,7 +140,7 @@ def _scores(send, columns: list[float], channel: bool):
         single = np.array([n.startswith("c:") for n in names], bool)
         weight = np.where(single, 0.0, 1.0) if channel else np.where(bigram > 0, 0.5, np.where(single, 0.1, 1.0))
         step = max(1, CELLS // max(1, len(block.qids)))
-        for batch in batches:
+        for batch in (part for whole in batches for part in _by_tokens(whole)):
             cells = [_Cells(c, block, not channel) for c in batch.columns[1:]]
             for low in range(0, batch.num_rows, step):
                 high = min(batch.num_rows, low + step)
