@@ -27,7 +27,7 @@ def tok(t: str) -> str:
 def _(spark, sf):
     d = si.table(spark, sf, "documents")
     t = tx.tokens(F.concat("text", F.lit(" "), F.translate(F.lower("text"), "aeiou", "的一是不了")))
-    return d.select("doc_id", F.size(t).cast("long").alias("n"), F.md5(F.array_join(F.array_sort(t), " ")).alias("digest"))
+    return d.select("doc_id", F.size(t).cast("long").alias("n"), F.md5(F.array_join(F.sort_array(t), " ")).alias("digest"))
 
 
 FIELDS_SQL = """f AS (SELECT id, 'name' AS field, 3.0 AS w, lower(name) AS t FROM m UNION ALL SELECT id, 'tags', 2.5, lower(array_to_string(tags, ',')) FROM m
