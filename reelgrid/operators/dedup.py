@@ -5,6 +5,8 @@ from __future__ import annotations
 from itertools import combinations
 from math import comb
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +16,11 @@ from reelgrid.operators.scale import components, stable, top_k
 #: Probes per hash: always worth wider bands, and never more than.
 FEW_PROBES = 256
 MOST_PROBES = 8_192
+#: Hashes of a side that a task compares at once, pairs looked at in one step, and
+#: partitions of the comparisons at most.
+TILE_ROWS = 8_192
+STEP_PAIRS = 1 << 17
+TILE_PARTITIONS = 4_096
 
 
 def dhash(data: str | Column) -> Column:
@@ -63,11 +70,15 @@ def _masks(width: int, radius: int) -> list[int]:
     return [sum(1 << i for i in chosen) for r in range(radius + 1) for chosen in combinations(range(width), r)]
 
 
+def _probes(d: int, bands: int) -> int:
+    return sum(comb(w, k) for (_, w), r in zip(_bands(bands), _radii(d, bands)) for k in range(r + 1))
+
+
 def _scheme(d: int, hashes: int) -> int:
     """Number of bands: band values should be about as many as the hashes, so that
     few meet by chance, while the probes per hash stay below ``MOST_PROBES``."""
     for bands in (2, 3):
-        probes = sum(comb(w, k) for (_, w), r in zip(_bands(bands), _radii(d, bands)) for k in range(r + 1))
+        probes = _probes(d, bands)
         if probes <= MOST_PROBES and (probes <= FEW_PROBES or hashes >> (64 // (bands + 1))):
             return bands
     return 4
@@ -76,18 +87,61 @@ def _scheme(d: int, hashes: int) -> int:
 def hash_pairs(hashes: DataFrame, d: int, bands: int | None = None) -> DataFrame:
     """Pairs of distinct hashes (h_a < h_b) at Hamming distance at most ``d``.
 
-    Pigeonhole over bands of bits: two hashes within ``d`` agree on one band up to
+    Small distances, by bands of bits: two hashes within ``d`` agree on one band up to
     a small radius.  One side lists the band values within that radius (masks
     written out as constants), the other its own bands, and an equi-join brings
     them together.  A pair is kept only at its first agreeing band, so nothing is
     deduplicated.  ``bands`` follows the number of hashes; any gives the same pairs.
+    Larger distances, for which bands are too many or too coarse, by tiles.
     """
     h = stable(hashes.select("h").where("h is not null").distinct())
+    if bands is None and _wide(d):
+        x = _tiles(h, h, d, same=True)
+        return x.select(F.least("h_a", "h_b").alias("h_a"), F.greatest("h_a", "h_b").alias("h_b"), "dist").where("h_a < h_b")
     return _meet(h, h, d, bands or _scheme(d, h.count())).where("h_a < h_b")
 
 
+def _wide(d: int) -> bool:
+    return min(_probes(d, bands) for bands in (2, 3, 4)) > FEW_PROBES
+
+
+def _tiles(left: DataFrame, right: DataFrame, d: int, same: bool = False) -> DataFrame:
+    """h_a of ``left`` and h_b of ``right`` (columns h, distinct) within ``d``, by comparing pieces.
+
+    Hashes of unlike frequency share bands so often that a join of them costs far more
+    than a count of bits.  Both sides are cut into pieces of ``TILE_ROWS``; a task
+    counts the differing bits of two pieces, so its time and memory do not grow with the
+    tables.  Of one table (``same``) two pieces meet once.
+    """
+    n, m = (max(1, -(-x.count() // TILE_ROWS)) for x in (left, right))
+    piece = lambda k: F.pmod(F.xxhash64("h"), F.lit(k)).cast("int")
+    each = lambda low, high: F.explode(F.sequence(low, high))
+    a = left.withColumn("__a", piece(n)).withColumn("__b", each(F.col("__a") if same else F.lit(0), F.lit(m - 1)))
+    b = right.withColumn("__b", piece(m)).withColumn("__a", each(F.lit(0), F.col("__b") if same else F.lit(n - 1)))
+    parts = min(n * (n + 1) // 2 if same else n * m, TILE_PARTITIONS)
+    both = a.withColumn("__left", F.lit(True)).unionByName(b.withColumn("__left", F.lit(False))).repartition(parts, "__a", "__b")
+
+    def once(rows: pa.Table) -> bool:
+        return same and rows.column("__a")[0] == rows.column("__b")[0]
+
+    def run(rows: pa.Table) -> pa.Table:
+        h, is_left = rows.column("h").to_numpy().view("uint64"), rows.column("__left").to_numpy()
+        p, q = h[is_left], h[~is_left]
+        step = max(1, STEP_PAIRS // max(1, len(q)))
+        found = [[np.empty(0, "int64")] * 2 + [np.empty(0, "int32")]]
+        for low in range(0, len(p) if len(q) else 0, step):
+            dist = np.bitwise_count(p[low : low + step, None] ^ q)
+            i, j = np.divmod(np.flatnonzero(dist <= d), len(q))
+            if once(rows):
+                i, j = (k[p[low + i] < q[j]] for k in (i, j))
+            found.append([p[low + i].view("int64"), q[j].view("int64"), dist[i, j].astype("int32")])
+        return pa.table([np.concatenate(c) for c in zip(*found)], names=["h_a", "h_b", "dist"])
+
+    return both.groupBy("__a", "__b").applyInArrow(run, "h_a long, h_b long, dist int")
+
+
 def _meet(left: DataFrame, right: DataFrame, d: int, bands: int) -> DataFrame:
-    """h_a of ``left`` and h_b of ``right`` (columns h, distinct) within ``d``."""
+    """h_a of ``left`` and h_b of ``right`` (columns h, distinct) within ``d``, by bands."""
     used = [(j, *cut, r) for j, (cut, r) in enumerate(zip(_bands(bands), _radii(d, bands))) if r >= 0]
     own = F.array(*[F.struct(F.lit(j).alias("band"), _band(F.col("h"), at, width).alias("v")) for j, at, width, _ in used])
 
@@ -149,11 +203,12 @@ def clusters(ph: DataFrame, d: int) -> DataFrame:
 
 
 def similar_to(ph: DataFrame, queries: DataFrame, d: int, k: int | None = None) -> DataFrame:
-    """Stored assets within ``d`` of each query hash (qid, qh), nearest first, by the
-    banded join between the distinct query hashes and the distinct stored ones."""
+    """Stored assets within ``d`` of each query hash (qid, qh), nearest first, from
+    the distinct query hashes and the distinct stored ones."""
     q = queries.select("qid", "qh").where("qh is not null")
     x = ph.where("h is not null")
     stored = stable(x.select("h").distinct())
-    near = _meet(q.select(F.col("qh").alias("h")).distinct(), stored, d, _scheme(d, stored.count()))
+    asked = q.select(F.col("qh").alias("h")).distinct()
+    near = _tiles(asked, stored, d) if _wide(d) else _meet(asked, stored, d, _scheme(d, stored.count()))
     out = q.join(near, F.col("qh") == F.col("h_a")).join(x.select("id", "h"), F.col("h_b") == F.col("h")).select("id", "qid", "dist").where(F.col("id") != F.col("qid"))
     return out if k is None else top_k(out, ["qid"], [F.col("dist"), F.col("id")], k)
