@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
+from decimal import ROUND_HALF_UP, Decimal
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +27,7 @@ BLOCK_ENTRIES = 1 << 20
 CELLS = 1 << 22
 TOKENS = 1 << 20
 ADDED = 1 << 21
+NINTH = Decimal("1e-9")
 
 
 @dataclass
@@ -123,36 +125,42 @@ class _Cells:
         return total
 
 
-def _by_tokens(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+def _by_tokens(batch: pa.RecordBatch, first: int) -> Iterator[pa.RecordBatch]:
     """The rows of a batch in parts of about ``TOKENS`` tokens; a long text is a part of its own."""
-    sizes = sum(pc.list_value_length(c).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns[1:])
+    sizes = sum(pc.list_value_length(c).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns[first:])
     for a, b in _pieces(sizes, 0, TOKENS):
         yield batch.slice(a, b - a)
 
 
+def _totals(block: QueryBlock, batch: pa.RecordBatch, first: int, columns: list[float], channel: bool) -> Iterator[tuple[int, int, np.ndarray]]:
+    """Ranges of rows of a batch with their scores (rows by queries, flat); token lists start at column ``first``."""
+    names = block.tokens.to_pylist()
+    bigram = np.array([n.startswith("b:") for n in names], float)
+    single = np.array([n.startswith("c:") for n in names], bool)
+    weight = np.where(single, 0.0, 1.0) if channel else np.where(bigram > 0, 0.5, np.where(single, 0.1, 1.0))
+    step = max(1, CELLS // max(1, len(block.qids)))
+    cells = [_Cells(c, block, not channel) for c in batch.columns[first:]]
+    for low in range(0, batch.num_rows, step):
+        high = min(batch.num_rows, low + step)
+        total = np.zeros((high - low) * len(block.qids))
+        for c, factor in zip(cells, columns):
+            own = c.sums(block, low, high, weight)
+            if channel:
+                gated = np.tile(block.bigrams >= 2, high - low) & (c.sums(block, low, high, bigram) < 2)
+                own[gated] = 0.0
+            else:
+                own = np.where(own > 0, own, fv.LOOSE_FACTOR * c.sums(block, low, high, None, loose=True))
+            total += factor * own
+        yield low, high, total
+
+
 def _scores(send, columns: list[float], channel: bool):
     """Rows (id, token lists) in; (qid, id, score) of all positive scores out."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block: QueryBlock = send.value
-        names = block.tokens.to_pylist()
-        bigram = np.array([n.startswith("b:") for n in names], float)
-        single = np.array([n.startswith("c:") for n in names], bool)
-        weight = np.where(single, 0.0, 1.0) if channel else np.where(bigram > 0, 0.5, np.where(single, 0.1, 1.0))
-        step = max(1, CELLS // max(1, len(block.qids)))
-        for batch in (part for whole in batches for part in _by_tokens(whole)):
-            cells = [_Cells(c, block, not channel) for c in batch.columns[1:]]
-            for low in range(0, batch.num_rows, step):
-                high = min(batch.num_rows, low + step)
-                total = np.zeros((high - low) * len(block.qids))
-                for c, factor in zip(cells, columns):
-                    own = c.sums(block, low, high, weight)
-                    if channel:
-                        gated = np.tile(block.bigrams >= 2, high - low) & (c.sums(block, low, high, bigram) < 2)
-                        own[gated] = 0.0
-                    else:
-                        own = np.where(own > 0, own, fv.LOOSE_FACTOR * c.sums(block, low, high, None, loose=True))
-                    total += factor * own
+        for batch in (part for whole in batches for part in _by_tokens(whole, 1)):
+            for low, _, total in _totals(block, batch, 1, columns, channel):
                 at = np.flatnonzero(total > 0)
                 if len(at):
                     yield pa.record_batch({
@@ -162,7 +170,58 @@ def _scores(send, columns: list[float], channel: bool):
     return run
 
 
-def _spread_out(df: DataFrame) -> DataFrame:
+#: Candidates (a row and a query) that a task gathers before it drops all but the best.
+HELD = 1 << 19
+
+
+def _best(send, columns: list[float], k: int, first: int):
+    """Rows (id, boost, ties, token lists) in; out, per task, every row that is among the first
+    ``k`` ids of a query by boost, score rounded to 9 digits (all descending), ties (descending)
+    and id.  An id counts with its best row."""
+
+    def keep(held: pa.Table, least: np.ndarray) -> pa.Table:
+        exact, back = np.unique(held.column("score").to_numpy(), return_inverse=True)
+        # Spark rounds decimal digits half up.
+        rounded = np.array([float(Decimal(repr(x)).quantize(NINTH, ROUND_HALF_UP)) for x in exact.tolist()])[back]
+        held = held.append_column("__r", pa.array(rounded))
+        down = [(c, "descending") for c in ("boost", "__r", *[c for c in held.column_names if c.startswith("tie")])]
+        held = held.sort_by([("q", "ascending"), *down, ("id", "ascending")])
+        q, ids = held.column("q").to_numpy(), held.column("id").combine_chunks().dictionary_encode()
+        pair = q * len(ids.dictionary) + ids.indices.to_numpy(zero_copy_only=False)
+        once = np.sort(np.unique(pair, return_index=True)[1])
+        held, q = held.take(pa.array(once)), q[once]
+        place = np.arange(len(q)) - np.searchsorted(q, q)
+        last = place == k - 1
+        least[:, q[last]] = [held.column(c).to_numpy()[last] for c in ("boost", "__r")]
+        return held.filter(pa.array(place < k)).drop_columns(["__r"])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block: QueryBlock = send.value
+        n = len(block.qids)
+        # Boost and rounded score that the k-th id of a query has so far.
+        least = np.array([np.full(n, -np.inf), np.zeros(n)])
+        held, new = None, []
+        for batch in (part for whole in batches for part in _by_tokens(whole, first)):
+            boost = batch.column(1).to_numpy(zero_copy_only=False)
+            for low, high, total in _totals(block, batch, first, columns, False):
+                score, own = total.reshape(-1, n), boost[low:high, None]
+                row, q = np.nonzero((score > 0) & ((own > least[0]) | ((own == least[0]) & (score >= least[1] - 1e-8))))
+                if len(row):
+                    rows = pa.Table.from_batches([batch.select(range(first)).take(pa.array(low + row))])
+                    new.append(rows.append_column("q", pa.array(q)).append_column("score", pa.array(score[row, q])))
+                if sum(t.num_rows for t in new) > HELD:
+                    held, new = keep(pa.concat_tables([*([held] if held else []), *new]).combine_chunks(), least), []
+        if new:
+            held = keep(pa.concat_tables([*([held] if held else []), *new]).combine_chunks(), least)
+        if held:
+            at = held.column("q").combine_chunks()
+            names = ["id", "boost", *[c for c in held.column_names if c.startswith("tie")], "score"]
+            yield from pa.table({"qid": block.qids.take(at)} | {c: held.column(c) for c in names}).combine_chunks().to_batches()
+
+    return run
+
+
+def spread_out(df: DataFrame) -> DataFrame:
     """``df`` over all cores if it comes from fewer files than there are cores; tables of
     many files are read where they are."""
     cores = df.sparkSession.sparkContext.defaultParallelism
@@ -173,14 +232,14 @@ def scan_scores(queries: DataFrame, docs: DataFrame, fields: dict[str, Column],
     """(qid, id, score) with score > 0; ids are unique in ``docs``, (id, channel) in ``sidecars``."""
     spark = docs.sparkSession
     schema = T.StructType([queries.schema["qid"], docs.schema["id"], T.StructField("score", T.DoubleType())])
-    docs = _spread_out(docs.select("id", *[c.alias(f"f{i}") for i, c in enumerate(fields.values())]))
+    docs = spread_out(docs.select("id", *[c.alias(f"f{i}") for i, c in enumerate(fields.values())]))
     rows = docs.select("id", *[tokens(f"f{i}").alias(f"t{i}") for i in range(len(fields))])
     out: list[DataFrame] = []
     for block in query_blocks(queries, entries):
         send = spark.sparkContext.broadcast(block)
         out.append(rows.mapInArrow(_scores(send, [weights.get(f, default) for f in fields], False), schema))
         if sidecars is not None:
-            out.append(_spread_out(sidecars.select("id", "text")).select("id", tokens("text").alias("t0")).mapInArrow(_scores(send, [default], True), schema))
+            out.append(spread_out(sidecars.select("id", "text")).select("id", tokens("text").alias("t0")).mapInArrow(_scores(send, [default], True), schema))
     if not out:
         return spark.createDataFrame([], schema)
     every = out[0]
@@ -188,3 +247,23 @@ def scan_scores(queries: DataFrame, docs: DataFrame, fields: dict[str, Column],
         every = every.unionByName(part)
     # A document's own fields are scored in one row; only channels add to it.
     return every if sidecars is None else every.groupBy("qid", "id").agg(F.sum("score").alias("score"))
+
+
+def scan_best(queries: DataFrame, docs: DataFrame, fields: dict[str, Column], weights: dict[str, float], default: float, k: int, ties: list[Column] = [], boost: Column | None = None, entries: int = BLOCK_ENTRIES) -> DataFrame:
+    """(qid, id, boost, tie0 .., score), among them the first ``k`` ids of every query with a score > 0.
+
+    Ids are ordered by boost, score rounded to 9 digits and ties (whole numbers without
+    nulls; all descending), then by id; an id counts with its best row.  A task passes on
+    no more than ``k`` ids of a query, so what follows grows with the tasks, not with the
+    scores.  The caller ranks them.
+    """
+    spark = docs.sparkSession
+    head = [F.col("id"), (F.lit(0) if boost is None else boost).cast("double").alias("boost"), *[c.cast("long").alias(f"tie{i}") for i, c in enumerate(ties)]]
+    docs = spread_out(docs.where("id is not null").select(*head, *[c.alias(f"f{i}") for i, c in enumerate(fields.values())]))
+    names = docs.columns[: len(head)]
+    rows = docs.select(*names, *[tokens(f"f{i}").alias(f"t{i}") for i in range(len(fields))])
+    schema = T.StructType([queries.schema["qid"], *[docs.schema[c] for c in names], T.StructField("score", T.DoubleType())])
+    out = spark.createDataFrame([], schema)
+    for block in query_blocks(queries, entries):
+        out = out.unionByName(rows.mapInArrow(_best(spark.sparkContext.broadcast(block), [weights.get(f, default) for f in fields], k, len(head)), schema))
+    return out

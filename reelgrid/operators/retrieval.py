@@ -21,7 +21,7 @@ from reelgrid.functions.text import (
 )
 from reelgrid.operators.blocks import block_products, unit_rows
 from reelgrid.operators.containment import containments, without
-from reelgrid.operators.lexical import scan_scores
+from reelgrid.operators.lexical import spread_out, scan_best, scan_scores
 from reelgrid.operators.scale import CHUNK_ROWS, join_keys, positions, running, stable, top_k
 
 
@@ -66,6 +66,19 @@ def search_rank(scores: DataFrame, m: DataFrame, k: int) -> DataFrame:
     return top_k(x, ["qid"], [F.desc(F.round("score", 9)), F.desc("created_at"), F.col("id")], k)
 
 
+def lexical_top(queries: DataFrame, m: DataFrame, k: int, favorites: DataFrame | None = None) -> DataFrame:
+    """``search_rank`` of the lexical scores of a catalog (its ids are unique), without passing on
+    the other scores: qid, id, score, rank.  With ``favorites`` (mid), whose assets come first, also favorite."""
+    from reelgrid.operators import catalog as cat
+
+    rows = m if favorites is None else cat.flag_favorites(m, favorites)
+    newest = F.coalesce(F.unix_micros(F.col("created_at").cast("timestamp")), F.lit(-(1 << 63)))
+    best = scan_best(queries, rows, catalog_fields(m), fv.FIELD_WEIGHTS, fv.CHANNEL_WEIGHT, k, [newest], None if favorites is None else F.col("favorite").cast("int"))
+    x = top_k(best, ["qid"], [F.desc("boost"), F.desc(F.round("score", 9)), F.desc("tie0"), F.col("id")], k)
+    flag = [] if favorites is None else [(F.col("boost") > 0).alias("favorite")]
+    return x.select("qid", "id", *flag, "score", "rank")
+
+
 # --- vectors -----------------------------------------------------------------------
 
 
@@ -281,11 +294,9 @@ def chunk_rows(docs: DataFrame, chunks: Column) -> DataFrame:
 
 def chunk_search(queries: DataFrame, docs: DataFrame, k: int = 10, text: str = "description") -> DataFrame:
     """Best chunk score per document, top ``k`` documents per query."""
-    chunks = chunk_rows(docs, chunk_paragraphs(text)).select(
-        F.struct("id", "chunk").alias("id"), F.col("text")
-    )
-    scored = lexical_scores(queries, chunks, {"description": F.col("text")})
-    best = scored.groupBy("qid", F.col("id.id").alias("id")).agg(F.max("score").alias("score"))
+    chunks = chunk_rows(spread_out(docs.select("id", text)), chunk_paragraphs(text))
+    scored = scan_best(queries, chunks, {"description": F.col("text")}, fv.FIELD_WEIGHTS, fv.CHANNEL_WEIGHT, k)
+    best = scored.groupBy("qid", "id").agg(F.max("score").alias("score"))
     return top_k(best, ["qid"], [F.desc(F.round("score", 9)), F.col("id")], k)
 
 
@@ -342,6 +353,8 @@ def search(
     full = cat.expand_query(queries, synonyms).select("qid", F.col("expanded").alias("query"))
     rows = cat.facet_filter(cat.filter_catalog(m, kind, tag), form, topic, usage)
     side = None if sidecars is None else sidecars.join(rows.select("id"), "id", "left_semi")
+    if side is None:
+        return lexical_top(full, rows, offset + limit, favorites).where(F.col("rank") > offset)
     scores = lexical_scores(full, rows, sidecars=side)
     x = cat.flag_favorites(scores.join(rows.select("id", "created_at"), "id"), favorites)
     order = [F.desc("favorite"), F.desc(F.round("score", 9)), F.desc("created_at"), F.col("id")]

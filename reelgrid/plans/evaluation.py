@@ -33,7 +33,7 @@ EVAL = ", " + GT + """, n AS (SELECT query, count(*) AS n FROM gt GROUP BY 1), h
 
 def _run(spark: SparkSession, sf: str) -> DataFrame:
     m = si.materials(spark, sf)
-    return rt.search_rank(rt.lexical_scores(si.queries(spark, sf), m), m, 20).select(F.col("qid").alias("query"), "id", "rank")
+    return rt.lexical_top(si.queries(spark, sf), m, 20).select(F.col("qid").alias("query"), "id", "rank")
 
 
 def _rounded(df: DataFrame) -> DataFrame:

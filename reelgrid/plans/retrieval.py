@@ -151,7 +151,7 @@ TOP_SQL = "WITH " + si.SQL["m"] + ", " + si.SQL["q"] + ", " + FIELDS_SQL + """,
 @query("rt2_lexical_topk", TOP_SQL + " SELECT qid, id, cast(round(score, 6) AS double) AS score, rank FROM rk WHERE rank <= 10")
 def _(spark, sf):
     m = si.materials(spark, sf)
-    top = rt.search_rank(rt.lexical_scores(si.queries(spark, sf), m), m, 10)
+    top = rt.lexical_top(si.queries(spark, sf), m, 10)
     return top.select("qid", "id", F.round("score", 6).alias("score"), "rank")
 
 
@@ -160,7 +160,7 @@ def _(spark, sf):
  SELECT qid, id, rank, 'rank' AS via FROM r UNION ALL SELECT e.qid, e.id, e.rank + n, 'body' FROM e JOIN (SELECT qid, max(rank) AS n FROM r GROUP BY qid) USING (qid)""")
 def _(spark, sf):
     m = si.materials(spark, sf)
-    top = rt.search_rank(rt.lexical_scores(si.queries(spark, sf), m), m, 40)
+    top = rt.lexical_top(si.queries(spark, sf), m, 40)
     extra = top.join(m.select("id", "kind", "name"), "id").select("qid", "id", "kind", "name", "rank")
     return rt.append_hits(top.where("rank <= 10"), extra)
 
@@ -285,6 +285,6 @@ def _(spark, sf):
 def _(spark, sf):
     m = si.materials(spark, sf)
     q = si.queries(spark, sf)
-    top = rt.search_rank(rt.lexical_scores(q, m), m, 8)
+    top = rt.lexical_top(q, m, 8)
     goals = q.select((F.col("qid") % 4).alias("goal"), "qid", F.col("qid").alias("ord"))
     return rt.assemble(goals, top, m, 12, "master").select("goal", "id", "pos")
