@@ -20,16 +20,22 @@ from .store import Workspace
 
 SMOOTH = 10.0
 
-#: An entry of a word: 48 bits of the word before, the text in its chunk (and whether it is a target text), how often.
-ENTRY = np.dtype([("low", "<u4"), ("high", "<u2"), ("row", "<u2"), ("n", "u1")])
+#: An entry of a word: 48 bits of the word before (in one column), the text in its chunk, or 32,768 more
+#: for a target text, and how often (one column each).
+BEFORE = np.dtype([("low", "<u4"), ("high", "<u2")])
 #: A text of a chunk.
 TEXT = np.dtype([("doc_id", "<i8"), ("known", "u1"), ("n_tokens", "<u4")])
 #: A part of the sums of a text of a chunk.
 SUM = np.dtype([("row", "<u2"), ("own", "<f8"), ("raw", "<f8")])
 OWN = 1 << 15
+LOW_48 = np.uint64((1 << 48) - 1)
 BEGIN, END = np.uint64(0x5BD1E9955BD1E995), np.uint64(0xC2B2AE3D27D4EB4F)
 HOT_SHARE = 2048
 FLUSH = 1 << 21
+#: Words go to their task in buckets: so many at least, more when a bucket would get over so many steps on average.
+BUCKETS, BUCKET_STEPS = 4096, 1 << 17
+#: Entries that are weighed at once (whole buckets, one at least).
+AT_ONCE = 1 << 18
 
 
 def _pairs(batch: pa.RecordBatch) -> tuple[W.Words, np.ndarray, np.ndarray, np.ndarray]:
@@ -55,6 +61,21 @@ def _starts(*sorted_keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
+def _binary(values: np.ndarray, cuts: np.ndarray) -> pa.Array:
+    """The bytes of ``values`` from each of ``cuts`` to the next."""
+    offsets = np.append(cuts, len(values)).astype(np.int64) * values.itemsize
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(cuts), [None, pa.py_buffer(offsets), pa.py_buffer(values.tobytes())]).cast(pa.binary())
+
+
+def _flat(table: pa.Table, name: str, dtype: type | np.dtype) -> tuple[np.ndarray, np.ndarray]:
+    """The values of all rows of a binary column, and where each row's begin."""
+    data = table.column(name).combine_chunks().cast(pa.large_binary())
+    off = np.frombuffer(data.buffers()[1], np.int64)[data.offset : data.offset + len(data) + 1]
+    raw = data.buffers()[2]
+    values = np.frombuffer(raw, np.uint8)[off[0] : off[-1]] if raw is not None else np.empty(0, np.uint8)
+    return values.view(dtype), (off - off[0]) // np.dtype(dtype).itemsize
+
+
 def _add_up(rows: pa.Table) -> pa.Table:
     """The texts of one chunk and all parts of their sums in, a row per text out."""
     texts = np.frombuffer(b"".join(x.as_py() for x in rows.column("texts").drop_null()), TEXT)
@@ -74,8 +95,8 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame) -> DataFrame:
     all texts (background) and all texts named by ``target``:
     p(w | v) = (c(v w) + SMOOTH p(w)) / (c(v) + SMOOTH), p(w) = (c(w) + 0.1) / (N + 0.1 V).
 
-    The bigrams of a chunk of texts travel once, to the task of their second word
-    (of a word with more than a 2048th of all steps, to the task of the pair, with the
+    The bigrams of a chunk of texts travel once, a row per bucket of second words
+    (of a word with more than a 2048th of all steps, to the bucket of the pair, with the
     word's counts broadcast); there they are counted, and go back to their chunk as parts of its texts' sums.
 
     A null or empty text has no tokens and 0 for all losses; repeated rows score
@@ -116,57 +137,62 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame) -> DataFrame:
         at = np.minimum(np.searchsorted(hot, word), max(len(hot) - 1, 0))
         return at, hot[at] == word if len(hot) else np.zeros(len(word), bool)
 
+    buckets = np.uint64(max(BUCKETS, -(-int(all_raw) // BUCKET_STEPS)))
+
     def deal(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId() << 24
         for k, batch in enumerate(_pieces(batches)):
             found, word, before, row = _pairs(batch)
             row, hot = row.astype(np.uint16), is_hot(word)[1]
-            key = np.where(hot, W.mix(word + W.mix(before)), word)
-            order = np.lexsort((row, before, key))
-            key, before, row = key[order], before[order], row[order]
-            at = _starts(key, before, row)
-            n = np.diff(np.append(at, len(key)))
+            before = before & LOW_48
+            bucket = (W.mix(np.where(hot, word + W.mix(before), word)) % buckets).astype(np.uint32)
+            order = np.lexsort((row, before, word, bucket))
+            bucket, word, before, row = bucket[order], word[order], before[order], row[order]
+            at = _starts(bucket, word, before, row)
+            n = np.diff(np.append(at, len(word)))
             times = (n + 254) // 255
             at, n = np.repeat(at, times), np.repeat(n, times)
             first = np.arange(len(at)) - np.repeat(np.cumsum(times) - times, times)
-            cut = _starts(key[at]) if len(at) else np.empty(0, np.int64)
-            # The pairs of a hot word begin with an entry of that word, which occurs 0 times.
-            hot = hot[order[at[cut]]]
-            lead = cut[hot]
-            entry = np.empty(len(at), ENTRY)
-            entry["low"], entry["high"], entry["n"] = before[at], before[at] >> np.uint64(32), np.minimum(n - 255 * first, 255)
-            entry["row"] = row[at] | np.where(is_target(batch), OWN, 0).astype(np.uint16)[row[at]]
-            name = np.zeros(len(lead), ENTRY)
-            name["low"] = is_hot(word[order[at[lead]]])[0]
-            entry = np.insert(entry, lead, name)
-            offsets = np.append(cut + np.cumsum(hot) - hot, len(entry)) * ENTRY.itemsize
-            data = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(cut), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(entry.tobytes())]).cast(pa.binary())
+            bucket, word, before, row = bucket[at], word[at], before[at], row[at]
+            entry = np.empty(len(at), BEFORE)
+            entry["low"], entry["high"] = before, before >> np.uint64(32)
+            row = row | np.where(is_target(batch), OWN, 0).astype(np.uint16)[row]
+            # A word stands once for 255 of its entries in a bucket.
+            own = _starts(bucket, word)
+            size = np.diff(np.append(own, len(word)))
+            times = (size + 254) // 255
+            own, size = np.repeat(own, times), np.repeat(size, times)
+            past = 255 * (np.arange(len(own)) - np.repeat(np.cumsum(times) - times, times))
+            cut = _starts(bucket)
+            at_word = np.searchsorted(own, cut)
             text = np.empty(batch.num_rows, TEXT)
             text["doc_id"], text["known"], text["n_tokens"] = batch.column("doc_id").fill_null(0).to_numpy(), batch.column("doc_id").is_valid().to_numpy(zero_copy_only=False), found.counts
-            # A row for every word of the chunk, and one for its texts, with a negative number.
+            none = pa.array([b""], pa.binary())
+            column = lambda x, cuts, last=none: pa.concat_arrays([_binary(x, cuts), last])
+            # A row for every bucket of the chunk, and one for its texts, with a negative number.
             yield pa.record_batch([
-                pa.array(np.append(key[at[cut]], W.mix(np.array([part + k], np.uint64))).view(np.int64)),
+                pa.array(np.append(bucket[cut].astype(np.int64), int(W.mix(np.array([part + k], np.uint64))[0] % buckets))),
                 pa.array(np.append(np.full(len(cut), part + k), -1 - part - k)),
-                pa.concat_arrays([data, pa.array([text.tobytes()], pa.binary())]),
-            ], names=["key", "chunk", "data"])
+                column(word[own], at_word, pa.array([text.tobytes()], pa.binary())), column(np.minimum(size - past, 255).astype(np.uint8), at_word),
+                column(entry, cut), column(row, cut), column(np.minimum(n - 255 * first, 255).astype(np.uint8), cut),
+            ], names=["key", "chunk", "words", "sizes", "before", "row", "n"])
 
     def weigh(batch: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Chunk, text and both sums of every entry of whole words (or pairs of a hot word)."""
-        data = batch.column("data").combine_chunks().cast(pa.large_binary())
-        off = np.frombuffer(data.buffers()[1], np.int64)[data.offset : data.offset + len(data) + 1]
-        entry = np.frombuffer(data.buffers()[2], np.uint8)[off[0] : off[-1]].view(ENTRY)
-        of = np.repeat(np.arange(len(data)), np.diff(off) // ENTRY.itemsize)
-        key, named = batch.column("key").to_numpy().view(np.uint64), entry["n"][(off[:-1] - off[0]) // ENTRY.itemsize] == 0
-        spot, often, real = np.where(named, entry["low"][(off[:-1] - off[0]) // ENTRY.itemsize], 0)[of], named[of], entry["n"] > 0
-        word, chunk, spot, often, entry = key[of][real], batch.column("chunk").to_numpy()[of][real], spot[real], often[real], entry[real]
-        before, n = entry["low"] | entry["high"].astype(np.uint64) << np.uint64(32), entry["n"].astype(float)
-        own = n * (entry["row"] >= OWN)
+        """Chunk, text and both sums of every entry of whole buckets."""
+        per_row = np.diff(_flat(batch, "n", np.uint8)[1])
+        chunk = np.repeat(batch.column("chunk").to_numpy(), per_row)
+        word = np.repeat(_flat(batch, "words", np.uint64)[0], _flat(batch, "sizes", np.uint8)[0])
+        entry, row, n = _flat(batch, "before", BEFORE)[0], _flat(batch, "row", np.uint16)[0], _flat(batch, "n", np.uint8)[0].astype(float)
+        before = entry["low"] | entry["high"].astype(np.uint64) << np.uint64(32)
+        own = n * (row >= OWN)
         order = np.lexsort((before, word))
         at = _starts(word[order], before[order])
         pair = np.empty(len(order), np.int64)
         pair[order] = np.repeat(np.arange(len(at)), np.diff(np.append(at, len(order))))
         _, same = np.unique(word, return_inverse=True)
-        ends = (often & (held.value[0][spot] == END) if often.any() else False) | (word == END)
+        # Only some of the pairs of a hot word are here.
+        spot, often = is_hot(word)
+        ends = word == END
         out = []
         for i, x in enumerate((own, n)):
             c_word = np.bincount(same, x)[same]
@@ -175,7 +201,7 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame) -> DataFrame:
             prior = (c_word + 0.1) / (total[i] + 0.1 * size)
             # The word after its word before, and the word as the one before the next.
             out.append(n * (np.where(ends, 0.0, np.log(c_word + SMOOTH)) - np.log(np.bincount(pair, x)[pair] + SMOOTH * prior)))
-        return chunk, (entry["row"] & (OWN - 1)).astype(np.int64), out[0], out[1]
+        return chunk, (row & (OWN - 1)).astype(np.int64), out[0], out[1]
 
     names = ["chunk", "sums", "texts"]
 
@@ -197,26 +223,32 @@ def cross_entropy_difference(docs: DataFrame, target: DataFrame) -> DataFrame:
             told = batch.filter(is_text)
             if told.num_rows:
                 chunk = -1 - told.column("chunk").to_numpy()
-                yield pa.record_batch([pa.array(chunk), pa.nulls(len(chunk), pa.binary()), told.column("data").cast(pa.binary())], names=names)
+                yield pa.record_batch([pa.array(chunk), pa.nulls(len(chunk), pa.binary()), told.column("words").cast(pa.binary())], names=names)
             batch = batch.filter(pc.invert(is_text))
             if not batch.num_rows:
                 continue
-            key = batch.column("key").to_numpy()
-            cut = int(_starts(key)[-1])  # the last key may go on in the next batch
-            if rest and rest[-1].column("key")[0].as_py() != key[0] or cut:
-                kept.append(weigh(pa.Table.from_batches([*rest, batch.slice(0, cut)])))
-                waiting += len(kept[-1][0])
-                rest = []
-            rest.append(batch.slice(cut))
-            if waiting >= FLUSH:
-                yield sums(kept)
-                kept, waiting = [], 0
+            key, entries = batch.column("key").to_numpy(), pc.binary_length(batch.column("n")).to_numpy()
+            cuts, ends = _starts(key), np.cumsum(entries, dtype=np.int64)
+            if rest and rest[-1].column("key")[0].as_py() != key[0]:
+                cuts = np.append(0, cuts)  # the bucket held back is whole
+            at = 0
+            for cut in cuts[1:]:
+                # Whole buckets up to here; the last bucket may go on in the next batch.
+                if cut == cuts[-1] or ends[cut - 1] - (ends[at - 1] if at else 0) >= AT_ONCE or not cut:
+                    part = [*rest, *([batch.slice(at, cut - at)] if cut > at else [])]
+                    kept.append(weigh(pa.Table.from_batches(part)))
+                    waiting += len(kept[-1][0])
+                    rest, at = [], int(cut)
+                    if waiting >= FLUSH:
+                        yield sums(kept)
+                        kept, waiting = [], 0
+            rest.append(batch.slice(at))
         if rest:
             kept.append(weigh(pa.Table.from_batches(rest)))
         if kept:
             yield sums(kept)
 
-    dealt = texts.mapInArrow(deal, "key long, chunk long, data binary").repartition("key").sortWithinPartitions("key")
+    dealt = texts.mapInArrow(deal, "key long, chunk long, words binary, sizes binary, before binary, row binary, n binary").repartition("key").sortWithinPartitions("key")
     found = dealt.mapInArrow(gather, "chunk long, sums binary, texts binary")
     added = found.groupBy("chunk").applyInArrow(_add_up, "doc_id long, n_tokens long, own double, raw double")
     loss = lambda c, i: F.when(F.col("n_tokens") > 0, (F.col(c) + float(begin[i])) / (F.col("n_tokens") + 1)).otherwise(F.lit(0.0))

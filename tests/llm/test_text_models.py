@@ -208,3 +208,18 @@ def test_bigram_losses_equal_brute_force(spark):
     got, want = sorted((tuple(r)[:4] for r in got), key=order), sorted(want, key=order)
     assert [g[:2] for g in got] == [w[:2] for w in want]
     assert np.allclose([g[2:] for g in got], [w[2:] for w in want])
+
+
+def test_bigrams_travel_in_few_rows(spark, monkeypatch):
+    """A chunk sends a row per bucket, not per word, and buckets that are weighed in many small parts score alike."""
+    r = random.Random(6)
+    docs = table(spark, [(i, " ".join(f"w{r.randrange(4000)}" if r.random() < 0.8 else "the the" for _ in range(300))) for i in range(60)]).coalesce(1)
+    wanted = spark.createDataFrame([(i,) for i in range(0, 60, 2)], "doc_id long")
+    dealt, kind = [], type(docs)
+    monkeypatch.setattr(kind, "repartition", lambda self, *a, f=kind.repartition: dealt.append(self) or f(self, *a))
+    run = lambda: lm_score.cross_entropy_difference(docs, wanted).orderBy("doc_id").toPandas().to_numpy()
+    whole = run()
+    monkeypatch.setattr(lm_score, "BUCKETS", 16, raising=False)
+    monkeypatch.setattr(lm_score, "BUCKET_STEPS", 1 << 30, raising=False)
+    monkeypatch.setattr(lm_score, "AT_ONCE", 1, raising=False)
+    assert np.allclose(run(), whole) and dealt[-1].count() <= 17
