@@ -1,7 +1,7 @@
 """Lexical scores in one pass over the documents.
 
 A block of queries (bounded by its number of tokens) is sent to the tasks, which
-score the tokens of the documents they read; only scores leave a task, so no token
+cut the tokens of the documents they read and score them; only scores leave a task, so no token
 is ever shuffled.  More queries make more blocks, and each block one more pass.
 """
 
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from reelgrid.functions import fixed_values as fv
-from reelgrid.functions.text import tokens
+from reelgrid.functions.text import text_or_empty, tokens
 
 #: (query, token) entries of a block, cells of a document by query table, tokens of
 #: the documents taken at once, and (document, query) entries added at once.
@@ -64,7 +64,9 @@ def query_blocks(queries: DataFrame, entries: int = BLOCK_ENTRIES) -> Iterator[Q
     rows = queries.where("qid is not null").select("qid", F.explode(tokens("query")).alias("token")).distinct()
     n = -(-rows.count() // entries)
     for i in range(n):
-        yield _block(rows.where(F.pmod(F.xxhash64("qid"), F.lit(n)) == i).toArrow())
+        part = rows.where(F.pmod(F.xxhash64("qid"), F.lit(n)) == i).toArrow()
+        if part.num_rows:
+            yield _block(part)
 
 
 def _spread(ptr: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -86,17 +88,61 @@ def _pieces(sizes: np.ndarray, first: int, most: int) -> Iterator[tuple[int, int
         at = to
 
 
+#: Which bytes of UTF-8 are letters or digits of a word.
+_WORD = np.zeros(256, bool)
+_WORD[0x30:0x3A] = _WORD[0x61:0x7B] = True
+
+
+def _ascii(flat: np.ndarray, ends: np.ndarray) -> pa.Array:
+    return pa.LargeStringArray.from_buffers(len(ends), pa.py_buffer(np.append(0, ends).astype(np.int64)), pa.py_buffer(flat.tobytes()))
+
+
+def _found(column: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """The tokens of lower-cased texts, with repeats, and the row of each, in no order: see ``functions.text.tokens``."""
+    texts = column.cast(pa.large_string())
+    off = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    raw = texts.buffers()[2]
+    data = np.frombuffer(raw, np.uint8)[off[0] : off[-1]] if raw is not None else np.empty(0, np.uint8)
+    off = off - off[0]
+    word = _WORD[data]
+    begin, last = word.copy(), word.copy()
+    begin[1:] &= ~word[:-1]
+    last[:-1] &= ~word[1:]
+    edges = off[1:-1]
+    edges = edges[(edges > 0) & (edges < len(data))]
+    begin[edges], last[edges - 1] = word[edges], word[edges - 1]
+    start, end = np.flatnonzero(begin), np.flatnonzero(last) + 1
+    rows, parts = [np.searchsorted(off, start, "right") - 1], [_ascii(data[word], np.cumsum(end - start))]
+    lead = np.flatnonzero((data >= 0xE4) & (data <= 0xE9))
+    lead = lead[(data[lead] > 0xE4) | (data[lead + 1] >= 0xB8)]  # U+4E00 to U+9FFF
+    if len(lead):
+        row = np.searchsorted(off, lead, "right") - 1
+        chars = np.stack([np.full(len(lead), 0x63), np.full(len(lead), 0x3A), data[lead], data[lead + 1], data[lead + 2]], 1).astype(np.uint8)
+        pair = np.flatnonzero(row[1:] == row[:-1])
+        pairs = np.hstack([chars[pair], chars[pair + 1, 2:]])
+        pairs[:, 0] = 0x62
+        for own, cells in ((row, chars), (row[pair], pairs)):
+            rows.append(own)
+            parts.append(_ascii(cells, np.arange(1, len(cells) + 1) * cells.shape[1]))
+    return np.concatenate(rows), pa.concat_arrays(parts).cast(pa.string())
+
+
 class _Cells:
-    """The tokens of one column of a batch: (row, query token) pairs of equal words
-    and, once per row and query word, of words that hold a long query word."""
+    """The tokens of one column of a batch (lower-cased texts, or lists of their tokens):
+    (row, query token) pairs of equal words and, once per row and query word, of words that
+    hold a long query word."""
 
     def __init__(self, column: pa.Array, block: QueryBlock, loose: bool):
-        parent = pc.list_parent_indices(column).to_numpy(zero_copy_only=False)
-        words = pc.list_flatten(column).dictionary_encode()
+        if pa.types.is_list(column.type):
+            parent, words = pc.list_parent_indices(column).to_numpy(zero_copy_only=False), pc.list_flatten(column)
+        else:
+            parent, words = _found(column)
+        words = words.dictionary_encode()
         code, names = words.indices.to_numpy(zero_copy_only=False), words.dictionary
         same = pc.index_in(names, value_set=block.tokens).fill_null(-1).to_numpy(zero_copy_only=False)
         hit = same[code] >= 0
-        self.row, self.token = parent[hit], same[code[hit]]
+        pair = np.unique(parent[hit].astype(np.int64) * len(block.tokens) + same[code[hit]])
+        self.row, self.token = pair // len(block.tokens), pair % len(block.tokens)
         self.loose_row = self.loose_token = np.empty(0, np.int64)
         if loose and block.long_words:
             sizes, held = np.zeros(len(names) + 1, np.int64), []
@@ -127,7 +173,9 @@ class _Cells:
 
 def _by_tokens(batch: pa.RecordBatch, first: int) -> Iterator[pa.RecordBatch]:
     """The rows of a batch in parts of about ``TOKENS`` tokens; a long text is a part of its own."""
-    sizes = sum(pc.list_value_length(c).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns[first:])
+    # A token of a text takes two bytes or more.
+    size = lambda c: pc.list_value_length(c) if pa.types.is_list(c.type) else pc.divide(pc.binary_length(c), 2)
+    sizes = sum(size(c).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns[first:])
     for a, b in _pieces(sizes, 0, TOKENS):
         yield batch.slice(a, b - a)
 
@@ -170,6 +218,41 @@ def _scores(send, columns: list[float], channel: bool):
     return run
 
 
+def _added(send, columns: list[float], factor: float):
+    """Rows (id, texts of the fields, text of a channel) sorted by id in; (qid, id, score) of all
+    positive scores out, those of an id's rows added.  Only the id read last is held."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block: QueryBlock = send.value
+        n = len(block.qids)
+
+        def positive(ids: pa.Array, total: np.ndarray) -> Iterator[pa.RecordBatch]:
+            row, q = np.nonzero(total > 0)
+            if len(row):
+                yield pa.record_batch({"qid": block.qids.take(pa.array(q)), "id": ids.take(pa.array(row)), "score": pa.array(total[row, q])})
+
+        held, sums = None, np.zeros((1, n))
+        for batch in (part for whole in batches for part in _by_tokens(whole, 1)):
+            last = batch.num_columns - 1
+            own, other = _totals(block, batch.select(range(last)), 1, columns, False), _totals(block, batch.select([0, last]), 1, [factor], True)
+            for (low, high, total), (_, _, more) in zip(own, other):
+                ids = batch.column(0).slice(low, high - low)
+                code = ids.dictionary_encode().indices.fill_null(-1).to_numpy()
+                first = np.append(0, np.flatnonzero(code[1:] != code[:-1]) + 1)
+                total = np.add.reduceat((total + more).reshape(-1, n), first)
+                ids = ids.take(pa.array(first))
+                if held is not None and held[0].as_py() == ids[0].as_py():
+                    total[0] += sums[0]
+                elif held is not None:
+                    yield from positive(held, sums)
+                yield from positive(ids.slice(0, len(ids) - 1), total[:-1])
+                held, sums = ids.slice(len(ids) - 1), total[-1:].copy()
+        if held is not None:
+            yield from positive(held, sums)
+
+    return run
+
+
 #: Candidates (a row and a query) that a task gathers before it drops all but the best.
 HELD = 1 << 19
 
@@ -228,25 +311,30 @@ def spread_out(df: DataFrame) -> DataFrame:
     return df.repartition(2 * cores) if len(df.inputFiles()) < cores else df
 
 
+def _lowered(c: str | Column) -> Column:
+    """The text as its tokens are cut from it, inside the tasks."""
+    return F.lower(text_or_empty(c))
+
+
 def scan_scores(queries: DataFrame, docs: DataFrame, fields: dict[str, Column], weights: dict[str, float], default: float, sidecars: DataFrame | None, entries: int = BLOCK_ENTRIES) -> DataFrame:
     """(qid, id, score) with score > 0; ids are unique in ``docs``, (id, channel) in ``sidecars``."""
     spark = docs.sparkSession
     schema = T.StructType([queries.schema["qid"], docs.schema["id"], T.StructField("score", T.DoubleType())])
-    docs = spread_out(docs.select("id", *[c.alias(f"f{i}") for i, c in enumerate(fields.values())]))
-    rows = docs.select("id", *[tokens(f"f{i}").alias(f"t{i}") for i in range(len(fields))])
-    out: list[DataFrame] = []
+    cells = [f"f{i}" for i in range(len(fields))]
+    docs = docs.select("id", *[_lowered(c).alias(name) for name, c in zip(cells, fields.values())])
+    factors = [weights.get(f, default) for f in fields]
+    if sidecars is None:
+        rows = spread_out(docs)
+    else:
+        # The rows of an id meet in one stream as texts, which are fewer than their scores.
+        side = sidecars.select("id", _lowered("text").alias("side"))
+        parts = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        rows = docs.unionByName(side, allowMissingColumns=True).select("id", *cells, "side").repartition(parts, "id").sortWithinPartitions("id")
+    out = spark.createDataFrame([], schema)
     for block in query_blocks(queries, entries):
         send = spark.sparkContext.broadcast(block)
-        out.append(rows.mapInArrow(_scores(send, [weights.get(f, default) for f in fields], False), schema))
-        if sidecars is not None:
-            out.append(spread_out(sidecars.select("id", "text")).select("id", tokens("text").alias("t0")).mapInArrow(_scores(send, [default], True), schema))
-    if not out:
-        return spark.createDataFrame([], schema)
-    every = out[0]
-    for part in out[1:]:
-        every = every.unionByName(part)
-    # A document's own fields are scored in one row; only channels add to it.
-    return every if sidecars is None else every.groupBy("qid", "id").agg(F.sum("score").alias("score"))
+        out = out.unionByName(rows.mapInArrow(_scores(send, factors, False) if sidecars is None else _added(send, factors, default), schema))
+    return out
 
 
 def scan_best(queries: DataFrame, docs: DataFrame, fields: dict[str, Column], weights: dict[str, float], default: float, k: int, ties: list[Column] = [], boost: Column | None = None, entries: int = BLOCK_ENTRIES) -> DataFrame:
@@ -261,7 +349,7 @@ def scan_best(queries: DataFrame, docs: DataFrame, fields: dict[str, Column], we
     head = [F.col("id"), (F.lit(0) if boost is None else boost).cast("double").alias("boost"), *[c.cast("long").alias(f"tie{i}") for i, c in enumerate(ties)]]
     docs = spread_out(docs.where("id is not null").select(*head, *[c.alias(f"f{i}") for i, c in enumerate(fields.values())]))
     names = docs.columns[: len(head)]
-    rows = docs.select(*names, *[tokens(f"f{i}").alias(f"t{i}") for i in range(len(fields))])
+    rows = docs.select(*names, *[_lowered(f"f{i}").alias(f"t{i}") for i in range(len(fields))])
     schema = T.StructType([queries.schema["qid"], *[docs.schema[c] for c in names], T.StructField("score", T.DoubleType())])
     out = spark.createDataFrame([], schema)
     for block in query_blocks(queries, entries):
