@@ -2,16 +2,30 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 LEFT_ROWS = 8_192
 RIGHT_ROWS = 1_024
+#: Bytes of texts that a task takes from a batch at once.
+TEXT_BYTES = 1 << 22
+
+
+def by_bytes(texts: pa.Array, most: int | None = None) -> Iterator[tuple[int, int]]:
+    """Ranges of rows with about ``most`` bytes of text; a longer text is a range of its own."""
+    ends = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = 0
+    while at < len(ends):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + (most or TEXT_BYTES), "right")))
+        yield at, to
+        at = to
 
 
 def unit_rows(a: np.ndarray) -> np.ndarray:
