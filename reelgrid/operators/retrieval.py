@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,7 +20,7 @@ from reelgrid.functions.text import (
     text_or_empty,
     tokens,
 )
-from reelgrid.operators.blocks import block_products, unit_rows
+from reelgrid.operators.blocks import block_products, by_bytes, unit_rows
 from reelgrid.operators.containment import containments, without
 from reelgrid.operators.lexical import spread_out, scan_best, scan_scores
 from reelgrid.operators.scale import CHUNK_ROWS, join_keys, positions, running, stable, top_k
@@ -452,12 +453,14 @@ def stale_vectors(texts: DataFrame, emb: DataFrame, model: str) -> DataFrame:
 
 
 def embed(texts: DataFrame, fn: Callable[[list[str]], Sequence[Sequence[float]]], model: str) -> DataFrame:
-    """Vectors from a caller-supplied function, one Arrow batch per call."""
+    """Vectors from a caller-supplied function, a few megabytes of texts per call."""
 
-    @F.pandas_udf("array<float>")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<float>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        kind = pa.list_(pa.float32())
         for batch in batches:
-            yield pd.Series(list(fn(batch.tolist())))
+            parts = [pa.array([None if v is None else np.asarray(v, "float32") for v in fn(batch.slice(a, b - a).to_pylist())], kind) for a, b in by_bytes(batch)]
+            yield pa.concat_arrays([pa.array([], kind), *parts])
 
     v = texts.select(F.col("id").alias("mid"), F.lit(model).alias("model"), "sig", run("text").alias("vec"))
     return v.withColumn("dim", F.size("vec"))
