@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from reelgrid.functions.similarity import caption_sim
-from reelgrid.operators.scale import join_keys, stable
+from reelgrid.operators.scale import stable
 
 
 def _prefix_tokens(texts: DataFrame, keys: Sequence[str], ranks: DataFrame, thr: float, name: str) -> DataFrame:
@@ -52,9 +52,9 @@ def similar_texts(a: DataFrame, b: DataFrame, keys: Sequence[str], thr: float) -
     da, db = [stable(x.select(*keys, "text").where("text <> ''").distinct().withColumn("__id", F.monotonically_increasing_id())) for x in (a, b)]
     every = da.select(*keys, "text").union(db.select(*keys, "text")).distinct().select(*keys, F.explode(F.array_distinct(F.split("text", ""))).alias("c"))
     ranks = every.where("c <> ''").groupBy(*keys, "c").agg(F.count(F.lit(1)).alias("freq"))
-    pa = _prefix_tokens(da, keys, ranks, thr, "a")
-    pb = _prefix_tokens(db, keys, ranks, thr, "b")
-    cand = pa.join(pb.hint("merge"), [*keys, "token"])
+    ta = _prefix_tokens(da, keys, ranks, thr, "a")
+    tb = _prefix_tokens(db, keys, ranks, thr, "b")
+    cand = ta.join(tb.hint("merge"), [*keys, "token"])
     single = F.col("token").startswith("s")
     dice = 2 * F.least("len_a", "len_b") * 0.9 >= thr * (F.col("len_a") + F.col("len_b")) - 1e-9
     pairs = cand.where(single | dice).select(*keys, "__a", "__b").distinct()
@@ -67,21 +67,22 @@ def similar_texts(a: DataFrame, b: DataFrame, keys: Sequence[str], thr: float) -
 def greedy_matching(edges: DataFrame, group: Sequence[str], left: str, right: str, order: Sequence[str]) -> DataFrame:
     """Take edges in ``order`` (total per group), each end at most once.
 
-    Settled in rounds of joins: every edge that comes first at both of its ends
-    is taken and its neighbours drop out.
+    Settled in streams sorted by group and order, in one job: a task holds only the
+    ends taken so far in the group it reads.
     """
-    names = list(edges.columns)
-    rest = stable(edges)
-    taken = rest.limit(0)
-    key = F.struct(*order)
-    while not rest.isEmpty():
-        best_l = rest.groupBy(*group, left).agg(F.min(key).alias("__bl"))
-        best_r = rest.groupBy(*group, right).agg(F.min(key).alias("__br"))
-        won = join_keys(join_keys(rest, best_l, [*group, left], "inner"), best_r, [*group, right], "inner")
-        won = stable(won.where((key == F.col("__bl")) & (key == F.col("__br"))).select(*names))
-        taken = taken.unionByName(won)
-        free = rest.join(won.select(*group, left), [*group, left], "left_anti").join(won.select(*group, right), [*group, right], "left_anti")
-        rest = stable(free.select(*names))
-    return taken
 
+    def take(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, lefts, rights = None, set(), set()
+        for batch in batches:
+            column = lambda c: batch.column(c).to_pylist()
+            keep = []
+            for own, a, b in zip(zip(*map(column, group)), column(left), column(right)):
+                if own != current:
+                    current, lefts, rights = own, set(), set()
+                keep.append(a not in lefts and b not in rights)
+                if keep[-1]:
+                    lefts.add(a)
+                    rights.add(b)
+            yield batch.filter(pa.array(keep, pa.bool_()))
 
+    return edges.repartition(*group).sortWithinPartitions(*group, *order).mapInArrow(take, edges.schema)
