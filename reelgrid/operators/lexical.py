@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from decimal import ROUND_HALF_UP, Decimal
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -24,9 +25,9 @@ from reelgrid.functions.text import text_or_empty, tokens
 #: (query, token) entries of a block, cells of a document by query table, tokens of
 #: the documents taken at once, and (document, query) entries added at once.
 BLOCK_ENTRIES = 1 << 20
-CELLS = 1 << 22
+CELLS = 1 << 19
 TOKENS = 1 << 20
-ADDED = 1 << 21
+ADDED = 1 << 19
 NINTH = Decimal("1e-9")
 
 
@@ -316,6 +317,11 @@ def _lowered(c: str | Column) -> Column:
     return F.lower(text_or_empty(c))
 
 
+def _together(docs: DataFrame, scans: list[DataFrame], schema: T.StructType) -> DataFrame:
+    # An empty table is only made if there is no scan: it is read by Python workers of its own.
+    return reduce(DataFrame.unionByName, scans) if scans else docs.sparkSession.createDataFrame([], schema)
+
+
 def scan_scores(queries: DataFrame, docs: DataFrame, fields: dict[str, Column], weights: dict[str, float], default: float, sidecars: DataFrame | None, entries: int = BLOCK_ENTRIES) -> DataFrame:
     """(qid, id, score) with score > 0; ids are unique in ``docs``, (id, channel) in ``sidecars``."""
     spark = docs.sparkSession
@@ -330,11 +336,8 @@ def scan_scores(queries: DataFrame, docs: DataFrame, fields: dict[str, Column],
         side = sidecars.select("id", _lowered("text").alias("side"))
         parts = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
         rows = docs.unionByName(side, allowMissingColumns=True).select("id", *cells, "side").repartition(parts, "id").sortWithinPartitions("id")
-    out = spark.createDataFrame([], schema)
-    for block in query_blocks(queries, entries):
-        send = spark.sparkContext.broadcast(block)
-        out = out.unionByName(rows.mapInArrow(_scores(send, factors, False) if sidecars is None else _added(send, factors, default), schema))
-    return out
+    sent = (spark.sparkContext.broadcast(block) for block in query_blocks(queries, entries))
+    return _together(docs, [rows.mapInArrow(_scores(send, factors, False) if sidecars is None else _added(send, factors, default), schema) for send in sent], schema)
 
 
 def scan_best(queries: DataFrame, docs: DataFrame, fields: dict[str, Column], weights: dict[str, float], default: float, k: int, ties: list[Column] = [], boost: Column | None = None, entries: int = BLOCK_ENTRIES) -> DataFrame:
@@ -351,7 +354,5 @@ def scan_best(queries: DataFrame, docs: DataFrame, fields: dict[str, Column], we
     names = docs.columns[: len(head)]
     rows = docs.select(*names, *[_lowered(f"f{i}").alias(f"t{i}") for i in range(len(fields))])
     schema = T.StructType([queries.schema["qid"], *[docs.schema[c] for c in names], T.StructField("score", T.DoubleType())])
-    out = spark.createDataFrame([], schema)
-    for block in query_blocks(queries, entries):
-        out = out.unionByName(rows.mapInArrow(_best(spark.sparkContext.broadcast(block), [weights.get(f, default) for f in fields], k, len(head)), schema))
-    return out
+    sent = (spark.sparkContext.broadcast(block) for block in query_blocks(queries, entries))
+    return _together(docs, [rows.mapInArrow(_best(send, [weights.get(f, default) for f in fields], k, len(head)), schema) for send in sent], schema)

@@ -25,6 +25,8 @@ from reelgrid.operators.containment import containments, without
 from reelgrid.operators.lexical import spread_out, scan_best, scan_scores
 from reelgrid.operators.scale import CHUNK_ROWS, join_keys, positions, running, stable, top_k
 
+#: Queries that meet a piece of stored vectors at once where every pair becomes a row.
+SCORED_QUERIES = 64
 
 
 def catalog_fields(m: DataFrame) -> dict[str, Column]:
@@ -109,7 +111,7 @@ def score_vectors(queries: DataFrame, store: DataFrame, mean: np.ndarray | None
         out = s[names].iloc[np.repeat(np.arange(len(s)), len(q))].reset_index(drop=True)
         return out.assign(qid=np.tile(q["qid"].to_numpy(), len(s)), cos=cos.ravel())
 
-    return block_products(store.select(*names, "vec"), queries.select("qid", "qvec"), names[0], "qid", run, schema)
+    return block_products(store.select(*names, "vec"), queries.select("qid", "qvec"), names[0], "qid", run, schema, right_rows=SCORED_QUERIES)
 
 
 def _best_vectors(queries: DataFrame, store: DataFrame, k: int, least: float) -> DataFrame:
@@ -216,13 +218,15 @@ def append_image_hits(queries: DataFrame, lexical: DataFrame, matches: DataFrame
     """
     if kind and kind not in ("images", "videos"):
         return matches.limit(0)
-    few = lexical.groupBy("qid").agg(F.count(F.lit(1)).alias("__n"))
-    q = queries.where(~F.col("intent").isin("id", "speech")).select("qid").join(few, "qid", "left").where("coalesce(__n, 0) < 3")
+    # A query that counts has two lexical hits at most, so the least and the greatest id are all of them.
+    few = lexical.groupBy("qid").agg(F.count(F.lit(1)).alias("__n"), F.min("id").alias("__least"), F.max("id").alias("__greatest"))
+    q = queries.where(~F.col("intent").isin("id", "speech")).select("qid").distinct().join(few, "qid", "left").where("coalesce(__n, 0) < 3")
     top = top_k(matches, ["qid"], [F.desc("score"), F.col("id")], 2, "__r")
     head = top.groupBy("qid").agg(F.max("score").alias("__top"), F.min("score").alias("__second"), F.count(F.lit(1)).alias("__m"))
     head = head.where((F.col("__m") >= 2) & (F.col("__top") >= floor) & ((F.col("__top") - F.col("__second")) >= gap))
-    x = matches.join(q.select("qid"), "qid", "left_semi").join(head, "qid").where(F.col("score") >= F.col("__top") - gap)
-    return x.join(lexical.select("qid", "id"), ["qid", "id"], "left_anti").select("qid", "id", "score")
+    x = matches.join(head, "qid").where(F.col("score") >= F.col("__top") - gap).join(q, "qid")
+    known = (F.col("id") == F.col("__least")) | (F.col("id") == F.col("__greatest"))
+    return x.where(~F.coalesce(known, F.lit(False))).select("qid", "id", "score")
 
 
 # --- chunks ---------------------------------------------------------------------------
